@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptloom.session import configure
+from scriptloom.sources.scripts import spread
 
 NL, CR = "chr(10)", "chr(13)"
 _KEY = "cast(o_orderkey as string)"
@@ -138,6 +139,22 @@ GENERATED_CODE = _by_remainder(
 )
 
 
+# One statement per order with every kind of token.
+_Q = "chr(39)"
+STATEMENT = _by_remainder(
+    "o_orderkey",
+    (
+        f"'UPDATE t SET a=' || {_Q} || 'it' || {_Q} || {_Q} || 's ' || o_orderpriority || {_Q}"
+        f" || ', b := 1.5 WHERE \"c d\" <> ' || {_KEY} || '; -- note; ' || {_CUST}",
+        f"'/* two' || {NL} || 'lines */ SELECT x.*, f(' || {_KEY} || ')||' || {_Q} || {_Q}"
+        f" || ' FROM t$' || {_CUST} || ' WHERE a>=.5 AND b!=c'",
+        f"'for i in 1..' || {_CUST} || ' loop' || {NL} || ' p(i => -i*2, ' || {_Q}"
+        f" || o_orderstatus || {_Q} || ' ); end loop; /'",
+        f"'--' || {NL} || '/* open ' || {_KEY} || ' \"x\" é_1 ß, % 3<4'",
+    ),
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -169,24 +186,36 @@ def retail_returns(spark, sf_dir) -> DataFrame:
     return returned.selectExpr("l_orderkey AS order_id")
 
 
+def _orders(spark, sf_dir) -> DataFrame:
+    columns = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return spread(table(spark, sf_dir, "orders").select(*columns), "o_orderkey")
+
+
 def scripts(spark, sf_dir) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").selectExpr(
+    orders = _orders(spark, sf_dir).selectExpr(
         "'order ' || cast(o_orderkey as string) AS script_id", f"{ORDER_SCRIPT} AS text"
     )
-    documents = table(spark, sf_dir, "documents").selectExpr(
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(documents, "doc_id").selectExpr(
         "'document ' || cast(doc_id as string) AS script_id", f"{DOCUMENT_SCRIPT} AS text"
     )
     return orders.unionByName(documents)
 
 
 def chunks(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
+    return _orders(spark, sf_dir).selectExpr(
         f"{CHUNK_ID} AS id", f"{CHUNK_TYPE} AS type", f"{SAS_CODE} AS code"
     )
 
 
 def generated_code(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{GENERATED_CODE} AS code")
+    return _orders(spark, sf_dir).selectExpr("o_orderkey", f"{GENERATED_CODE} AS code")
+
+
+def statements(spark, sf_dir) -> DataFrame:
+    return _orders(spark, sf_dir).selectExpr(
+        f"{CHUNK_ID} AS script_id", "1 AS block_no", f"{STATEMENT} AS block"
+    )
 
 
 SCRIPTS_SQL = (
@@ -195,3 +224,4 @@ SCRIPTS_SQL = (
 )
 CHUNKS_SQL = f"SELECT {CHUNK_ID} AS id, {CHUNK_TYPE} AS type, {SAS_CODE} AS code FROM orders"
 GENERATED_SQL = f"SELECT o_orderkey, {GENERATED_CODE} AS code FROM orders"
+STATEMENTS_SQL = f"SELECT {CHUNK_ID} AS script_id, 1 AS block_no, {STATEMENT} AS block FROM orders"

@@ -5,7 +5,7 @@ RE2 has no lookahead and no possessive groups, so the patterns differ from the l
 
 from __future__ import annotations
 
-from checks.inputs import CHUNKS_SQL, GENERATED_SQL, SCRIPTS_SQL
+from checks.inputs import CHUNKS_SQL, GENERATED_SQL, SCRIPTS_SQL, STATEMENTS_SQL
 
 _BLANK_CODES = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -178,7 +178,7 @@ _TOKEN = (
     rf"|:=|<=|>=|<>|!=|\|\||=>|\.\.|[-+*/<>=%]|[^{_BLANKS}]"
 )
 _TOKENS_SQL = _rows(
-    _EXTRACTED,
+    STATEMENTS_SQL,
     f"regexp_extract_all(block, {_quoted(_TOKEN)})",
     "script_id, block_no",
     "token_no",
@@ -335,8 +335,8 @@ ORACLE_SQL = {
     "length_audit": """
         SELECT p_partkey, 'p_name' AS column_name, cast(length(p_name) AS integer) AS actual_length,
           10 AS max_length FROM part WHERE length(p_name) > 10
-        UNION ALL SELECT p_partkey, 'p_brand', length(p_brand), 7 FROM part WHERE length(p_brand) > 7
-        UNION ALL SELECT p_partkey, 'p_type', length(p_type), 25 FROM part WHERE length(p_type) > 25""",
+        UNION ALL SELECT p_partkey, 'p_brand', cast(length(p_brand) AS integer), 7 FROM part WHERE length(p_brand) > 7
+        UNION ALL SELECT p_partkey, 'p_type', cast(length(p_type) AS integer), 25 FROM part WHERE length(p_type) > 25""",
     "newline_normalize": f"""
         SELECT script_id, regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') AS text
         FROM ({SCRIPTS_SQL})""",

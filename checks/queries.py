@@ -177,7 +177,7 @@ def block_counts(spark, sf):
 
 
 def block_tokens(spark, sf):
-    return blk.block_tokens(blk.extract_blocks(scripts(spark, sf)))
+    return blk.block_tokens(inputs.statements(spark, sf))
 
 
 # SAS chunks

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptloom.functions.text import BLANKS, bind, has_code, is_blank, normalize_newlines, strip
+from scriptloom.functions.text import BLANK_CLASS, bind, has_code, is_blank, normalize_newlines, strip
 
 MAX_CHARS = 1200  # a block above this size is cut further
 SMALL_CHARS = 180  # blocks below this size are merged with their neighbours
 FLUSH_CHARS = 300  # a merged run is closed once it is longer than this
 
-_B = f"[{BLANKS}]"
+_B = f"[{BLANK_CLASS}]"
 
 # What a compound block looks like, in order of preference, and the plain
 # statement that is taken otherwise.
