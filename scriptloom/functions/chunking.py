@@ -14,7 +14,7 @@ MAX_CHARS = 1200  # a block above this size is cut further
 SMALL_CHARS = 180  # blocks below this size are merged with their neighbours
 FLUSH_CHARS = 300  # a merged run is closed once it is longer than this
 
-_B = f"[{BLANK_CLASS}]"
+_B = BLANK_CLASS
 
 # What a compound block looks like, in order of preference, and the plain
 # statement that is taken otherwise.

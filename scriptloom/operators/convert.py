@@ -125,13 +125,9 @@ def convert(
     else:
         if open_converter is None:
             raise ValueError("no converter given")
-        rendered = render_prompt(chunks, template)
-        request = F.when(~skipped, F.col("request")).alias("request")
+        request = F.when(~skipped, render(template)).alias("request")
         sent = _call(
-            rendered.select(*keys, "type", request, "request_tokens"),
-            open_converter,
-            retries,
-            error_prefix,
+            chunks.select(*keys, "type", request), open_converter, retries, error_prefix
         )
     not_sent = F.col("ok").isNull()
     record = sent.select(
@@ -146,9 +142,7 @@ def convert(
         .otherwise(F.col("reason"))
         .alias("reason"),
         F.when(F.col("ok"), F.col("input_tokens")).otherwise(0).alias("input_tokens"),
-        F.when(F.col("ok"), F.coalesce("output_tokens", word_count(F.col("code"))))
-        .otherwise(0)
-        .alias("output_tokens"),
+        F.when(F.col("ok"), F.col("output_tokens")).otherwise(0).alias("output_tokens"),
     )
     return record.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
 
@@ -164,7 +158,7 @@ _REPLY_TYPES = {
 
 def _call(requests: DataFrame, open_converter, retries: int, error_prefix: str) -> DataFrame:
     """Send ``request`` of every row; the other columns are kept, NULL requests not sent."""
-    kept = [f for f in requests.schema if f.name not in ("request", "request_tokens")]
+    kept = [f for f in requests.schema if f.name != "request"]
     names = [f.name for f in kept]
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
@@ -178,7 +172,7 @@ def _call(requests: DataFrame, open_converter, retries: int, error_prefix: str)
 
         reply_types = (pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32())
 
-        def ask(converter, request, words):
+        def ask(converter, request):
             for attempt in range(retries + 1):
                 try:
                     answer = converter(request)
@@ -186,7 +180,7 @@ def _call(requests: DataFrame, open_converter, retries: int, error_prefix: str)
                     text = text.strip()
                     if not text:
                         raise ValueError(empty_result)
-                    used_in, used_out = counts or (words, None)
+                    used_in, used_out = counts or (len(request.split()), len(text.split()))
                     return True, text, "", used_in, used_out
                 except Exception as error:  # noqa: BLE001 - kept in the record
                     failure = str(error)
@@ -195,15 +189,13 @@ def _call(requests: DataFrame, open_converter, retries: int, error_prefix: str)
         converter = None
         for batch in batches:
             replies = []
-            for request, words in zip(
-                batch.column("request").to_pylist(), batch.column("request_tokens").to_pylist()
-            ):
+            for request in batch.column("request").to_pylist():
                 if request is None:
                     replies.append((None,) * len(reply_types))
                     continue
                 if converter is None:
                     converter = open_converter()
-                replies.append(ask(converter, request, words))
+                replies.append(ask(converter, request))
             columns = zip(*replies) if replies else ((),) * len(reply_types)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names]
