@@ -19,12 +19,12 @@ _B = BLANK_CLASS
 # What a compound block looks like, in order of preference, and the plain
 # statement that is taken otherwise.
 _BLOCK_FORMS = (
-    rf"CREATE{_B}+(?:OR{_B}+REPLACE{_B}+)?(?:FUNCTION|PROCEDURE|PACKAGE|TRIGGER)[\s\S]*?END{_B}*;",
-    rf"DECLARE[\s\S]*?END{_B}*;",
-    rf"BEGIN[\s\S]*?END{_B}*;",
+    rf"CREATE{_B}+(?:OR{_B}+REPLACE{_B}+)?(?:FUNCTION|PROCEDURE|PACKAGE|TRIGGER).*?END{_B}*;",
+    rf"DECLARE.*?END{_B}*;",
+    rf"BEGIN.*?END{_B}*;",
     r"[^;]+;",
 )
-_BLOCK = "(?iu)" + "|".join(_BLOCK_FORMS)
+_BLOCK = "(?isu)" + "|".join(_BLOCK_FORMS)
 _UP_TO_LAST_END = rf"(?isu)^.*END{_B}*;"
 _BEFORE_BEGIN = r"(?iu)(?=BEGIN)"
 # A block starting like this is cut at BEGIN even when it is not large.
@@ -191,8 +191,11 @@ def chunk(
 def block_type(block: Column) -> Column:
     longest = max(len(prefix) for prefix, _ in _BLOCK_TYPES)
     header = F.upper(F.substring(strip(block), 1, longest))
-    cases = [F.when(F.startswith(header, F.lit(p)), F.lit(t)) for p, t in _BLOCK_TYPES]
-    return F.coalesce(*cases, F.lit(_OTHER))
+    known = "|".join(prefix for prefix, _ in _BLOCK_TYPES)
+    types = F.create_map(*(F.lit(x) for pair in _BLOCK_TYPES for x in pair))
+    return F.coalesce(
+        F.try_element_at(types, F.regexp_extract(header, f"^(?:{known})", 0)), F.lit(_OTHER)
+    )
 
 
 def _nonblank(pieces: Column) -> Column:

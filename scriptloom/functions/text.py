@@ -21,6 +21,7 @@ NON_BLANK = rf"(?!{BLANK_CLASS})[\s\S]"
 _INDENT_CLASS = rf"[\t\x0b-\r\x20{_RARE_BLANKS}]"
 # The characters Python's str.splitlines() breaks at (besides "\r\n").
 LINE_BREAKS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+_RARE_BREAKS = r"[\x0b-\r\x1c-\x1e\x85\u2028\u2029]"
 _BREAK_CLASS = r"[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -55,13 +56,17 @@ def word_count(text: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """Number of lines; a line break at the very end does not start another line."""
-    breaks = F.regexp_count(text, F.lit(rf"\r\n|{_BREAK_CLASS}"))
+    newlines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    breaks = F.when(
+        F.rlike(text, F.lit(_RARE_BREAKS)),
+        F.regexp_count(text, F.lit(rf"\r\n|{_BREAK_CLASS}")),
+    ).otherwise(newlines)
     ends_open = (text != "") & ~F.contains(F.lit(LINE_BREAKS), F.right(text, F.lit(1)))
     return breaks + ends_open.cast("int")
 
 
 def first_line(text: Column, max_chars: int = 80) -> Column:
-    line = F.split(text, _BREAK_CLASS, 2).getItem(0)
+    line = F.split(F.substring_index(text, "\n", 1), _RARE_BREAKS, 2).getItem(0)
     return F.substring(strip(line), 1, max_chars)
 
 

@@ -39,8 +39,11 @@ def _with_return_flag(per_order: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def returned_orders_by_month(details: DataFrame, returns: DataFrame) -> DataFrame:
-    """Number of distinct orders per month with at least one return."""
-    per_order = details.select("order_id", _month("order_date")).distinct()
+    """Number of distinct orders per month with at least one return.
+
+    Orders without a return fall into one NULL group before the count is shuffled.
+    """
+    per_order = details.select("order_id", _month("order_date"))
     counted = F.when(F.col("is_returned").isNotNull(), F.col("order_id"))
     return (
         _with_return_flag(per_order, returns)
