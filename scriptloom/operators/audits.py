@@ -40,5 +40,6 @@ def length_violations(
             for column, limit in limits.items()
         )
     )
+    checks = checks.cast("array<struct<column_name:string,actual_length:int,max_length:int>>")
     too_long = F.filter(checks, lambda c: c["actual_length"] > c["max_length"])
     return df.select(*key, F.inline(too_long))
