@@ -401,6 +401,7 @@ ORACLE_SQL = {
         SELECT r.id, cast(regexp_extract(r.id, '[^_]*$') AS bigint) AS id_num, ok AS success, reason,
           c.code AS input_sas_code, r.code AS output_pyspark_code, input_tokens, output_tokens, total_tokens
         FROM ({_RECORDS}) r JOIN ({CHUNKS_SQL}) c ON r.id = c.id ORDER BY id_num""",
+    "conversion_successes": f"SELECT * FROM ({_RECORDS}) WHERE ok",
     "conversion_failures": f"SELECT {_ID_NUMBER} AS id_num, id FROM ({_RECORDS}) WHERE NOT ok ORDER BY 1",
     "conversion_meta": f"""
         SELECT 'stand-in' AS model, count(*) AS total_chunks, count(*) FILTER (ok) AS successes,

@@ -12,6 +12,7 @@ from scriptloom.operators import blocks as blk
 from scriptloom.operators import convert as cv
 from scriptloom.operators.validate import validate_code as validate
 from scriptloom.plans import retail
+from scriptloom.plans.conversion import run_conversion
 from scriptloom.session import fresh_path
 from scriptloom.sources import csv_tables
 from scriptloom.sources.scripts import read_scripts
@@ -267,17 +268,26 @@ def assemble_script(spark, sf):
     return cv.assemble_script(converted, blocks_per_part=64)
 
 
+def _conversion_run(spark, sf):
+    return run_conversion(
+        inputs.chunks(spark, sf), open_stand_in(), model="stand-in", skip_types=["macro"]
+    )
+
+
 def conversion_audit(spark, sf):
-    return cv.conversion_audit(convert_blocks(spark, sf), inputs.chunks(spark, sf))
+    return _conversion_run(spark, sf).audit
+
+
+def conversion_successes(spark, sf):
+    return _conversion_run(spark, sf).successes
 
 
 def conversion_failures(spark, sf):
-    return cv.conversion_failures(convert_blocks(spark, sf))
+    return _conversion_run(spark, sf).failures
 
 
 def conversion_meta(spark, sf):
-    meta = cv.conversion_meta(convert_blocks(spark, sf), model="stand-in")
-    return meta.drop("timestamp")
+    return _conversion_run(spark, sf).meta.drop("timestamp")
 
 
 def validate_code(spark, sf):
@@ -356,6 +366,7 @@ QUERIES = {
         conversion_mapping,
         assemble_script,
         conversion_audit,
+        conversion_successes,
         conversion_failures,
         conversion_meta,
         validate_code,

@@ -112,9 +112,10 @@ def convert(
     kept as a failed record. Chunks of a type in ``skip_types`` are not sent, and in a dry
     run none is. Where the service reports no token counts, words are counted.
 
-    A lost task repeats its calls. Write or checkpoint the result before reading it more than
-    once (see :func:`scriptloom.plans.conversion.run_conversion`), keep speculation off, and
-    set the number of partitions to the concurrency the service allows.
+    A lost task repeats its calls. Write or checkpoint the result before sorting it (a sort
+    samples its input first) or reading it more than once, as
+    :func:`scriptloom.plans.conversion.run_conversion` does. Keep speculation off, and set
+    the number of partitions to the concurrency the service allows.
     """
     skipped_types = [t.lower() for t in skip_types]
     skipped = F.lower("type").isin(skipped_types) if skipped_types else F.lit(False)

@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     to a temporary folder, because executors elsewhere could not read it.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
     if not sc.master.startswith("local"):

@@ -1,4 +1,8 @@
-"""CSV exports that keep multi-line text, quotes, blanks and '' apart from NULL."""
+"""CSV and text exports.
+
+The CSV options keep multi-line text, quotes, blanks and '' apart from NULL, which is written
+as ``\\N``; a text that is exactly ``\\N`` is the one value that does not come back.
+"""
 
 from __future__ import annotations
 
@@ -83,10 +87,10 @@ def write_chunk_csv(chunks: DataFrame, path: str) -> None:
     write_csv(chunks.select("id", "type", "code"), path, mode="overwrite")
 
 
-def write_assembled(parts: DataFrame, path: str, separator: str = "\n\n") -> None:
-    """One folder per script, one file per part; the files in order make up the script."""
-    (
-        parts.select("script_id", "part_no", "code")
-        .write.partitionBy("script_id", "part_no")
-        .text(path, lineSep=separator)
-    )
+def write_assembled(scripts: DataFrame, path: str, separator: str = "\n\n") -> None:
+    """Converted scripts as text: one folder per script, one file per part if it has parts.
+
+    Every file ends with the separator, so the files of a script in order make up its text.
+    """
+    folders = [c for c in ("script_id", "part_no") if c in scripts.columns]
+    scripts.select(*folders, "code").write.partitionBy(*folders).text(path, lineSep=separator)

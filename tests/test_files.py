@@ -58,6 +58,10 @@ def test_assembled_files_hold_the_script(spark, tmp_path):
         [file] = (tmp_path / "out" / "script_id=s" / f"part_no={part}").glob("*.txt")
         texts.append(file.read_text())
     assert "".join(texts) == "".join(f"code {i}\nmore\n\n" for i in range(1, 8))
+    whole = spark.createDataFrame([("s", "all of it")], "script_id string, code string")
+    csv_tables.write_assembled(whole, f"{tmp_path}/whole")
+    [file] = (tmp_path / "whole" / "script_id=s").glob("*.txt")
+    assert file.read_text() == "all of it\n\n"
 
 
 def _write_scripts(folder):
