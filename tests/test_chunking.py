@@ -3,10 +3,9 @@ import time
 
 import pytest
 
-from checks.compare import connect
+from checks.compare import _sorted_rows, connect
 from checks.inputs import SCRIPTS_SQL
 from checks.oracle import ORACLE_SQL
-from checks.compare import _sorted_rows
 from scriptloom.functions import chunking as C
 from scriptloom.functions import tokens
 from scriptloom.operators import blocks as blk
