@@ -243,6 +243,7 @@ def convert_scripts(spark, sf):
         keys=["script_id"],
         retries=0,
         error_prefix="# Error: ",
+        allow_empty=True,
     )
 
 
@@ -256,6 +257,7 @@ def _converted_statements(spark, sf):
         keys=["script_id", "block_no"],
         retries=0,
         error_prefix="# Error: ",
+        allow_empty=True,
     )
 
 

@@ -92,7 +92,9 @@ def block_stats(blocks: DataFrame) -> DataFrame:
 def block_counts(scripts: DataFrame, text: str = "text", **limits) -> DataFrame:
     """Number of blocks per script, 0 for a script without any; no shuffle."""
     blocks = chunking.chunk(F.col(text), **limits)
-    return scripts.select("script_id", F.size(blocks).alias("num_blocks"))
+    return scripts.select(
+        "script_id", F.coalesce(F.size(blocks), F.lit(0)).alias("num_blocks")
+    )
 
 
 def block_tokens(blocks: DataFrame) -> DataFrame:

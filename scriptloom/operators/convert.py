@@ -82,10 +82,11 @@ def as_chunks(blocks: DataFrame, type_column: str = "block_type") -> DataFrame:
 
 
 def render(template: str) -> Column:
-    """The template with its ``{column}`` fields filled in from the row."""
+    """The template with its ``{column}`` fields filled in from the row (NULL as nothing)."""
     parts: list[Column] = []
     for i, piece in enumerate(template.replace("}", "{").split("{")):
-        parts.append(F.col(piece).cast("string") if i % 2 else F.lit(piece))
+        field = F.coalesce(F.col(piece).cast("string"), F.lit("")) if i % 2 else F.lit(piece)
+        parts.append(field)
     return F.concat(*parts)
 
 
@@ -102,14 +103,15 @@ def convert(
     keys: Sequence[str] = ("id",),
     retries: int = 1,
     error_prefix: str = ERROR_PREFIX,
+    allow_empty: bool = False,
     dry_run: bool = False,
     skip_types: Iterable[str] = (),
 ) -> DataFrame:
     """One record per chunk: ``keys`` and :data:`RECORD_COLUMNS`.
 
     ``open_converter`` makes the converter, once per partition; the converter gets the
-    request text. An exception or an empty text is tried again ``retries`` times and then
-    kept as a failed record. Chunks of a type in ``skip_types`` are not sent, and in a dry
+    request text. An exception or an empty text (unless ``allow_empty``) is tried again
+    ``retries`` times and then kept as a failed record. Chunks of a type in ``skip_types`` are not sent, and in a dry
     run none is. Where the service reports no token counts, words are counted.
 
     A lost task repeats its calls. Write or checkpoint the result before sorting it (a sort
@@ -128,7 +130,11 @@ def convert(
             raise ValueError("no converter given")
         request = F.when(~skipped, render(template)).alias("request")
         sent = _call(
-            chunks.select(*keys, "type", request), open_converter, retries, error_prefix
+            chunks.select(*keys, "type", request),
+            open_converter,
+            retries,
+            error_prefix,
+            allow_empty,
         )
     not_sent = F.col("ok").isNull()
     record = sent.select(
@@ -157,7 +163,9 @@ _REPLY_TYPES = {
 }
 
 
-def _call(requests: DataFrame, open_converter, retries: int, error_prefix: str) -> DataFrame:
+def _call(
+    requests: DataFrame, open_converter, retries: int, error_prefix: str, allow_empty: bool
+) -> DataFrame:
     """Send ``request`` of every row; the other columns are kept, NULL requests not sent."""
     kept = [f for f in requests.schema if f.name != "request"]
     names = [f.name for f in kept]
@@ -179,7 +187,7 @@ def _call(requests: DataFrame, open_converter, retries: int, error_prefix: str)
                     answer = converter(request)
                     text, *counts = answer if isinstance(answer, tuple) else (answer,)
                     text = text.strip()
-                    if not text:
+                    if not text and not allow_empty:
                         raise ValueError(empty_result)
                     used_in, used_out = counts or (len(request.split()), len(text.split()))
                     return True, text, "", used_in, used_out

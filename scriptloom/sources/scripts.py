@@ -31,8 +31,8 @@ def pasted_script(spark: SparkSession, text: str, script_id: str = "pasted") ->
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
-    For a few small files whose rows are costly to process. An input that already has enough
-    partitions is left alone and not shuffled.
+    For a few small files whose rows are costly to process, right after reading. An input that
+    already has enough partitions is left alone and not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

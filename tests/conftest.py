@@ -25,6 +25,7 @@ def spark():
     session.stop()
 
 
+# Fixed value: the example script.
 EXAMPLE_SCRIPT = """CREATE OR REPLACE PROCEDURE update_salary IS
   v_count NUMBER := 0;
 BEGIN

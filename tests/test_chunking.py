@@ -54,10 +54,21 @@ def test_extract_edges(column_of):
         "Create Or  Replace\nPackage p; end\xa0;": ["Create Or  Replace\nPackage p; end\xa0;"],
         "DECLAREND;x;": ["DECLAREND;", "x;"],
         "a\r\nb;\rc;": ["a\nb;", "c;"],
+        "BEG\u0131N a; END;": ["BEG\u0131N a; END;"],
+        "create pac\u212aage p; END;": ["create pac\u212aage p; END;"],
     }
     assert column_of(C.extract_blocks, list(cases)) == list(cases.values())
 
 
+def test_scripts_without_text_or_blocks_count_zero(spark):
+    scripts = spark.createDataFrame(
+        [("null", None), ("empty", ""), ("tail", "x"), ("one", "x;"), ("note", "-- x;")],
+        "script_id string, text string",
+    )
+    counts = {r.script_id: r.num_blocks for r in blk.block_counts(scripts).collect()}
+    assert counts == {"null": 0, "empty": 0, "tail": 0, "one": 1, "note": 0}
+
+
 def test_block_types(column_of):
     cases = {
         "  create or replace trigger t": "TRIGGER",

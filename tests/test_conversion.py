@@ -76,6 +76,14 @@ def test_outcomes(chunks):
 def test_no_retry_and_own_prefix(chunks):
     records = by_id(cv.convert(chunks, opener, retries=0, error_prefix="# Error: "))
     assert records["c_1"][:3] == (False, "# Error: busy", "busy")
+    lenient = by_id(cv.convert(chunks, opener, allow_empty=True))
+    assert lenient["c_4"][:3] == (True, "", "")
+
+
+def test_null_code_is_sent_as_nothing(spark, chunks):
+    null = spark.createDataFrame([("c_1", "PROC", None)], chunks.schema)
+    [record] = cv.convert(null, opener).collect()
+    assert record.ok and record.code == "df.select('a').filter('b')" and record.input_tokens == 11
 
 
 def test_dry_run_and_skipped_types(chunks):

@@ -9,6 +9,7 @@ from scriptloom.operators import audits, dml
 from scriptloom.plans import retail
 from scriptloom.sources.tables import TABLES, empty_table, insert_values, read_table
 
+# The sample rows.
 ROWS = {
     "customers": [
         (1, "Alice", "F", 29, "2023-01-10"),
