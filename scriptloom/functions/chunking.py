@@ -212,8 +212,9 @@ def _starts_with_any(block: Column, prefixes: tuple[str, ...]) -> Column:
 
 # Where a run ends, relative to the element being looked at.
 _BEFORE, _AFTER = 0, 1
-# Ends are collected in pages, so that adding one copies a page and not all ends so far.
-_PAGE = 512
+# Every step of a fold copies what it carries. So elements are folded in segments, and only
+# the outer fold, one step per segment, carries all ends found so far.
+_SEGMENT = 512
 
 
 def _run_ends(lengths: Column, closes, next_run) -> Column:
@@ -225,32 +226,34 @@ def _run_ends(lengths: Column, closes, next_run) -> Column:
     exploded rows cannot express it.
     """
     no_ends = F.array().cast("array<int>")
-    start = F.struct(
-        F.array().cast("array<array<int>>").alias("pages"),
-        no_ends.alias("page"),
-        F.lit(0).alias("seen"),
-        F.lit(0).alias("run"),
-    )
+
+    def state(ends: Column, seen: Column, run: Column) -> Column:
+        return F.struct(ends.alias("ends"), seen.alias("seen"), run.cast("int").alias("run"))
 
     def step(acc: Column, length: Column) -> Column:
-        full = F.size(acc["page"]) >= _PAGE
-        offsets = F.transform(
-            F.coalesce(closes(acc["run"], length), no_ends), lambda o: acc["seen"] + o
-        )
-        return F.struct(
-            F.when(full, F.concat(acc["pages"], F.array(acc["page"])))
-            .otherwise(acc["pages"])
-            .alias("pages"),
-            F.concat(F.when(full, no_ends).otherwise(acc["page"]), offsets).alias("page"),
-            (acc["seen"] + 1).alias("seen"),
-            next_run(acc["run"], length).cast("int").alias("run"),
+        offsets = F.coalesce(closes(acc["run"], length), no_ends)
+        found = F.transform(offsets, lambda offset: acc["seen"] + offset)
+        return state(F.concat(acc["ends"], found), acc["seen"] + 1, next_run(acc["run"], length))
+
+    def segment_step(acc: Column, segment: Column) -> Column:
+        inner = F.aggregate(segment, state(no_ends, acc["seen"], acc["run"]), step)
+        return bind(
+            inner, lambda s: state(F.concat(acc["ends"], s["ends"]), s["seen"], s["run"])
         )
 
     def finish(acc: Column) -> Column:
         rest = F.when(acc["run"] > 0, F.array(acc["seen"])).otherwise(no_ends)
-        return F.concat(F.flatten(acc["pages"]), acc["page"], rest)
+        return F.concat(acc["ends"], rest)
+
+    def fold(all_lengths: Column) -> Column:
+        last = F.floor((F.size(all_lengths) - 1) / _SEGMENT).cast("int")
+        segments = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda i: F.slice(all_lengths, i * _SEGMENT + 1, F.lit(_SEGMENT)),
+        )
+        return F.aggregate(segments, state(no_ends, F.lit(0), F.lit(0)), segment_step, finish)
 
-    return F.aggregate(lengths, start, step, finish)
+    return bind(lengths, fold)
 
 
 def _join_runs(elements: Column, ends: Column) -> Column:

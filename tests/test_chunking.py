@@ -125,7 +125,7 @@ def test_resplit_keeps_blanks(column_of):
 
 
 def test_many_runs_in_one_script(column_of):
-    """More runs than fit one page of run ends."""
+    """More runs than one fold segment."""
     statements = [f"{i:05d}" + "x" * 1300 for i in range(1700)]
     [packed] = column_of(C.pack_by_size, [";".join(statements)])
     assert packed == [s + ";" for s in statements]
