@@ -7,7 +7,7 @@ where ``v`` led. Whatever label sequence the finished automaton accepts is the B
 the string it spells, so a pre-split word is encoded by the one accepted path over its symbols,
 found by table look-ups; decoding emits the labels of the arcs.
 
-The tables depend on the vocabulary alone (tens of MB whatever the corpus), are compiled once by
+The tables depend on the vocabulary alone (a few MB when sent, whatever the corpus), are compiled once by
 the driver and sent to the workers as a Spark broadcast variable.
 """
 
@@ -17,6 +17,7 @@ import json
 import re
 import sys
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -36,7 +37,8 @@ class Automaton:
     """Tables of the compiled automaton; label numbers are token ids."""
 
     labels: list[str]
-    arcs: np.ndarray  # uint8 [state, label / 8]: bit set if the state has an arc with this label
+    arcs: np.ndarray  # uint8 [class of labels, state / 8]: bit set if the state has an arc with these labels
+    class_of: np.ndarray  # int32 [label]: labels that leave the same states are one class
     target: np.ndarray  # int32 [label]: state behind the arc
     start: int
     trie: np.ndarray  # uint16 [row, byte]: node, 0 if none; spells labels over bytes
@@ -44,6 +46,20 @@ class Automaton:
     label_at: np.ndarray  # int32 [2, node]: label spelled, inside and at the end of a word; -1 if none
     special: dict[str, int] = field(default_factory=dict)
 
+    def __getstate__(self) -> dict:
+        """Tables are sent compressed: the two large ones shrink to a tenth and less."""
+        state = dict(self.__dict__)
+        for name in ("arcs", "trie"):
+            x = state[name]
+            state[name] = (zlib.compress(x.tobytes(), 6), x.dtype.str, x.shape)
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        for name in ("arcs", "trie"):
+            data, kind, shape = state[name]
+            state[name] = np.frombuffer(zlib.decompress(data), kind).reshape(shape)
+        self.__dict__.update(state)
+
 
 def byte_symbols() -> list[str]:
     """The printable stand-in of every byte (public byte-level convention)."""
@@ -91,7 +107,19 @@ def merge_gadgets(merges: list[tuple[int, int, int]], final: np.ndarray, base: l
             used[after] += 1
         if u == v and not used[after]:
             free.append(after)
-    return arcs[:states].copy(), target, 0
+    return arcs[:states], target, 0
+
+
+def label_classes(arcs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Turn [state, label] bits into [class, state] bits and the class of each label."""
+    number: dict[bytes, int] = {}
+    class_of = np.zeros(size, np.int32)
+    for begin in range(0, arcs.shape[1], 32):
+        bits = np.unpackbits(arcs[:, begin : begin + 32], axis=1, bitorder="little")
+        columns = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+        for label, column in enumerate(columns[: max(0, size - 8 * begin)], 8 * begin):
+            class_of[label] = number.setdefault(column.tobytes(), len(number))
+    return np.frombuffer(b"".join(number), np.uint8).reshape(len(number), -1), class_of
 
 
 def compile_automaton(path: str) -> Automaton:
@@ -118,6 +146,7 @@ def compile_automaton(path: str) -> Automaton:
     for i, s in spelled.items():
         final[i] = s[-1] >= 256
     arcs, target, start = merge_gadgets(merges, final, base, size)
+    arcs, class_of = label_classes(arcs, size)
     node_of: dict[bytes, int] = {b"": 1}
     steps: list[tuple[int, int, int]] = []
     named: list[tuple[int, int, int]] = []
@@ -138,7 +167,7 @@ def compile_automaton(path: str) -> Automaton:
         trie[row_of[p], b] = n
     for end, n, i in named:
         label_at[end, n] = i
-    return Automaton(labels, arcs, target, start, trie, row_of, label_at, special)
+    return Automaton(labels, arcs, class_of, target, start, trie, row_of, label_at, special)
 
 
 def _dense(auto: Automaton, symbols: np.ndarray, lengths: np.ndarray):
@@ -162,7 +191,8 @@ def _dense(auto: Automaton, symbols: np.ndarray, lengths: np.ndarray):
             label = auto.label_at[(lengths[word] == d + 1).astype(np.int8), node]
             ok = np.flatnonzero(label >= 0)
             w, lab = word[ok], label[ok]
-            ok = (auto.arcs[state[w], lab >> 3] >> (lab & 7).astype(np.uint8)) & 1 == 1
+            s = state[w]
+            ok = (auto.arcs[auto.class_of[lab], s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
             w = w[ok]
             last[d + 1, w] = lab[ok]
             prev[d + 1, w] = j
