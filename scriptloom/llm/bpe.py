@@ -119,7 +119,10 @@ def label_classes(arcs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         columns = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
         for label, column in enumerate(columns[: max(0, size - 8 * begin)], 8 * begin):
             class_of[label] = number.setdefault(column.tobytes(), len(number))
-    return np.frombuffer(b"".join(number), np.uint8).reshape(len(number), -1), class_of
+    kept = sorted(number)  # like beside like: compresses much better
+    place = np.empty(len(kept), np.int32)
+    place[[number[k] for k in kept]] = np.arange(len(kept))
+    return np.frombuffer(b"".join(kept), np.uint8).reshape(len(kept), -1), place[class_of]
 
 
 def compile_automaton(path: str) -> Automaton:

@@ -28,7 +28,7 @@ from scriptloom.llm.store import id_text, mix, stored, strings, text_groups, wor
 WORDS = 5
 SEEN = 200_000  # sets a task remembers as sent, to send copies once; a memory bound only
 STAR_ROUNDS = 2
-_INFO = struct.Struct("<?qq4q")
+_INFO = "<?qq4q"
 
 
 def _lower(text: bytes) -> bytes:
@@ -57,15 +57,19 @@ def shingle_sets(texts: list[str]):
             start += words
 
 
-def level_bounds(size: int, percent: int) -> tuple[int, int]:
-    """Number of the size band that holds ``size``, and the band's largest size.
+def set_hash(shingles: np.ndarray) -> int:
+    """A 64-bit name of the set, 0 for the empty one."""
+    if not len(shingles):
+        return 0
+    return int(mix(np.add.reduce(mix(shingles), keepdims=True) + np.uint64(len(shingles)))[0].view(np.int64))
+
+
+def next_band(bands: list[int], percent: int) -> int:
+    """The largest size of the band after ``bands`` (their largest sizes, from 0).
 
     Two sets within the threshold lie in one band or in neighbouring ones.
     """
-    level, high = 0, 0
-    while high < size:
-        level, high = level + 1, max((high + 1) * 100 // percent, high + 1)
-    return level, high
+    return max((bands[-1] + 1) * 100 // percent, bands[-1] + 1)
 
 
 def segment_keys(shingles: np.ndarray, level: int, high: int, percent: int) -> np.ndarray:
@@ -96,27 +100,27 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
 
 def _sketch(percent: int):
     def sketch(batches):
-        bounds = [(0, 0)]
+        bands = [0]
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column("id").to_pylist()
             keys, owners, extra_at, extra = [], [], [], []
             for i, shingles in enumerate(shingle_sets(strings(batch))):
                 n = len(shingles)
-                own = int(mix(np.array([np.add.reduce(mix(shingles)) + np.uint64(n)], np.uint64))[0].view(np.int64)) if n else 0
+                own = set_hash(shingles)
                 key = int(mix(np.array([ids[i] or 0], np.int64).view(np.uint64))[0].view(np.int64))
                 bits = parity_bits(shingles).tolist() if n else [0] * 4
-                extra.append(_INFO.pack(ids[i] is not None, ids[i] or 0, n, *bits))
+                extra.append(struct.pack(_INFO, ids[i] is not None, ids[i] or 0, n, *bits))
                 extra_at.append((key, own))
                 if n and own not in seen:
                     if len(seen) >= SEEN:
                         seen = set()
                     seen.add(own)
-                    while bounds[-1][1] < n or len(bounds) < 2 or bounds[-2][1] < n:
-                        bounds.append(level_bounds(bounds[-1][1] + 1, percent))
-                    level = int(np.searchsorted([h for _, h in bounds], n))
+                    while len(bands) < 3 or bands[-2] < n:
+                        bands.append(next_band(bands, percent))
+                    level = int(np.searchsorted(bands, n))
                     for at in (level, level + 1):
-                        found = segment_keys(shingles, at, bounds[at][1], percent)
+                        found = segment_keys(shingles, at, bands[at], percent)
                         keys.append(found)
                         owners.append(np.full(len(found), own, np.int64))
                 if sum(map(len, keys)) > 200_000:
@@ -149,7 +153,7 @@ def _shared(batches):
     fields = ["key", "own", "known", "id", "n", "b0", "b1", "b2", "b3"]
 
     def out(keys, own, info) -> pa.RecordBatch:
-        rows = [_INFO.unpack(x) for x in info[1]]
+        rows = [struct.unpack(_INFO, x) for x in info[1]]
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
         blank = [None] * len(keys)
         return pa.RecordBatch.from_arrays(
@@ -188,12 +192,15 @@ def _shared(batches):
 
 
 def _sets(batches):
+    """The shingles of sets; rows whose text is another one under the same id are left out."""
     for batch in batches:
-        kept = [x.view(np.int64) for x in shingle_sets(strings(batch))]
+        made, owns = list(shingle_sets(strings(batch))), batch.column("own").to_pylist()
+        right = [i for i, x in enumerate(made) if set_hash(x) == owns[i]]
+        kept = [made[i].view(np.int64) for i in right]
         offsets = np.cumsum([0, *map(len, kept)])
         flat = np.concatenate([*kept, np.zeros(0, np.int64)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("own"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["own", "shingles"]
+            [batch.column("own").take(pa.array(right, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["own", "shingles"]
         )
 
 
@@ -230,9 +237,8 @@ def near_duplicates(
         F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")]
     )
     wanted = shared.select("own").distinct().join(classes, "own").select("own", F.col("first_id").alias("id"))
-    texts = source.join(wanted, "id").select("own", "text").dropDuplicates(["own"]) if False else source.join(wanted, "id")
+    texts = source.join(wanted.withColumnRenamed("id", "first_id"), F.col("id").eqNullSafe(F.col("first_id")))
     sets = stored(texts.select("own", "text").mapInArrow(_sets, "own bigint, shingles array<bigint>"), "near-sets")
-    sets = sets.dropDuplicates(["own"]) if False else sets
 
     active = shared.withColumn("around", F.lit(False))  # around: within the threshold of a leader
     links = []

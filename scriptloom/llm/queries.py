@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from scriptloom.llm import bpe, chat, edits, language, packing, pii, quality, spots
+from scriptloom.llm import bpe, chat, edits, language, near, packing, pii, quality, spots
 from scriptloom.llm.store import table
 
 #: Folder of the public tokenizers' files.
@@ -64,6 +64,12 @@ def op3_best_fit_packing(spark, sf):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_ngram_jaccard(spark, sf):
+    return near.near_duplicates(table(spark, sf, "documents"), 80).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id"
+    )
+
+
 def op5_pii(spark, sf):
     found = pii.pii_spans(table(spark, sf, "documents"))
     listed = lambda spans: F.array_join(
@@ -162,6 +168,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
