@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 DENSE_SYMBOLS = 64  # longer words are encoded one by one, to keep the dense tables small
 DENSE_WORDS = 20_000  # words encoded together
-CACHED_WORDS = 600_000  # words a worker remembers; a memory bound, no effect on results
+CACHED_WORDS = 350_000  # words a worker remembers; a memory bound, no effect on results
 
 
 @dataclass

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from scriptloom.llm import bpe, chat, edits, language, near, packing, pii, quality, spots
+from scriptloom.llm import bpe, chat, edits, language, near, packing, pii, quality, repeats, spots
 from scriptloom.llm.store import table
 
 #: Folder of the public tokenizers' files.
@@ -114,6 +114,10 @@ def op7_bpe(spark, sf):
     )
 
 
+def op8_repeats(spark, sf):
+    return repeats.remove_repeats(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_token_counts(spark, sf):
     """Three edits of every document: a cut in the first quarter, words in the middle, more at the end."""
     trees = edits.build_trees(table(spark, sf, "documents"), vocabulary())
@@ -172,6 +176,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
+    "op8_repeats": op8_repeats,
     "op9_token_counts": op9_token_counts,
     "op10_spot_signatures": op10_spot_signatures,
 }
