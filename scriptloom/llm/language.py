@@ -160,3 +160,21 @@ def identify(documents: DataFrame, model: CentroidModel, id_column: str = "doc_i
             )
 
     return source.mapInArrow(predict, f"id {kind}, lang_pred string, score double, accepted boolean")
+
+
+def recognised(documents: DataFrame, model: CentroidModel, text_column: str = "text") -> DataFrame:
+    """The rows whose text the model accepts, with all their columns, in one narrow pass."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        model = shared.value
+        for batch in batches:
+            texts = strings(batch, text_column)
+            rows = [i for i, t in enumerate(texts) if model.names and has_letters(t)]
+            kept = np.zeros(len(texts), bool)
+            for begin in range(0, len(rows), 256):
+                part = rows[begin : begin + 256]
+                kept[part] = model.predict(np.array([ngram_counts(texts[i]) for i in part]))[2]
+            yield batch.filter(pa.array(kept))
+
+    return documents.mapInArrow(keep, documents.schema)

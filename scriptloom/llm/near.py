@@ -19,11 +19,11 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.llm.components import connected_components
-from scriptloom.llm.store import id_text, mix, stored, strings, text_groups, word_hashes
+from scriptloom.llm.store import id_text, mix, named, stored, strings, text_groups, word_hashes
 
 WORDS = 5
 SEEN = 200_000  # sets a task remembers as sent, to send copies once; a memory bound only
@@ -284,7 +284,22 @@ def near_duplicates(
     )
     grouped = stored(grouped, "near-classes")
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(smallest, "component").select("own", "component_id")
+    labelled = grouped.join(smallest, "component").select("own", "component_id")
     alone = info.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    rows = info.filter("n > 0").join(named, "own").select("id", F.col("n").alias("n_shingles"), "component_id")
+    rows = info.filter("n > 0").join(labelled, "own").select("id", F.col("n").alias("n_shingles"), "component_id")
     return rows.unionByName(alone)
+
+
+def one_of_each(documents: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows whose id is the smallest of their component, all columns kept.
+
+    Rows that repeat an id with the same text are reduced to one; rows of one id with different
+    texts stay together. Rows with a NULL id cannot be told apart by it: they all stay.
+    """
+    found = near_duplicates(documents, percent, id_column, text_column)
+    kept = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept")).distinct()
+    key = named(id_column).cast("bigint")
+    rows = documents.join(kept, key == F.col("_kept"), "left_semi")
+    same = Window.partitionBy(key, F.xxhash64(named(text_column))).orderBy(F.lit(0))
+    first = rows.withColumn("_copy", F.row_number().over(same)).filter("_copy = 1").drop("_copy")
+    return first.unionByName(documents.filter(key.isNull()))

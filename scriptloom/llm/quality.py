@@ -22,6 +22,11 @@ _COUNTED[1, [*range(65, 91), *range(97, 123), *range(192, 256)]] = True
 _COUNTED[2, list(range(65, 91))] = True
 
 
+# What good and bad texts get from a rule to begin with: good, bad, abstain. Fixed values.
+START = ((0.80, 0.02, 0.18), (0.40, 0.45, 0.15))
+PRIOR_WEIGHT = 20
+
+
 def _repeated(hashes: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     """For every word, whether it lies in a window of WINDOW words that its text holds twice or more."""
     n = len(hashes)
@@ -116,23 +121,29 @@ def rule_votes() -> dict[str, Column]:
 def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> list[float]:
     """Posterior probability of good quality for each vote pattern, given with its count.
 
-    Each rule is right with its own probability when it votes. Expectation-maximisation starts
-    from 0.8 for every rule; probabilities stay in [0.55, 0.99] and the share of good texts in
-    [0.5, 0.99], so that the two classes cannot swap their names.
+    Each rule has its own probabilities of voting good, voting bad and abstaining for good and for
+    bad texts, estimated by expectation-maximisation with START as prior observations of weight
+    PRIOR_WEIGHT. A rule stays at least twice as likely to vote bad on bad texts as on good ones,
+    and the share of good texts in [0.5, 0.99], so that the two classes cannot swap their names.
     """
     if not patterns:
         return []
-    votes = np.array([p for p, _ in patterns], float)
+    votes = np.array([p for p, _ in patterns])
     weight = np.array([n for _, n in patterns], float)
-    right, good = np.full(votes.shape[1], 0.8), 0.8
+    cast = np.stack([votes == v for v in (1, -1, 0)], 1).astype(float)  # pattern, vote, rule
+    start = np.array(START)[:, :, None].repeat(votes.shape[1], 2)  # class, vote, rule
+    chance, share = start.copy(), 0.9
     posterior = np.zeros(len(votes))
     for _ in range(rounds):
-        odds = math.log(good / (1 - good)) + votes @ np.log(right / (1 - right))
-        posterior = 1 / (1 + np.exp(-odds))
-        agree = np.where(votes > 0, posterior[:, None], 1 - posterior[:, None]) * (votes != 0)
-        cast = ((votes != 0) * weight[:, None]).sum(0)
-        right = np.clip(((agree * weight[:, None]).sum(0) + 8) / (cast + 10), 0.55, 0.99)
-        good = float(np.clip((posterior * weight).sum() / weight.sum(), 0.5, 0.99))
+        odds = math.log(share / (1 - share)) + np.einsum("pvr,vr->p", cast, np.log(chance[0] / chance[1]))
+        posterior = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        seen = np.stack([np.einsum("p,pvr->vr", weight * q, cast) for q in (posterior, 1 - posterior)])
+        chance = seen + PRIOR_WEIGHT * start
+        chance /= chance.sum(1, keepdims=True)
+        chance[0, 1] = np.minimum(chance[0, 1], chance[1, 1] / 2)
+        chance[1, 0] = np.minimum(chance[1, 0], chance[0, 0])
+        chance /= chance.sum(1, keepdims=True)
+        share = float(np.clip((posterior * weight).sum() / weight.sum(), 0.5, 0.99))
     return [float(p) for p in posterior]
 
 

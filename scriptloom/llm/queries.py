@@ -181,4 +181,48 @@ QUERIES = {
     "op10_spot_signatures": op10_spot_signatures,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Lengths and digests of the same turns, put together without the tree; 6 + 1 and 8 characters of
+# template a turn.
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), c AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS said,
+    sum(15 + length(regexp_replace(role || text, '([\\<>])', '\1\1', 'g'))) AS chars
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(said) AS loss_chars,
+  sha256(said) AS loss_sha256, chars::BIGINT AS formatted_chars
+FROM c
+"""
+
+# All pairs that share a shingle, then components by reachability.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y
+  WHERE 100 * both >= 80 * (nx.n + ny.n - both)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id, doc_id AS reached FROM documents
+  UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reached = e.x
+)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_ngram_jaccard": OP4_SQL}

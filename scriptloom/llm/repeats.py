@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.store import _powers, id_text, mix, stored, strings, text_groups
+from scriptloom.llm.store import id_text, mix, named, powers, stored, strings
 
 LENGTH = 200
 GRAM = 40
@@ -41,14 +41,14 @@ def anchored_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         return empty, empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     grams = mix(data.astype(np.uint64) + np.uint64(1))
     done, pieces, left = 1, [], gram
-    powers = {1: grams}
+    doubled = {1: grams}
     while done * 2 <= gram:
-        g = powers[done]
-        powers[done * 2] = g[:-done] * np.uint64(0x9E3779B97F4A7C15) + (g[done:] ^ (g[done:] >> np.uint64(29)))
+        g = doubled[done]
+        doubled[done * 2] = g[:-done] * np.uint64(0x9E3779B97F4A7C15) + (g[done:] ^ (g[done:] >> np.uint64(29)))
         done *= 2
     while left:  # put the powers of two that make up ``gram`` side by side
         part = 1 << (left.bit_length() - 1)
-        pieces.append((gram - left, powers[part]))
+        pieces.append((gram - left, doubled[part]))
         left -= part
     count = len(data) - gram + 1
     hashes = pieces[0][1][:count]
@@ -76,7 +76,7 @@ def anchored_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     begin, stop = starts[first], starts[last] + length
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     at = a[first]
@@ -278,7 +278,8 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int = LENGT
 
 
 def _repeat_groups(batches):
-    """Maximal repeats of rows sorted by anchor and right side: own, begin, end, group, occurrences."""
+    """Repeats of rows sorted by anchor and right side: own, begin, end of what a member repeats, and
+    its longest maximal repeat group with the number of occurrences."""
     held: list[tuple] = []
 
     def groups(rows):
@@ -291,18 +292,24 @@ def _repeat_groups(batches):
     def put(rows):
         columns = [[] for _ in range(5)]
         for group in groups(rows):
+            # Every repeat around the anchor holds the anchor, so a member's repeats together are
+            # one stretch; its row names the longest group.
+            reach, best = {}, {}
             for number, (left, right, members) in enumerate(
                 maximal_repeats([r[4] for r in group], [r[5] for r in group])
             ):
                 for m in members:
-                    start, _, place = unpack_place(group[m][2])
-                    if not group[m][3]:
-                        for c, v in zip(
-                            columns,
-                            (group[m][1], start + place - left, start + place + right, group[0][0] ^ (number << 8), len(members)),
-                            strict=True,
-                        ):
-                            c.append(v)
+                    low, high = reach.get(m, (0, 0))
+                    reach[m] = max(low, left), max(high, right)
+                    best[m] = max(best.get(m, (0, 0, 0)), (left + right, len(members), number))
+            for m, (left, right) in reach.items():
+                _, own, packed, whole, _, _ = group[m]
+                if not whole:
+                    start, _, place = unpack_place(packed)
+                    middle, (_, many, number) = start + place, best[m]
+                    row = (own, middle - left, middle + right, group[0][0] ^ (number << 8), many)
+                    for c, v in zip(columns, row, strict=True):
+                        c.append(v)
         return pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in columns], ["own", "begin", "end", "repeat_group", "occurrences"]
         )
@@ -329,7 +336,7 @@ def _windows(batches):
         ):
             start, _, _ = unpack_place(packed)
             data = left[::-1] + right
-            up, down = _powers(len(data) + 1)
+            up, down = powers(len(data) + 1)
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
             n = len(data) - LENGTH + 1
@@ -360,7 +367,7 @@ def _windows(batches):
 def _cut(batches):
     """What is left of each text after its repeated stretches."""
     for batch in batches:
-        columns = [[] for _ in range(4)]
+        columns = [[] for _ in range(3)]
         for text, runs, repeats in zip(
             strings(batch), batch.column("repeated").to_pylist(), batch.column("intervals").to_pylist(), strict=True
         ):
@@ -380,11 +387,17 @@ def _cut(batches):
                     end = b
                 done = end
             kept.append(data[done:])
-            for c, v in zip(columns, (removed, many, b"".join(kept)), strict=False):
+            for c, v in zip(columns, (removed, many, b"".join(kept)), strict=True):
                 c.append(v)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("own"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],
-            ["own", "n_removed", "n_spans", "kept"],
+            [
+                batch.column("own"),
+                pa.array(columns[0], pa.int64()),
+                pa.array(columns[1], pa.int64()),
+                pa.array(columns[2], pa.binary()),
+                pa.array([k.decode("utf-8", "ignore") for k in columns[2]], pa.string()),
+            ],
+            ["own", "n_removed", "n_spans", "kept", "kept_text"],
         )
 
 
@@ -392,9 +405,10 @@ def find_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: s
     """Repeated strings of all texts, as ``info``, ``changed`` and ``groups``.
 
     ``info``: a row for each document with id, own (hash of its text), n_bytes, digest (SHA-256) and
-    copies (documents of this text). ``changed``: own, n_removed, n_spans, kept (bytes left) of texts
+    copies (documents of this text). ``changed``: own, n_removed, n_spans, kept (bytes left), kept_text of texts
     without copies that lose something; a text with copies loses all of it if it has 200 bytes.
-    ``groups``: own, begin, end, repeat_group, occurrences: the maximal repeats beside whole runs.
+    ``groups``: own, begin, end, repeat_group, occurrences: repeats beside whole runs, one row for
+    each occurrence, with its longest maximal repeat group.
     NULL texts are empty. Ids are whole numbers; repeated and NULL ids keep their rows.
     """
     source = id_text(documents, id_column, text_column).withColumn("id", F.col("id").cast("bigint"))
@@ -442,7 +456,7 @@ def find_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: s
     per_own = spans.groupBy("own").agg(F.collect_list(F.struct("begin", "end")).alias("intervals"))
     alone = held.filter("copies = 1").select("own", "text", "repeated")
     joined = alone.join(per_own, "own", "left").filter((F.size("repeated") > 0) | F.col("intervals").isNotNull())
-    changed = joined.mapInArrow(_cut, "own bigint, n_removed bigint, n_spans bigint, kept binary")
+    changed = joined.mapInArrow(_cut, "own bigint, n_removed bigint, n_spans bigint, kept binary, kept_text string")
     return info.join(classes.select("own", "copies"), "own"), changed, groups
 
 
@@ -459,3 +473,21 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
     )
+
+
+def without_repeats(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars"
+) -> DataFrame:
+    """The same rows and columns without their repeated strings; ``length_column``, if it is there,
+    follows the text. Bytes of a code point that lost others go too; NULL texts stay NULL."""
+    with_id = documents.withColumn("_own", F.xxhash64(F.coalesce(named(text_column), F.lit(""))))
+    info, changed, _ = find_repeats(documents, id_column, text_column)
+    gone = info.filter((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("own").distinct()
+    effects = changed.select("own", "kept_text").unionByName(gone.select("own", F.lit("").alias("kept_text")))
+    joined = with_id.join(effects.withColumnRenamed("own", "_gone_own").withColumnRenamed("kept_text", "_kept_text"), F.col("_own") == F.col("_gone_own"), "left")
+    text = F.when(named(text_column).isNotNull(), F.coalesce("_kept_text", named(text_column)))
+    out = joined.withColumn(text_column, text)
+    if length_column in documents.columns:
+        kind = documents.schema[length_column].dataType
+        out = out.withColumn(length_column, F.length(named(text_column)).cast(kind))
+    return out.select(*[named(c) for c in documents.columns])

@@ -47,7 +47,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)  # odd, hence invertible modulo 2**64
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
         n = 1 << (n - 1).bit_length()
         for name, base in (("up", int(_M)), ("down", pow(int(_M), -1, 1 << 64))):
@@ -74,7 +74,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edges = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edges[0::2], edges[1::2]
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
