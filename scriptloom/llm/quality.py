@@ -111,7 +111,8 @@ def rule_votes() -> dict[str, Column]:
         "length": _vote(c["n_words"] >= 30, c["n_words"] < 10),
         "repeats": _vote(c["n_repeat_words"] * 20 <= c["n_words"], c["n_repeat_words"] * 5 > c["n_words"]),
         "symbols": _vote(c["n_symbols"] * 50 <= words, c["n_symbols"] * 10 > words),
-        "lines": _vote(c["n_dup_lines"] == 0, c["n_dup_lines"] * 10 > c["n_lines"] * 3),
+        "symbol_share": _vote(c["n_symbols"] * 100 <= chars, c["n_symbols"] * 20 > chars),
+        "lines": _vote(c["n_dup_lines"] == 0, c["n_dup_lines"] * 2 > c["n_lines"]),
         "word_length": _vote((mean >= 3) & (mean <= 10), (mean < 2) | (mean > 14)),
         "letters": _vote(c["n_letters"] * 10 >= chars * 8, c["n_letters"] * 10 < chars * 6),
         "capitals": _vote(c["n_upper"] * 10 <= chars, c["n_upper"] * 10 > chars * 4),
@@ -150,7 +151,7 @@ def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 5
 def quality(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, COUNTS, the votes (vote_*) and ``quality``, the posterior probability of good quality.
 
-    Vote patterns are counted over all rows; there are at most 3 ** 7 of them, which bounds both
+    Vote patterns are counted over all rows; there are at most 3 ** 8 of them, which bounds both
     what the driver fits on and the broadcast of the posteriors. An empty table gives an empty one.
     """
     rules = rule_votes()
