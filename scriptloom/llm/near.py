@@ -16,6 +16,7 @@ Nothing is capped; candidates are verified on the whole sets.
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +74,18 @@ def next_band(bands: list[int], percent: int) -> int:
 
 
 def segment_keys(shingles: np.ndarray, level: int, high: int, percent: int) -> np.ndarray:
-    """Join keys of a set at a level whose largest sets have ``high`` shingles."""
-    most = 2 * high * (100 - percent) // (100 + percent)  # symmetric difference allowed
+    """Join keys of a set at a level whose largest sets have ``high`` shingles.
+
+    The level's largest sets fix the number of segments. How many of its own a set needs to send
+    follows from the largest partner it can have there: the first common segment of two sets has
+    no more than their symmetric difference before it in either.
+    """
+    sizes = len(shingles) + min(high, len(shingles) * 100 // percent)
+    most = sizes * (100 - percent) // (100 + percent)  # symmetric difference allowed
     if not most:
         return np.zeros(0, np.uint64)  # only equal sets are that near
-    m = most + most // 8 + 2
+    widest = 2 * high * (100 - percent) // (100 + percent)
+    m = widest + widest // 8 + 2
     segment = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as shingles are
     begins = np.flatnonzero(np.diff(segment, prepend=segment[0] + np.uint64(1)) != 0)
     folded = np.bitwise_xor.reduceat(mix(shingles), begins)
@@ -119,7 +127,7 @@ def _sketch(percent: int):
                     while len(bands) < 3 or bands[-2] < n:
                         bands.append(next_band(bands, percent))
                     level = int(np.searchsorted(bands, n))
-                    for at in (level, level + 1):
+                    for at in (level, level + 1) if n * 100 // percent > bands[level] else (level,):
                         found = segment_keys(shingles, at, bands[at], percent)
                         keys.append(found)
                         owners.append(np.full(len(found), own, np.int64))
@@ -204,8 +212,17 @@ def _sets(batches):
         )
 
 
+def _bucketed(sets: DataFrame) -> DataFrame:
+    """Sets, each once, as a table bucketed by name, so that no verification shuffles them again."""
+    spark = sets.sparkSession
+    name = f"near_sets_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets.dropDuplicates(["own"]).write.bucketBy(parts, "own").sortBy("own").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b with the sizes of both sets and of what they share."""
+    """a, b with the sizes of what both sets share and of both together."""
     a = sets.select(F.col("own").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("own").alias("b"), F.col("shingles").alias("set_b"))
     met = pairs.join(b, "b").join(a, "a")
@@ -213,6 +230,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either"))
 
 
+_TRAITS = ("n", "b0", "b1", "b2", "b3")
+
+
+def _least_apart(one: str, two: str):
+    """A lower bound of the Jaccard distance of two sets, from their sizes and parity bits."""
+    flipped = F.bit_count(F.col(f"b0{one}").bitwiseXOR(F.col(f"b0{two}")))
+    for i in range(1, 4):
+        flipped = flipped + F.bit_count(F.col(f"b{i}{one}").bitwiseXOR(F.col(f"b{i}{two}")))
+    n, m = F.col(f"n{one}"), F.col(f"n{two}")
+    return F.greatest(1 - F.least(n, m) / F.greatest(n, m), 2 * flipped / (n + m + flipped))
+
+
 def _near(percent: int):
     return F.col("both") * 100 >= F.col("either") * percent
 
@@ -238,8 +267,14 @@ def near_duplicates(
     )
     wanted = shared.select("own").distinct().join(classes, "own").select("own", F.col("first_id").alias("id"))
     texts = source.join(wanted.withColumnRenamed("id", "first_id"), F.col("id").eqNullSafe(F.col("first_id")))
-    sets = stored(texts.select("own", "text").mapInArrow(_sets, "own bigint, shingles array<bigint>"), "near-sets")
+    sets = _bucketed(texts.select("own", "text").mapInArrow(_sets, "own bigint, shingles array<bigint>"))
+    traits = classes.drop("first_id")
+
+    def with_traits(df: DataFrame, name: str) -> DataFrame:
+        return df.join(traits.select(F.col("own").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in _TRAITS]), name)
 
+    limit = 1 - percent / 100
+    least = _least_apart("_a", "_b")
     active = shared.withColumn("around", F.lit(False))  # around: within the threshold of a leader
     links = []
     for _ in range(STAR_ROUNDS):
@@ -249,32 +284,27 @@ def near_duplicates(
         )
         met_leader = active.join(led.filter("members > 1"), "key").filter("own != leader")
         met_leader = met_leader.select("key", F.col("own").alias("a"), F.col("leader").alias("b"), "around")
-        found = stored(_verified(met_leader.select("a", "b").distinct(), sets), "near-star")
+        pairs = with_traits(with_traits(met_leader.select("a", "b").distinct(), "a"), "b").select("a", "b", least.alias("least"))
+        pairs = stored(pairs, "near-pairs")
+        found = stored(_verified(pairs.filter(F.col("least") <= limit + 1e-9).select("a", "b"), sets), "near-star")
         links.append(found.filter(_near(percent)).select("a", "b"))
-        apart = 1 - F.col("both") / F.col("either")
-        judged = met_leader.join(found.select("a", "b", apart.alias("apart"), _near(percent).alias("near")), ["a", "b"])
-        limit = 1 - percent / 100
-        border = judged.filter(~F.col("near")).groupBy("key").agg(F.min("apart").alias("border"), F.count("*").alias("others"))
+        # Pairs whose sizes and parity bits keep them apart have a lower bound of their distance,
+        # which is on the safe side wherever it is used below.
+        apart = F.coalesce(1 - F.col("both") / F.col("either"), F.col("least"))
+        near = F.coalesce(_near(percent), F.lit(False))
+        judged = met_leader.join(
+            pairs.join(found, ["a", "b"], "left").select("a", "b", apart.alias("apart"), near.alias("near")), ["a", "b"]
+        )
+        border = judged.filter(~F.col("near")).groupBy("key").agg(F.min("apart").alias("border"))
         left = judged.join(border, "key").filter(
             ~F.col("near") | (F.col("apart") >= F.col("border") - limit - 1e-9)
         )
         active = stored(left.select("key", F.col("a").alias("own"), (F.col("near") | F.col("around")).alias("around")), "near-active")
-    sized = active.join(classes.drop("first_id"), "own")
-    one = sized.select("key", *[F.col(c).alias(f"{c}_a") for c in ("own", "around", "n", "b0", "b1", "b2", "b3")])
-    two = sized.select("key", *[F.col(c).alias(f"{c}_b") for c in ("own", "around", "n", "b0", "b1", "b2", "b3")])
-    distance = sum(
-        (F.bit_count(F.col(f"b{i}_a").bitwiseXOR(F.col(f"b{i}_b"))) for i in range(1, 4)),
-        F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))),
-    )
-    sizes = F.col("n_a") + F.col("n_b")
-    rest = one.join(two, "key").filter(
-        (F.col("own_a") < F.col("own_b"))
-        & ~(F.col("around_a") & F.col("around_b"))
-        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        & (distance * (100 + percent) <= sizes * (100 - percent))
-    )
-    rest = _verified(rest.select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).distinct(), sets)
-    links.append(rest.filter(_near(percent)).select("a", "b"))
+    one = active.select("key", F.col("own").alias("a"), F.col("around").alias("around_a"))
+    two = active.select("key", F.col("own").alias("b"), F.col("around").alias("around_b"))
+    rest = one.join(two, "key").filter((F.col("a") < F.col("b")) & ~(F.col("around_a") & F.col("around_b")))
+    rest = with_traits(with_traits(rest.select("a", "b").distinct(), "a"), "b").filter(least <= limit + 1e-9)
+    links.append(_verified(rest.select("a", "b"), sets).filter(_near(percent)).select("a", "b"))
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
