@@ -155,6 +155,10 @@ STATEMENT = _by_remainder(
 )
 
 
+# The driver tables are one small file each: scripts made from them are dealt over this many.
+PARTITIONS = 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -188,7 +192,7 @@ def retail_returns(spark, sf_dir) -> DataFrame:
 
 def _orders(spark, sf_dir) -> DataFrame:
     columns = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return spread(table(spark, sf_dir, "orders").select(*columns), "o_orderkey")
+    return spread(table(spark, sf_dir, "orders").select(*columns), "o_orderkey", PARTITIONS)
 
 
 def scripts(spark, sf_dir) -> DataFrame:
@@ -196,7 +200,7 @@ def scripts(spark, sf_dir) -> DataFrame:
         "'order ' || cast(o_orderkey as string) AS script_id", f"{ORDER_SCRIPT} AS text"
     )
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    documents = spread(documents, "doc_id").selectExpr(
+    documents = spread(documents, "doc_id", PARTITIONS).selectExpr(
         "'document ' || cast(doc_id as string) AS script_id", f"{DOCUMENT_SCRIPT} AS text"
     )
     return orders.unionByName(documents)

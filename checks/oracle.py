@@ -6,6 +6,7 @@ RE2 has no lookahead and no possessive groups, so the patterns differ from the l
 from __future__ import annotations
 
 from checks.inputs import CHUNKS_SQL, GENERATED_SQL, SCRIPTS_SQL, STATEMENTS_SQL
+from scriptloom.operators import convert
 
 _BLANK_CODES = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -177,13 +178,24 @@ _TOKEN = (
     rf'|"[^"]*"|[0-9]+(?:\.[0-9]+)?|[\p{{L}}_][\p{{L}}0-9_$#]*'
     rf"|:=|<=|>=|<>|!=|\|\||=>|\.\.|[-+*/<>=%]|[^{_BLANKS}]"
 )
-_TOKENS_SQL = _rows(
-    STATEMENTS_SQL,
-    f"regexp_extract_all(block, {_quoted(_TOKEN)})",
-    "script_id, block_no",
-    "token_no",
-    "value",
-)
+
+
+def _tokens(source: str) -> str:
+    every = _rows(
+        source, f"regexp_extract_all(block, {_quoted(_TOKEN)})", "script_id, block_no", "token_no", "value"
+    )
+    return f"""
+        SELECT script_id, block_no, token_no, CASE
+          WHEN starts_with(value, '--') OR (starts_with(value, '/*') AND length(value) > 1) THEN 'comment'
+          WHEN length(value) > 1 AND value[1] IN ('''', '"') THEN 'string'
+          WHEN regexp_matches(value, '^[0-9]') THEN 'number'
+          WHEN regexp_matches(value, '^[\\p{{L}}_]') THEN 'word'
+          WHEN value IN (':=', '<=', '>=', '<>', '!=', '||', '=>', '..', '-', '+', '*', '/', '<', '>', '=', '%')
+            THEN 'operator'
+          ELSE 'punctuation' END AS token_type, value
+        FROM ({every})"""
+
+
 
 # SAS
 _N = "[a-zA-Z_][a-zA-Z0-9_]*"
@@ -235,7 +247,11 @@ _REASON = (
     "CASE WHEN contains(request, '%include') THEN 'file not found' ELSE 'LLM returned empty result' END"
 )
 _ANSWERED = f"SELECT *, {_ANSWER} AS answer, {_REASON} AS why FROM"
-_RECORDS = f"""
+
+
+def _records(skipped: str, told: str = "") -> str:
+    answered = _ANSWERED if not told else _ANSWERED.replace("|| ' chars'", f"|| ' chars{told}'")
+    return f"""
 SELECT id, skipped OR answer IS NOT NULL AS ok,
   CASE WHEN skipped THEN '# ' || upper(type) || ' skipped' || chr(10)
        WHEN answer IS NULL THEN '# LLM ERROR: ' || why ELSE answer END AS code,
@@ -245,8 +261,11 @@ SELECT id, skipped OR answer IS NOT NULL AS ok,
   cast(CASE WHEN skipped OR answer IS NULL THEN 0 WHEN answer = '# library' THEN 9
        ELSE {_words("answer")} END AS integer) AS output_tokens,
   cast(input_tokens + output_tokens AS integer) AS total_tokens
-FROM ({_ANSWERED} (SELECT *, lower(type) = 'macro' AS skipped, {_REQUEST} AS request FROM ({CHUNKS_SQL})))
+FROM ({answered} (SELECT *, {skipped} AS skipped, {_REQUEST} AS request FROM ({CHUNKS_SQL})))
 """
+
+
+_RECORDS = _records("lower(type) = 'macro'")
 _ID_NUMBER = "cast(regexp_extract(id, '[^_]*$') AS bigint)"
 _BLOCK_REQUEST_HEAD = (
     "chr(10) || 'You are a data engineer. Convert the following PL/SQL code block into equivalent"
@@ -259,10 +278,17 @@ _ONE_TRY = (
     "CASE WHEN contains(request, 'proc sort') THEN '# Error: try again'"
     " WHEN answer IS NULL THEN '# Error: ' || why ELSE answer END"
 )
-_CONVERTED = (
-    f"SELECT script_id, block_no, block, {_ONE_TRY} AS converted FROM ({_ANSWERED}"
-    f" (SELECT *, {_BLOCK_REQUEST_HEAD} AS request FROM ({_STATEMENTS_SQL})))"
-)
+
+
+def _converted(source: str) -> str:
+    return (
+        f"SELECT script_id, block_no, block, {_ONE_TRY} AS converted FROM ({_ANSWERED}"
+        f" (SELECT *, {_BLOCK_REQUEST_HEAD} AS request FROM ({source})))"
+    )
+
+
+_CONVERTED = _converted(_STATEMENTS_SQL)
+_ASSEMBLED = "string_agg(converted, chr(10) || chr(10) ORDER BY block_no)"
 _SCRIPT_REQUEST = (
     "'You are a data engineer. Convert the following ENTIRE PL/SQL script into a single, clean,"
     " production-ready PySpark script using the DataFrame API.' || chr(10) || 'Integrate all logic,"
@@ -278,6 +304,36 @@ _MARKERS = ("# LLM ERROR", 'spark.sql("""', "pass", "TODO", "NA")
 _TERM_HITS = " + ".join(f"contains(c, '{t}')::integer" for t in _TERMS)
 _MARKER_HITS = " OR ".join(f"contains(c, '{m}')" for m in _MARKERS)
 
+
+
+def _judged(source: str, columns: str) -> str:
+    """Score, tags and decision for ``source`` with a column code."""
+    return f"""
+        SELECT {columns}, code,
+          100 - CASE WHEN short THEN 40 ELSE 0 END - CASE WHEN bare THEN 30 ELSE 0 END
+            - CASE WHEN marked THEN 30 ELSE 0 END AS validation_score,
+          concat_ws(',', CASE WHEN short THEN 'length_check' END, CASE WHEN bare THEN 'spark_coverage' END,
+            CASE WHEN marked THEN 'llm_artifact' END) AS validation_tags,
+          NOT (short OR bare OR marked) AS validation_passed,
+          CASE WHEN short OR bare OR marked THEN 'validation' ELSE '' END AS failed_chunks
+        FROM (SELECT {columns}, code, length({_strip("c")}) < 20 AS short, {_TERM_HITS} < 2 AS bare,
+            {_MARKER_HITS} AS marked
+          FROM (SELECT *, coalesce(code, '') AS c FROM ({source})))"""
+
+
+def _filled(template: str) -> str:
+    """A template with its fields replaced in SQL."""
+    text = _quoted(template)
+    for field in ("id", "type", "code"):
+        text = f"replace({text}, '{{{field}}}', {field})"
+    return text
+
+
+_TEMPLATES = (
+    "SAS_CHUNK_REQUEST", "BLOCK_REQUEST", "BLOCK_REQUEST_CODE_ONLY", "BLOCK_REQUEST_MIGRATION",
+    "SCRIPT_REQUEST", "SCRIPT_REQUEST_MIGRATION",
+)
+
 _RETAIL = """
 WITH order_details AS (
   SELECT o_orderkey AS order_id, cast(o_orderdate AS date) AS order_date, p_type AS category,
@@ -358,16 +414,8 @@ ORACLE_SQL = {
     "block_counts": f"""
         SELECT script_id, cast(coalesce(len(chunked), 0) AS integer) AS num_blocks
         FROM (SELECT script_id FROM ({SCRIPTS_SQL})) LEFT JOIN ({_CHUNK_LISTS}) USING (script_id)""",
-    "block_tokens": f"""
-        SELECT script_id, block_no, token_no, CASE
-          WHEN starts_with(value, '--') OR (starts_with(value, '/*') AND length(value) > 1) THEN 'comment'
-          WHEN length(value) > 1 AND value[1] IN ('''', '"') THEN 'string'
-          WHEN regexp_matches(value, '^[0-9]') THEN 'number'
-          WHEN regexp_matches(value, '^[\\p{{L}}_]') THEN 'word'
-          WHEN value IN (':=', '<=', '>=', '<>', '!=', '||', '=>', '..', '-', '+', '*', '/', '<', '>', '=', '%')
-            THEN 'operator'
-          ELSE 'punctuation' END AS token_type, value
-        FROM ({_TOKENS_SQL})""",
+    "block_tokens": _tokens(STATEMENTS_SQL),
+    "chunk_tokens": _tokens(_CHUNKED),
     "sas_kinds": f"SELECT id, type, node_no, {_KIND} AS kind, {_NAME} AS name, {_PATH} AS path FROM ({_NODES_SQL})",
     "sas_statements": f"""
         SELECT id, node_no, statement_no,
@@ -379,9 +427,13 @@ ORACLE_SQL = {
                WHEN regexp_full_match(s, '{_DECLARE}') THEN trim(regexp_extract(s, '{_DECLARE}', 1))
                ELSE s END AS raw
         FROM ({_SAS_STATEMENTS})""",
-    "render_prompt": f"""
-        SELECT id, request, {_words("request")} AS request_tokens
-        FROM (SELECT id, {_REQUEST} AS request FROM ({CHUNKS_SQL}))""",
+    "render_prompt": f"SELECT template, id, request, {_words('request')} AS request_tokens FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{t}' AS template, id, {_filled(getattr(convert, t))} AS request FROM ({CHUNKS_SQL})"
+        for t in _TEMPLATES
+    )
+    + ")",
+    "convert_with_system": _records("false", f" after {len(convert.SAS_SYSTEM_TEXT)}"),
     "dry_run_convert": f"""
         SELECT id, true AS ok,
           CASE WHEN type = 'comment' THEN '# COMMENT skipped' || chr(10) ELSE '# DRY RUN - SKIPPED' END AS code,
@@ -393,10 +445,30 @@ ORACLE_SQL = {
           {_words("answer")} AS output_tokens, cast(input_tokens + output_tokens AS integer) AS total_tokens
         FROM ({_ANSWERED} (SELECT script_id, {_SCRIPT_REQUEST} AS request FROM ({SCRIPTS_SQL})))""",
     "conversion_mapping": _CONVERTED,
-    "assemble_script": f"""
-        SELECT script_id, cast((block_no - 1) // 64 AS integer) AS part_no,
-          string_agg(converted, chr(10) || chr(10) ORDER BY block_no) AS code
+    "mapping_of_tables": _CONVERTED,
+    "mapping_csv_roundtrip": _CONVERTED,
+    "assemble_script": f"SELECT script_id, {_ASSEMBLED} AS code FROM ({_CONVERTED}) GROUP BY 1",
+    "assemble_parts": f"""
+        SELECT script_id, cast((block_no - 1) // 64 AS integer) AS part_no, {_ASSEMBLED} AS code
         FROM ({_CONVERTED}) GROUP BY 1, 2""",
+    "assembled_roundtrip": f"""
+        SELECT repeat('folder/', 45) || script_id AS script_id, {_ASSEMBLED} AS code
+        FROM ({_CONVERTED}) GROUP BY 1""",
+    "migrate_scripts": "SELECT * EXCLUDE (failed_chunks) FROM ("
+    + _judged(f"SELECT script_id, {_ASSEMBLED} AS code FROM ({_converted(_CHUNKED)}) GROUP BY 1", "script_id")
+    + ")",
+    "audit_duplicates": f"""
+        SELECT id, {_ID_NUMBER} AS id_num, CASE WHEN {_ID_NUMBER} % 3 = 0 THEN ''
+          WHEN {_ID_NUMBER} % 4 = 2 THEN 'again ' || code ELSE code END AS input_sas_code
+        FROM ({CHUNKS_SQL})""",
+    "audit_csv_roundtrip": f"""
+        SELECT r.id, ok AS success, reason, c.code AS input_sas_code, r.code AS output_pyspark_code,
+          input_tokens, output_tokens, total_tokens
+        FROM ({_RECORDS}) r JOIN ({CHUNKS_SQL}) c ON r.id = c.id""",
+    "chunk_csv_roundtrip": CHUNKS_SQL,
+    "typed_tables": """
+        SELECT cast(o_orderkey AS integer) AS order_id, cast(o_custkey AS integer) AS customer_id,
+          cast(o_orderdate AS date) AS order_date, o_orderstatus AS status FROM orders""",
     "conversion_audit": f"""
         SELECT r.id, cast(regexp_extract(r.id, '[^_]*$') AS bigint) AS id_num, ok AS success, reason,
           c.code AS input_sas_code, r.code AS output_pyspark_code, input_tokens, output_tokens, total_tokens
@@ -406,17 +478,7 @@ ORACLE_SQL = {
     "conversion_meta": f"""
         SELECT 'stand-in' AS model, count(*) AS total_chunks, count(*) FILTER (ok) AS successes,
           count(*) FILTER (NOT ok) AS failures FROM ({_RECORDS})""",
-    "validate_code": f"""
-        SELECT o_orderkey, code,
-          100 - CASE WHEN short THEN 40 ELSE 0 END - CASE WHEN bare THEN 30 ELSE 0 END
-            - CASE WHEN marked THEN 30 ELSE 0 END AS validation_score,
-          concat_ws(',', CASE WHEN short THEN 'length_check' END, CASE WHEN bare THEN 'spark_coverage' END,
-            CASE WHEN marked THEN 'llm_artifact' END) AS validation_tags,
-          NOT (short OR bare OR marked) AS validation_passed,
-          CASE WHEN short OR bare OR marked THEN 'validation' ELSE '' END AS failed_chunks
-        FROM (SELECT o_orderkey, code, length({_strip("c")}) < 20 AS short, {_TERM_HITS} < 2 AS bare,
-            {_MARKER_HITS} AS marked
-          FROM (SELECT *, coalesce(code, '') AS c FROM ({GENERATED_SQL})))""",
+    "validate_code": _judged(GENERATED_SQL, "o_orderkey"),
     "scripts_source": """
         SELECT c_custkey // 100 AS file_no, string_agg('UPDATE c SET segment = ''' || c_mktsegment
           || ''' WHERE name = ''' || c_name || ''';' || chr(10), '' ORDER BY c_custkey) AS text

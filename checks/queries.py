@@ -12,11 +12,12 @@ from scriptloom.operators import blocks as blk
 from scriptloom.operators import convert as cv
 from scriptloom.operators.validate import validate_code as validate
 from scriptloom.plans import retail
+from scriptloom.plans.conversion import migrate_scripts as migrate
 from scriptloom.plans.conversion import run_conversion
 from scriptloom.session import fresh_path
 from scriptloom.sources import csv_tables
 from scriptloom.sources.scripts import read_scripts
-from scriptloom.sources.tables import insert_values
+from scriptloom.sources.tables import insert_values, read_table
 
 # Retail report
 
@@ -199,7 +200,7 @@ def sas_statements(spark, sf):
 
 
 def open_stand_in():
-    def open_converter():
+    def open_converter(system=None):
         tried = set()
 
         def convert(request):
@@ -213,7 +214,8 @@ def open_stand_in():
                 return " \n"
             if "libname" in request:
                 return "# library", 7, 9
-            return f" df = spark.read.table('t')  # from {len(request)} chars\n"
+            told = f" after {len(system)}" if system else ""
+            return f" df = spark.read.table('t')  # from {len(request)} chars{told}\n"
 
         return convert
 
@@ -221,7 +223,29 @@ def open_stand_in():
 
 
 def render_prompt(spark, sf):
-    return cv.render_prompt(inputs.chunks(spark, sf)).select("id", "request", "request_tokens")
+    """All request texts: of SAS chunks, and those of blocks and whole scripts without a number."""
+    rendered = cv.render_prompt(inputs.chunks(spark, sf)).select(
+        F.lit("SAS_CHUNK_REQUEST").alias("template"), "id", "request", "request_tokens"
+    )
+    for name in TEMPLATES:
+        other = cv.render_prompt(inputs.chunks(spark, sf), getattr(cv, name))
+        rendered = rendered.unionByName(
+            other.select(F.lit(name).alias("template"), "id", "request", "request_tokens")
+        )
+    return rendered
+
+
+TEMPLATES = (
+    "BLOCK_REQUEST",
+    "BLOCK_REQUEST_CODE_ONLY",
+    "BLOCK_REQUEST_MIGRATION",
+    "SCRIPT_REQUEST",
+    "SCRIPT_REQUEST_MIGRATION",
+)
+
+
+def convert_with_system(spark, sf):
+    return cv.convert(inputs.chunks(spark, sf), open_stand_in(), system=cv.SAS_SYSTEM_TEXT)
 
 
 def dry_run_convert(spark, sf):
@@ -247,27 +271,61 @@ def convert_scripts(spark, sf):
     )
 
 
+_BLOCK_OPTIONS = {
+    "template": cv.BLOCK_REQUEST,
+    "retries": 0,
+    "error_prefix": "# Error: ",
+    "allow_empty": True,
+}
+
+
+def _statement_chunks(spark, sf):
+    return cv.as_chunks(blk.with_block_type(blk.split_statements(scripts(spark, sf))))
+
+
 def _converted_statements(spark, sf):
-    blocks = blk.with_block_type(blk.split_statements(scripts(spark, sf)))
-    chunks = cv.as_chunks(blocks)
-    return blocks, cv.convert(
-        chunks,
-        open_stand_in(),
-        template=cv.BLOCK_REQUEST,
-        keys=["script_id", "block_no"],
-        retries=0,
-        error_prefix="# Error: ",
-        allow_empty=True,
-    )
+    keys = ["script_id", "block_no"]
+    return cv.convert(_statement_chunks(spark, sf), open_stand_in(), keys=keys, **_BLOCK_OPTIONS)
 
 
 def conversion_mapping(spark, sf):
-    return cv.conversion_mapping(*_converted_statements(spark, sf))
+    return cv.convert_mapping(_statement_chunks(spark, sf), open_stand_in(), **_BLOCK_OPTIONS)
+
+
+def mapping_of_tables(spark, sf):
+    """Blocks and answers that arrive as two tables."""
+    blocks = blk.split_statements(scripts(spark, sf))
+    return cv.conversion_mapping(blocks, _converted_statements(spark, sf))
 
 
 def assemble_script(spark, sf):
-    _, converted = _converted_statements(spark, sf)
-    return cv.assemble_script(converted, blocks_per_part=64)
+    return cv.assemble_script(_converted_statements(spark, sf))
+
+
+def assemble_parts(spark, sf):
+    return cv.assemble_parts(_converted_statements(spark, sf), 64)
+
+
+def migrate_scripts(spark, sf):
+    """From scripts to one assembled text and one verdict each."""
+    run = migrate(scripts(spark, sf), open_stand_in(), **_BLOCK_OPTIONS)
+    return run.code.select(
+        "script_id",
+        "code",
+        "validation_score",
+        "validation_passed",
+        F.array_join("validation_tags", ",").alias("validation_tags"),
+    )
+
+
+def audit_duplicates(spark, sf):
+    """Sources with repeated ids, of which the last counts, and records without a source."""
+    records = cv.convert(inputs.chunks(spark, sf), dry_run=True)
+    number = F.substring_index("id", "_", -1).cast("bigint")
+    chunks = inputs.chunks(spark, sf).filter(number % 3 != 0)
+    again = chunks.filter(number % 2 == 0).withColumn("code", F.concat(F.lit("again "), F.col("code")))
+    sources = chunks.withColumn("seq", F.lit(2) - number % 4).unionByName(again.withColumn("seq", F.lit(1)))
+    return cv.conversion_audit(records, sources).select("id", "id_num", "input_sas_code")
 
 
 def _conversion_run(spark, sf):
@@ -324,6 +382,51 @@ def scripts_source(spark, sf):
     return read_scripts(spark, path).select(file_no.alias("file_no"), "text")
 
 
+def typed_tables(spark, sf):
+    """Orders written and read back through the declared schema."""
+    path = fresh_path(spark, "typed")
+    inputs.retail_orders(spark, sf).select(
+        F.col("order_id").cast("int"), F.col("customer_id").cast("int"), "order_date", "status"
+    ).write.parquet(path)
+    return read_table(spark, "orders", path)
+
+
+def mapping_csv_roundtrip(spark, sf):
+    path = fresh_path(spark, "mapping")
+    csv_tables.write_mapping_csv(conversion_mapping(spark, sf), path)
+    back = csv_tables.read_csv(spark, path, "script_id string, block_no int, block string, converted string")
+    return back
+
+
+def audit_csv_roundtrip(spark, sf):
+    path = fresh_path(spark, "audit")
+    csv_tables.write_audit_csv(conversion_audit(spark, sf), path)
+    schema = (
+        "id string, success boolean, reason string, input_sas_code string,"
+        " output_pyspark_code string, input_tokens int, output_tokens int, total_tokens int"
+    )
+    return csv_tables.read_csv(spark, path, schema)
+
+
+def chunk_csv_roundtrip(spark, sf):
+    path = fresh_path(spark, "chunks")
+    csv_tables.write_chunk_csv(inputs.chunks(spark, sf), path)
+    return csv_tables.read_csv(spark, path, "id string, type string, code string")
+
+
+def assembled_roundtrip(spark, sf):
+    """Assembled scripts under ids of more than 300 characters, written and read back."""
+    path = fresh_path(spark, "assembled")
+    long_id = F.concat(F.repeat(F.lit("folder/"), F.lit(45)), F.col("script_id"))
+    csv_tables.write_assembled(assemble_script(spark, sf).withColumn("script_id", long_id), path)
+    return csv_tables.read_csv(spark, path, csv_tables.ASSEMBLED_SCHEMA)
+
+
+def chunk_tokens(spark, sf):
+    """Tokens of the chunked corpus, documents included."""
+    return blk.block_tokens(blk.chunk_corpus(scripts(spark, sf)))
+
+
 def blocks_csv_roundtrip(spark, sf):
     path = fresh_path(spark, "blocks")
     csv_tables.write_block_csv(blk.chunk_corpus(scripts(spark, sf)), path)
@@ -367,6 +470,11 @@ QUERIES = {
         convert_scripts,
         conversion_mapping,
         assemble_script,
+        assemble_parts,
+        mapping_of_tables,
+        migrate_scripts,
+        audit_duplicates,
+        convert_with_system,
         conversion_audit,
         conversion_successes,
         conversion_failures,
@@ -374,5 +482,11 @@ QUERIES = {
         validate_code,
         scripts_source,
         blocks_csv_roundtrip,
+        typed_tables,
+        mapping_csv_roundtrip,
+        audit_csv_roundtrip,
+        chunk_csv_roundtrip,
+        assembled_roundtrip,
+        chunk_tokens,
     )
 }

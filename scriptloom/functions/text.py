@@ -43,7 +43,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+    return F.ltrim(text, F.lit(BLANKS)) == ""
 
 
 def word_count(text: Column) -> Column:

@@ -6,6 +6,7 @@ A chunk table has ``id`` (ending in ``_<number>``), ``type`` and ``code``. A rec
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -82,11 +83,15 @@ def as_chunks(blocks: DataFrame, type_column: str = "block_type") -> DataFrame:
 
 
 def render(template: str) -> Column:
-    """The template with its ``{column}`` fields filled in from the row (NULL as nothing)."""
+    """The template with its ``{column}`` fields filled in from the row (NULL as nothing).
+
+    ``{{`` and ``}}`` stand for braces.
+    """
     parts: list[Column] = []
-    for i, piece in enumerate(template.replace("}", "{").split("{")):
-        field = F.coalesce(F.col(piece).cast("string"), F.lit("")) if i % 2 else F.lit(piece)
-        parts.append(field)
+    for text, field in re.findall(r"((?:[^{}]|\{\{|\}\})*)(?:\{([^{}]+)\})?", template):
+        parts.append(F.lit(text.replace("{{", "{").replace("}}", "}")))
+        if field:
+            parts.append(F.coalesce(F.col(field).cast("string"), F.lit("")))
     return F.concat(*parts)
 
 
@@ -98,7 +103,7 @@ def render_prompt(chunks: DataFrame, template: str = SAS_CHUNK_REQUEST) -> DataF
 
 def convert(
     chunks: DataFrame,
-    open_converter: Callable[[], Callable[[str], Converted]] | None = None,
+    open_converter: Callable[..., Callable[[str], Converted]] | None = None,
     template: str = SAS_CHUNK_REQUEST,
     keys: Sequence[str] = ("id",),
     retries: int = 1,
@@ -106,11 +111,12 @@ def convert(
     allow_empty: bool = False,
     dry_run: bool = False,
     skip_types: Iterable[str] = (),
+    system: str | None = None,
 ) -> DataFrame:
     """One record per chunk: ``keys`` and :data:`RECORD_COLUMNS`.
 
-    ``open_converter`` makes the converter, once per partition; the converter gets the
-    request text. An exception or an empty text (unless ``allow_empty``) is tried again
+    ``open_converter`` makes the converter, once per partition, and is given the ``system``
+    text if there is one; the converter gets the request text. An exception or an empty text (unless ``allow_empty``) is tried again
     ``retries`` times and then kept as a failed record. Chunks of a type in ``skip_types`` are not sent, and in a dry
     run none is. Where the service reports no token counts, words are counted.
 
@@ -135,6 +141,7 @@ def convert(
             retries,
             error_prefix,
             allow_empty,
+            system,
         )
     not_sent = F.col("ok").isNull()
     record = sent.select(
@@ -164,7 +171,12 @@ _REPLY_TYPES = {
 
 
 def _call(
-    requests: DataFrame, open_converter, retries: int, error_prefix: str, allow_empty: bool
+    requests: DataFrame,
+    open_converter,
+    retries: int,
+    error_prefix: str,
+    allow_empty: bool,
+    system: str | None,
 ) -> DataFrame:
     """Send ``request`` of every row; the other columns are kept, NULL requests not sent."""
     kept = [f for f in requests.schema if f.name != "request"]
@@ -203,7 +215,7 @@ def _call(
                     replies.append((None,) * len(reply_types))
                     continue
                 if converter is None:
-                    converter = open_converter()
+                    converter = open_converter() if system is None else open_converter(system)
                 replies.append(ask(converter, request))
             columns = zip(*replies) if replies else ((),) * len(reply_types)
             yield pa.RecordBatch.from_arrays(
@@ -220,30 +232,52 @@ def _id_number(id_column: str = "id") -> Column:
     return F.substring_index(id_column, "_", -1).cast("bigint")
 
 
-def conversion_audit(records: DataFrame, chunks: DataFrame) -> DataFrame:
+def with_source(chunks: DataFrame) -> DataFrame:
+    """Chunks whose code also stands in ``input_sas_code``, to be named among the ``keys``."""
+    return chunks.withColumn("input_sas_code", F.col("code"))
+
+
+def conversion_audit(records: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """Every record with its source text, ordered by the number in its id.
 
-    A record without a chunk gets ``''``. Of several chunks with one id the last counts: by
-    column ``seq`` where the chunk table has one, else in the order it is read.
+    Records that carry ``input_sas_code`` need no ``chunks``: their texts move once, for the
+    sort. Of several sources with one id the last by ``seq`` counts for all of them; repeated
+    ids without a ``seq`` column raise. A record without a chunk gets ``''``.
     """
-    if "seq" not in chunks.columns:
-        chunks = chunks.withColumn("seq", F.monotonically_increasing_id())
-    sources = chunks.groupBy("id").agg(F.max_by("code", "seq").alias("input_sas_code"))
-    return (
-        records.join(sources, "id", "left")
-        .select(
-            "id",
-            _id_number().alias("id_num"),
-            F.col("ok").alias("success"),
-            F.coalesce("reason", F.lit("")).alias("reason"),
-            F.coalesce("input_sas_code", F.lit("")).alias("input_sas_code"),
-            F.col("code").alias("output_pyspark_code"),
-            "input_tokens",
-            "output_tokens",
-            "total_tokens",
+    source = "input_sas_code"
+    if chunks is not None:
+        if "seq" not in chunks.columns:
+            raise ValueError("the chunk table needs a column seq: the last source of an id counts")
+        last = chunks.groupBy("id").agg(F.max_by("code", "seq").alias(source))
+        sourced = records.drop(source).join(last, "id", "left")
+    else:
+        # Only ids that occur more than once are joined, as a rule none.
+        ordered = "seq" in records.columns
+        rank = F.max("seq") if ordered else F.lit(None).cast("int")
+        repeated = records.groupBy("id").agg(F.count("*").alias("_n"), rank.alias("_seq")).filter("_n > 1")
+        if ordered:
+            texts = records.select("id", F.col("seq").alias("_seq"), F.col(source).alias("_last"))
+            repeated = texts.join(repeated, ["id", "_seq"]).groupBy("id").agg(
+                F.max("_last").alias("_last"), F.max("_n").alias("_n")
+            )
+        else:
+            refused = F.raise_error(F.concat(F.lit("repeated id without a column seq: "), F.col("id")))
+            repeated = repeated.select("id", refused.cast("string").alias("_last"), "_n")
+        joined = records.join(repeated, "id", "left")
+        sourced = joined.withColumn(
+            source, F.when(F.col("_n").isNotNull(), F.col("_last")).otherwise(F.col(source))
         )
-        .orderBy("id_num", "id")
-    )
+    return sourced.select(
+        "id",
+        _id_number().alias("id_num"),
+        F.col("ok").alias("success"),
+        F.coalesce("reason", F.lit("")).alias("reason"),
+        F.coalesce(source, F.lit("")).alias(source),
+        F.col("code").alias("output_pyspark_code"),
+        "input_tokens",
+        "output_tokens",
+        "total_tokens",
+    ).orderBy("id_num", "id")
 
 
 def conversion_failures(records: DataFrame) -> DataFrame:
@@ -267,31 +301,37 @@ def conversion_meta(records: DataFrame, model: str = "unknown") -> DataFrame:
     )
 
 
+def convert_mapping(chunks: DataFrame, open_converter=None, **options) -> DataFrame:
+    """Each block next to its converted text: the block goes through the call, nothing is joined."""
+    carried = chunks.withColumn("block", F.col("code"))
+    records = convert(carried, open_converter, keys=("script_id", "block_no", "block"), **options)
+    return records.select("script_id", "block_no", "block", F.col("code").alias("converted"))
+
+
 def conversion_mapping(blocks: DataFrame, converted: DataFrame) -> DataFrame:
-    """Each block next to its converted text, paired by script and block number."""
+    """Each block next to its converted text, for tables that arrive apart: paired by script and
+    block number. See :func:`convert_mapping` where the call is made here."""
     texts = converted.select("script_id", "block_no", F.col("code").alias("converted"))
     return blocks.select("script_id", "block_no", "block").join(
         texts, ["script_id", "block_no"]
     )
 
 
-def assemble_script(
-    converted: DataFrame, blocks_per_part: int = 4096, separator: str = "\n\n"
-) -> DataFrame:
-    """Converted blocks of each script joined by a blank line, in block order.
+def _joined(separator: str) -> Column:
+    ordered = F.array_sort(F.collect_list(F.struct("block_no", "code")))
+    return F.array_join(ordered["code"], separator)
+
 
-    A script is one row unless it has more than ``blocks_per_part`` blocks; then it comes in
-    numbered parts, which joined by the separator give the script. So no task ever gathers
-    more than one part, however many blocks a script has.
+def assemble_script(converted: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """Converted blocks joined by a blank line in block order, one row per script.
+
+    A script is one text before and after, so it must fit one value (2 GB); see
+    :func:`assemble_parts` for pieces of a set number of blocks.
     """
+    return converted.groupBy("script_id").agg(_joined(separator).alias("code"))
+
+
+def assemble_parts(converted: DataFrame, blocks_per_part: int, separator: str = "\n\n") -> DataFrame:
+    """As :func:`assemble_script`, in numbered parts, which joined by the separator give the script."""
     part_no = F.floor((F.col("block_no") - 1) / blocks_per_part).cast("int")
-    ordered = F.array_sort(F.collect_list(F.struct("block_no", "code")))
-    return (
-        converted.groupBy("script_id", part_no.alias("part_no"))
-        .agg(ordered.alias("pieces"))
-        .select(
-            "script_id",
-            "part_no",
-            F.array_join(F.col("pieces")["code"], separator).alias("code"),
-        )
-    )
+    return converted.groupBy("script_id", part_no.alias("part_no")).agg(_joined(separator).alias("code"))

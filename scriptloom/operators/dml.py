@@ -16,17 +16,24 @@ def count_where(df: DataFrame, predicate: Column, name: str = "n") -> DataFrame:
 def update_where(df: DataFrame, predicate: Column, values: Mapping[str, Column]) -> DataFrame:
     """``df`` after setting ``values`` where ``predicate`` holds; NULL leaves the row as is.
 
-    New values are cast to the column's type and see the row before the change. Write the
-    result to a new path, never over the files it reads.
+    New values are cast to the column's type and see the row before the change. Names match as
+    Spark's do; one that is no column raises. Write the result to a new path, never over the
+    files it reads.
     """
-    return df.select(
-        *(
-            F.when(predicate, values[f.name]).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name)
-            if f.name in values
-            else F.col(f.name)
-            for f in df.schema
-        )
-    )
+    same = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    fold = (lambda name: name) if same else str.lower
+    set_to = {fold(name): value for name, value in values.items()}
+    unknown = set_to.keys() - {fold(f.name) for f in df.schema}
+    if unknown:
+        raise ValueError(f"no such column: {', '.join(sorted(unknown))}")
+
+    def updated(f):
+        old = F.col("`" + f.name.replace("`", "``") + "`")
+        if fold(f.name) not in set_to:
+            return old
+        return F.when(predicate, set_to[fold(f.name)]).otherwise(old).cast(f.dataType).alias(f.name)
+
+    return df.select(*map(updated, df.schema))
 
 
 def guarded_update(

@@ -21,31 +21,46 @@ class ConversionRun:
     meta: DataFrame
 
 
+@dataclass(frozen=True)
+class MigrationRun(ConversionRun):
+    code: DataFrame
+
+
 def run_conversion(
     chunks: DataFrame, open_converter=None, model: str = "unknown", **options
 ) -> ConversionRun:
     """Convert every chunk once and report on the run.
 
-    The records are checkpointed: four outputs read them, and without that each would call
-    the converter again.
+    The records carry their source (and ``seq`` if the chunks have it) and are checkpointed:
+    four outputs read them, and without that each would call the converter again.
     """
-    records = materialize(cv.convert(chunks, open_converter, **options))
+    keys = [*options.pop("keys", ("id",))]
+    keys += [c for c in ("seq",) if c in chunks.columns and c not in keys]
+    carried = cv.convert(
+        cv.with_source(chunks), open_converter, keys=[*keys, "input_sas_code"], **options
+    )
+    records = materialize(carried)
+    plain = records.drop("input_sas_code")
     return ConversionRun(
-        records=records,
-        audit=cv.conversion_audit(records, chunks),
-        successes=cv.conversion_successes(records),
-        failures=cv.conversion_failures(records),
-        meta=cv.conversion_meta(records, model),
+        records=plain,
+        audit=cv.conversion_audit(records),
+        successes=cv.conversion_successes(plain),
+        failures=cv.conversion_failures(plain),
+        meta=cv.conversion_meta(plain, model),
     )
 
 
 def migrate_scripts(
-    scripts: DataFrame, open_converter=None, max_chars: int = blk.MAX_CHARS, **options
-) -> DataFrame:
-    """Chunk, convert, reassemble and validate; one row per script (part)."""
+    scripts: DataFrame,
+    open_converter=None,
+    max_chars: int = blk.MAX_CHARS,
+    model: str = "unknown",
+    **options,
+) -> MigrationRun:
+    """Chunk, convert, reassemble and validate: the run, and ``code`` with one row and one
+    verdict per script. The converter is called once per block however often these are read."""
     chunks = cv.as_chunks(blk.with_block_type(blk.chunk_corpus(scripts, max_chars)))
     options = {"keys": ("script_id", "block_no", "id"), **options}
-    converted = cv.convert(chunks, open_converter, **options)
-    return validate_code(
-        cv.assemble_script(converted), dry_run=options.get("dry_run", False)
-    )
+    run = run_conversion(chunks, open_converter, model, **options)
+    code = validate_code(cv.assemble_script(run.records), dry_run=options.get("dry_run", False))
+    return MigrationRun(**vars(run), code=code)

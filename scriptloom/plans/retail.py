@@ -41,15 +41,18 @@ def _with_return_flag(per_order: DataFrame, returns: DataFrame) -> DataFrame:
 def returned_orders_by_month(details: DataFrame, returns: DataFrame) -> DataFrame:
     """Number of distinct orders per month with at least one return.
 
-    Orders without a return fall into one NULL group before the count is shuffled.
+    Rows are reduced to one for each order and month inside the join's partitioning; what is
+    shuffled after that is a plain count.
     """
     per_order = details.select("order_id", _month("order_date"))
-    counted = F.when(F.col("is_returned").isNotNull(), F.col("order_id"))
-    return (
+    reduced = (
         _with_return_flag(per_order, returns)
-        .groupBy("month")
-        .agg(F.countDistinct(counted).alias("returned_orders"))
+        .groupBy("order_id", "month")
+        .agg(F.max("is_returned").alias("is_returned"))
     )
+    # An order without an id is in no count of orders.
+    counted = F.col("is_returned") & F.col("order_id").isNotNull()
+    return reduced.groupBy("month").agg(F.count_if(counted).alias("returned_orders"))
 
 
 def monthly_revenue_returns(

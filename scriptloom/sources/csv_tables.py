@@ -87,10 +87,19 @@ def write_chunk_csv(chunks: DataFrame, path: str) -> None:
     write_csv(chunks.select("id", "type", "code"), path, mode="overwrite")
 
 
-def write_assembled(scripts: DataFrame, path: str, separator: str = "\n\n") -> None:
-    """Converted scripts as text: one folder per script, one file per part if it has parts.
+ASSEMBLED_SCHEMA = "script_id string, code string"
 
-    Every file ends with the separator, so the files of a script in order make up its text.
-    """
-    folders = [c for c in ("script_id", "part_no") if c in scripts.columns]
-    scripts.select(*folders, "code").write.partitionBy(*folders).text(path, lineSep=separator)
+
+def write_assembled(scripts: DataFrame, path: str) -> None:
+    """Converted scripts as CSV rows of script_id and code: any id, and no folder or file of its
+    own for each script."""
+    write_csv(scripts.select(F.col("script_id").cast("string"), "code"), path)
+
+
+def write_script_texts(scripts: DataFrame, path: str, buckets: int, separator: str = "\n\n") -> None:
+    """Converted scripts as plain text in ``buckets`` folders by the hash of their id, each text
+    behind a line with its id and followed by the separator."""
+    text = F.concat(F.lit("# script: "), F.col("script_id").cast("string"), F.lit("\n"), F.col("code"))
+    bucket = F.pmod(F.xxhash64("script_id"), F.lit(buckets)).alias("bucket")
+    dealt = scripts.select(bucket, text.alias("value")).repartition(buckets, "bucket")
+    dealt.write.partitionBy("bucket").text(path, lineSep=separator)

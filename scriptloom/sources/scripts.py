@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCRIPT_GLOB = "*.{sql,txt}"
+# Any case of the two extensions.
+SCRIPT_GLOB = "*.{[sS][qQ][lL],[tT][xX][tT]}"
 
 
 def _as_scripts(files: DataFrame, strict: bool) -> DataFrame:
@@ -13,13 +14,34 @@ def _as_scripts(files: DataFrame, strict: bool) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("script_id"), text.alias("text"))
 
 
+def hidden_scripts(spark: SparkSession, path: str) -> list[str]:
+    """Script files below ``path`` that Spark's readers skip: names that start with _ or a dot."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        name = files.next().getPath()
+        if name.getName()[0] in "_." and name.getName().lower().endswith((".sql", ".txt")):
+            found.append(name.toString())
+    return found
+
+
 def read_scripts(
-    spark: SparkSession, path: str, pattern: str = SCRIPT_GLOB, strict: bool = True
+    spark: SparkSession,
+    path: str,
+    pattern: str = SCRIPT_GLOB,
+    strict: bool = True,
+    refuse_hidden: bool = True,
 ) -> DataFrame:
     """One row per file below ``path``: its path and its whole text.
 
-    A file that is not UTF-8 raises, or has a NULL text with ``strict=False``.
+    A file that is not UTF-8 raises, or has a NULL text with ``strict=False``. Spark cannot read
+    files whose names start with ``_`` or a dot; script files of such names raise, unless
+    ``refuse_hidden`` is off and they are meant to be left out.
     """
+    if refuse_hidden and (hidden := hidden_scripts(spark, path)):
+        raise ValueError(f"{len(hidden)} script files with hidden names, such as {hidden[0]}")
     reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     return _as_scripts(reader.text(path, wholetext=True), strict)
 
@@ -28,11 +50,9 @@ def pasted_script(spark: SparkSession, text: str, script_id: str = "pasted") ->
     return spark.createDataFrame([(script_id, text)], "script_id string, text string")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores.
+def spread(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """``df`` dealt by key over ``partitions`` partitions.
 
-    For a few small files whose rows are costly to process, right after reading. An input that
-    already has enough partitions is left alone and not shuffled.
+    For a few small files whose rows are costly to process, right after reading.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df.repartition(partitions, key)

@@ -12,12 +12,13 @@ def watch_scripts(
     path: str,
     pattern: str = SCRIPT_GLOB,
     strict: bool = True,
-    max_files_per_trigger: int = 10_000,
+    max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """A streaming script table over the files that turn up below ``path``."""
-    reader = (
-        spark.readStream.option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-    )
+    """A streaming script table over the files that turn up below ``path``.
+
+    ``max_files_per_trigger`` limits a batch, unset it takes all that is there.
+    """
+    reader = spark.readStream.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return _as_scripts(reader.text(path, wholetext=True), strict)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
 from scriptloom.operators import blocks as blk
@@ -124,11 +125,21 @@ def test_audit_of_missing_and_repeated_ids(spark, chunks):
     sources = spark.createDataFrame(
         [("c_1", 1, "old"), ("c_1", 2, "new"), ("c_2", 1, "b")], "id string, seq int, code string"
     )
-    audit = {r.id: r.input_sas_code for r in cv.conversion_audit(records, sources).collect()}
-    assert audit["c_1"] == "new" and audit["c_2"] == "b" and audit["c_10"] == ""
+    for parts in (1, 2, 3, 5, 7):
+        dealt = cv.conversion_audit(records, sources.repartition(parts))
+        audit = {r.id: r.input_sas_code for r in dealt.collect()}
+        assert audit["c_1"] == "new" and audit["c_2"] == "b" and audit["c_10"] == ""
+    with pytest.raises(ValueError):
+        cv.conversion_audit(records, sources.drop("seq"))
+    carried = cv.with_source(sources.withColumn("type", F.lit("x")))
+    carried = cv.convert(carried, dry_run=True, keys=["id", "seq", "input_sas_code"])
+    own = [(r.id, r.input_sas_code) for r in cv.conversion_audit(carried).collect()]
+    assert own == [("c_1", "new"), ("c_1", "new"), ("c_2", "b")]
+    with pytest.raises(PySparkException):
+        cv.conversion_audit(carried.drop("seq")).collect()
     unnumbered = spark.createDataFrame([("c_x", "PROC", "y")], chunks.schema)
     with pytest.raises(PySparkException):
-        cv.conversion_audit(cv.convert(unnumbered, opener), unnumbered).collect()
+        run_conversion(unnumbered, opener).audit.collect()
 
 
 def test_assemble_in_block_order_and_parts(spark):
@@ -137,7 +148,7 @@ def test_assemble_in_block_order_and_parts(spark):
     whole = {r.script_id: r.code for r in cv.assemble_script(converted).collect()}
     assert whole["s"] == "\n\n".join(f"code {i}" for i in (1, 2, 3, 10, 11))
     assert whole["t"] == "only"
-    parts = cv.assemble_script(converted, blocks_per_part=2).orderBy("script_id", "part_no").collect()
+    parts = cv.assemble_parts(converted, 2).orderBy("script_id", "part_no").collect()
     assert [(r.part_no, r.code) for r in parts if r.script_id == "s"] == [
         (0, "code 1\n\ncode 2"), (1, "code 3"), (4, "code 10"), (5, "code 11"),
     ]
@@ -160,14 +171,61 @@ def test_migrate_scripts(spark, example_script):
         return lambda request: f"spark.read.table('t').select('{len(request)}')"
 
     scripts = spark.createDataFrame([("s", example_script)], "script_id string, text string")
-    [row] = migrate_scripts(scripts, open_converter).collect()
+    [row] = migrate_scripts(scripts, open_converter).code.collect()
     assert row.code.count("spark.read") == 3 == blk.chunk_corpus(scripts).count()
     assert row.validation_passed and row.validation_score == 100
-    [dry] = migrate_scripts(scripts, dry_run=True).collect()
+    [dry] = migrate_scripts(scripts, dry_run=True).code.collect()
     assert dry.code == "\n\n".join(["# DRY RUN - SKIPPED"] * 3)
     assert dry.validation_tags == ["dry_run"] and dry.validation_passed
 
 
+def test_migration_calls_once_per_block(spark, example_script):
+    calls = spark.sparkContext.accumulator(0)
+
+    def open_converter():
+        def convert(request):
+            calls.add(1)
+            return "df"
+
+        return convert
+
+    scripts = spark.createDataFrame([("s", example_script)], "script_id string, text string")
+    run = migrate_scripts(scripts, open_converter)
+    for _ in range(2):
+        assert run.code.count() == 1 and run.records.count() == 3
+    assert len(run.audit.collect()) == 3 and run.failures.count() == 0 == run.failures.count()
+    assert run.meta.first().successes == 3 and calls.value == 3
+
+
+def test_long_script_has_one_row_and_the_verdict_of_its_text(spark):
+    code = [f"x{i} = 1" for i in range(5000)]
+    code[4500] = "spark.read.parquet(p).filter(c)"
+    rows = [("s", i + 1, c) for i, c in enumerate(code)]
+    blocks = spark.createDataFrame(rows, "script_id string, block_no int, code string")
+    [row] = validate_code(cv.assemble_script(blocks)).collect()
+    whole = spark.createDataFrame([("\n\n".join(code),)], "code string")
+    assert row.code == whole.first().code
+    assert row.validation_score == validate_code(whole).first().validation_score == 100
+
+
+def test_mapping_moves_no_text(spark):
+    chunks = spark.createDataFrame(
+        [("s", 1, "s_1", "X", "a")], "script_id string, block_no int, id string, type string, code string"
+    )
+    mapped = cv.convert_mapping(chunks, opener)
+    plan = mapped._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert mapped.first().block == "a"
+
+
+def test_system_text_and_braces(spark, chunks):
+    def open_converter(system):
+        return lambda request: f"{system}: {request}"
+
+    row = cv.convert(chunks.limit(1), open_converter, template="{{{id}}} {code}", system="S").first()
+    assert row.code == "S: {c_2} proc sort; run;"
+
+
 @pytest.mark.parametrize(
     "code, score, tags",
     [

@@ -36,8 +36,8 @@ def test_exports(spark, tmp_path, example_script):
         csv_tables.write_chunk_csv(chunks, f"{tmp_path}/chunks")
     stored = csv_tables.read_csv(spark, f"{tmp_path}/chunks", "id string, type string, code string")
     assert stored.count() == 3
-    records = cv.convert(chunks, dry_run=True)
-    csv_tables.write_audit_csv(cv.conversion_audit(records, chunks), f"{tmp_path}/audit")
+    records = cv.convert(cv.with_source(chunks), dry_run=True, keys=["id", "input_sas_code"])
+    csv_tables.write_audit_csv(cv.conversion_audit(records), f"{tmp_path}/audit")
     header = spark.read.text(f"{tmp_path}/audit").first().value
     assert header.replace('"', "") == (
         "id,success,reason,input_sas_code,output_pyspark_code,input_tokens,output_tokens,total_tokens"
@@ -49,25 +49,22 @@ def test_exports(spark, tmp_path, example_script):
     ).columns == ["script_id", "block_no", "PL/SQL Block", "Converted PySpark"]
 
 
-def test_assembled_files_hold_the_script(spark, tmp_path):
-    rows = [("s", i, f"code {i}\nmore") for i in range(1, 8)]
-    converted = spark.createDataFrame(rows, "script_id string, block_no int, code string")
-    csv_tables.write_assembled(cv.assemble_script(converted, blocks_per_part=3), f"{tmp_path}/out")
-    texts = []
-    for part in range(3):
-        [file] = (tmp_path / "out" / "script_id=s" / f"part_no={part}").glob("*.txt")
-        texts.append(file.read_text())
-    assert "".join(texts) == "".join(f"code {i}\nmore\n\n" for i in range(1, 8))
-    whole = spark.createDataFrame([("s", "all of it")], "script_id string, code string")
-    csv_tables.write_assembled(whole, f"{tmp_path}/whole")
-    [file] = (tmp_path / "whole" / "script_id=s").glob("*.txt")
-    assert file.read_text() == "all of it\n\n"
+def test_assembled_rows_and_texts(spark, tmp_path):
+    rows = [("folder/" * 50 + str(k), f"code {k}\nmore") for k in range(5)] + [("none", None)]
+    scripts = spark.createDataFrame(rows, "script_id string, code string")
+    csv_tables.write_assembled(scripts, f"{tmp_path}/rows")
+    back = csv_tables.read_csv(spark, f"{tmp_path}/rows", csv_tables.ASSEMBLED_SCHEMA)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    csv_tables.write_script_texts(scripts.filter("code IS NOT NULL"), f"{tmp_path}/texts", 3)
+    written = "".join(f.read_text() for f in (tmp_path / "texts").glob("bucket=*/*.txt"))
+    assert all(f"# script: {i}\n{c}\n\n" in written for i, c in rows if c)
 
 
 def _write_scripts(folder):
     (folder / "deep").mkdir(parents=True)
     (folder / "a.sql").write_bytes(b"select 1;\r\nselect 2;")
     (folder / "deep" / "b.txt").write_text("é;")
+    (folder / "D.SQL").write_text("upper;")
     (folder / "c.md").write_text("no script")
 
 
@@ -75,12 +72,17 @@ def test_script_files(spark, tmp_path):
     _write_scripts(tmp_path / "in")
     scripts = read_scripts(spark, f"{tmp_path}/in")
     texts = {r.script_id.rsplit("/", 1)[-1]: r.text for r in scripts.collect()}
-    assert texts == {"a.sql": "select 1;\r\nselect 2;", "b.txt": "é;"}
+    assert texts == {"a.sql": "select 1;\r\nselect 2;", "b.txt": "é;", "D.SQL": "upper;"}
+    (tmp_path / "in" / "_hidden.Sql").write_text("x;")
+    with pytest.raises(ValueError):
+        read_scripts(spark, f"{tmp_path}/in")
+    assert read_scripts(spark, f"{tmp_path}/in", refuse_hidden=False).count() == 3
+    (tmp_path / "in" / "_hidden.Sql").unlink()
     (tmp_path / "in" / "bad.sql").write_bytes(b"\xff\xfe;")
     with pytest.raises(PySparkException):
         read_scripts(spark, f"{tmp_path}/in").collect()
     lenient = read_scripts(spark, f"{tmp_path}/in", strict=False).collect()
-    assert sum(r.text is None for r in lenient) == 1 and len(lenient) == 3
+    assert sum(r.text is None for r in lenient) == 1 and len(lenient) == 4
 
 
 def test_arriving_files_give_the_same_blocks(spark, tmp_path, example_script):
@@ -100,8 +102,5 @@ def test_arriving_files_give_the_same_blocks(spark, tmp_path, example_script):
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_spread_only_where_needed(spark):
-    few = spark.range(0, 100, 1, 1)
-    enough = spark.range(0, 100, 1, 64)
-    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(enough, "id") is enough
+def test_spread(spark):
+    assert spread(spark.range(0, 100, 1, 1), "id", 5).rdd.getNumPartitions() == 5
