@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.llm import language, packing, pii
+from scriptloom.llm import language, near, packing, pii, repeats
 from scriptloom.llm.queries import vocabulary
 from scriptloom.llm.store import stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised; those that the classifier rejects go."""
-    model = language.fit(docs)
-    accepted = language.identify(docs, model).filter("accepted").select("id").distinct()
-    return docs.join(accepted, docs["doc_id"].eqNullSafe(accepted["id"]), "left_semi")
+    return language.recognised(docs, language.fit(docs))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of every group of near duplicates."""
+    return near.one_of_each(docs, 80)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut strings of 200 bytes and more that occur elsewhere; ``n_chars`` follows the text."""
+    return repeats.without_repeats(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +35,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("language_id", language_stage),
+    ("ngram_jaccard", near_stage),
+    ("repeats", repeats_stage),
     ("pii", pii_stage),
     ("packing", packing_stage),
 ]
