@@ -117,6 +117,8 @@ SAS_CODE = _by_remainder(
         f"'if x > ' || {_KEY} || '; y = x + 1; output;;'",
         f"'do while (i < ' || {_CUST} || '); i = i + 1; format d date9.; end;'",
         f"'%macro m_' || {_KEY} || '; data a; x = 1; run; %mend;'",
+        f"'%macro b_' || {_KEY} || '; x = 1; %mend;'",
+        _sql("'%macro two;'", f"'libname l \"/' || {_KEY} || '\"; if a; b = 1;;'", "'* inner; proc p; by k; run;'", "' %mend ;'", "'* after;'"),
         _sql("'data a; x = 1; run;'", "''", f"'proc print; var v_' || {_CUST} || '; run;'"),
         f"'data a; x = ' || {_KEY} || '; run; left over'",
     ),

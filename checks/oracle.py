@@ -200,8 +200,7 @@ def _tokens(source: str) -> str:
 # SAS
 _N = "[a-zA-Z_][a-zA-Z0-9_]*"
 _ST = r"(?:\s*[^;\s][^;]*;)*?"
-_FORMS = {
-    "MACRO": rf"%macro\s+({_N})\s*;{_ST}\s*%mend\s*;",
+_INNER_FORMS = {
     "DATASTEP": rf"data\s+({_N})\s*;{_ST}\s*run\s*;",
     "PROC": rf"proc\s+({_N})\s*;{_ST}\s*run\s*;",
     "LIBNAME": rf'libname\s+({_N})\s*("[^"]*")\s*;',
@@ -210,13 +209,22 @@ _FORMS = {
     "LOOP": rf"do\s+while\s*\(([^;]+)\)\s*;{_ST}\s*end\s*;",
     "COMMENT": r"\*([^;]+);",
 }
+_INNER = "|".join(_INNER_FORMS.values())
+_MACRO_HEAD = rf"%macro\s+({_N})\s*;"
+_FORMS = {"MACRO": rf"{_MACRO_HEAD}(?:\s*(?:{_INNER}))*\s*%mend\s*;", **_INNER_FORMS}
 _ANY = "|".join(_FORMS.values())
 _FITS = rf"regexp_full_match(code, '\s*(?:(?:{_ANY})\s*)+')"
-_NODES_SQL = (
+_OUTER_SQL = (
     "SELECT id, type, code, cast(unnest(generate_series(1, len(ps))) AS integer) AS node_no,"
     f" unnest(ps) AS node FROM (SELECT id, upper(type) AS type, code, CASE WHEN {_FITS}"
     f" THEN regexp_extract_all(code, '{_ANY}') ELSE [NULL] END AS ps FROM ({CHUNKS_SQL}))"
 )
+_NODES_SQL = f"""
+    SELECT id, type, code, node_no, cast(unnest(generate_series(0, len(ns) - 1)) AS integer) AS inner_no,
+      unnest(ns) AS node
+    FROM (SELECT *, CASE WHEN starts_with(node, '%macro') THEN list_concat([node],
+        regexp_extract_all(regexp_replace(node, '^{_MACRO_HEAD}', ''), '{_INNER}'))
+      ELSE [node] END AS ns FROM ({_OUTER_SQL}))"""
 _KIND = "CASE " + " ".join(f"WHEN regexp_full_match(node, '{p}') THEN '{k}'" for k, p in _FORMS.items()) + " END"
 _NAME = (
     "trim("
@@ -225,8 +233,8 @@ _NAME = (
 )
 _PATH = f"CASE WHEN regexp_full_match(node, '{_FORMS['LIBNAME']}') THEN trim(regexp_extract(node, '{_FORMS['LIBNAME']}', 2), '\"') END"
 _SAS_STATEMENTS = (
-    f"SELECT id, node_no, cast(unnest(generate_series(1, len(ps))) AS integer) AS statement_no,"
-    f" {_strip('unnest(ps)')} AS s FROM (SELECT id, node_no,"
+    f"SELECT id, node_no, inner_no, cast(unnest(generate_series(1, len(ps))) AS integer) AS statement_no,"
+    f" {_strip('unnest(ps)')} AS s FROM (SELECT id, node_no, inner_no,"
     " list_slice(string_split(node, ';'), 2, -3) AS ps"
     f" FROM ({_NODES_SQL}) WHERE {_KIND} IN ('DATASTEP', 'PROC', 'IF', 'LOOP'))"
 )
@@ -416,9 +424,9 @@ ORACLE_SQL = {
         FROM (SELECT script_id FROM ({SCRIPTS_SQL})) LEFT JOIN ({_CHUNK_LISTS}) USING (script_id)""",
     "block_tokens": _tokens(STATEMENTS_SQL),
     "chunk_tokens": _tokens(_CHUNKED),
-    "sas_kinds": f"SELECT id, type, node_no, {_KIND} AS kind, {_NAME} AS name, {_PATH} AS path FROM ({_NODES_SQL})",
+    "sas_kinds": f"SELECT id, type, node_no, inner_no, {_KIND} AS kind, {_NAME} AS name, {_PATH} AS path FROM ({_NODES_SQL})",
     "sas_statements": f"""
-        SELECT id, node_no, statement_no,
+        SELECT id, node_no, inner_no, statement_no,
           CASE WHEN regexp_full_match(s, '{_ASSIGN}') THEN 'ASSIGN'
                WHEN regexp_full_match(s, '{_DECLARE}') THEN 'DECLARATION' ELSE 'STATEMENT' END AS kind,
           CASE WHEN regexp_full_match(s, '{_ASSIGN}') THEN regexp_extract(s, '{_ASSIGN}', 1) END AS var,

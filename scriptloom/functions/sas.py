@@ -23,8 +23,7 @@ def _body(end: str) -> str:
 
 # Kind, leading keyword and form of each block. Group 1 is the name, library,
 # file, condition or text, group 2 the path.
-KINDS = (
-    ("MACRO", "%macro", rf"%macro\s+({_NAME})\s*;{_body('%mend')}"),
+_PLAIN_KINDS = (
     ("DATASTEP", "data", rf"data\s+({_NAME})\s*;{_body('run')}"),
     ("PROC", "proc", rf"proc\s+({_NAME})\s*;{_body('run')}"),
     ("LIBNAME", "libname", rf"libname\s+({_NAME})\s*({_STRING})\s*;"),
@@ -33,6 +32,11 @@ KINDS = (
     ("LOOP", "do", rf"do\s+while\s*\(([^;]+)\)\s*;{_body('end')}"),
     ("COMMENT", r"\*", r"\*([^;]+);"),
 )
+_PLAIN_BLOCK = "|".join(form for _, _, form in _PLAIN_KINDS)
+_MACRO_HEAD = rf"%macro\s+({_NAME})\s*;"
+# A macro holds blocks of the other kinds and nothing else.
+_MACRO = rf"{_MACRO_HEAD}(?:\s*(?:{_PLAIN_BLOCK}))*+\s*%mend\s*;"
+KINDS = (("MACRO", "%macro", _MACRO), *_PLAIN_KINDS)
 # Statements starting with one of these words declare something.
 DECLARING = ("length", "attrib", "format")
 _WITH_STATEMENTS = ("DATASTEP", "PROC", "IF", "LOOP")
@@ -47,6 +51,14 @@ def blocks(code: Column) -> Column:
     return F.when((rest == "") & (strip(code) != ""), found)
 
 
+def with_inner(block: Column) -> Column:
+    """A block, followed by the blocks in it if it is a macro; NULL for no block."""
+    body = F.regexp_replace(block, f"^{_MACRO_HEAD}", "")
+    inner = F.regexp_extract_all(body, F.lit(_PLAIN_BLOCK), F.lit(0))
+    is_macro = F.rlike(block, F.lit("^%macro"))
+    return F.concat(F.array(block), F.when(is_macro, inner).otherwise(F.array().cast("array<string>")))
+
+
 def kind(block: Column) -> Column:
     cases = [F.when(F.rlike(block, F.lit(f"^{start}")), F.lit(k)) for k, start, _ in KINDS]
     return F.coalesce(*cases)
@@ -56,8 +68,8 @@ def _group(block: Column, group: int) -> Column:
     """A group of whichever form the block has, without quotes and outer blanks."""
     cases = [
         F.when(F.rlike(block, F.lit(f"^{start}")), F.regexp_extract(block, f"^{form}", group))
-        for _, start, form in KINDS
-        if group == 1 or _STRING in form and _NAME in form
+        for k, start, form in KINDS
+        if group == 1 or k == "LIBNAME"
     ]
     return F.btrim(strip(F.coalesce(*cases)), F.lit('"'))
 

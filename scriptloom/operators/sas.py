@@ -13,11 +13,25 @@ def read_chunks(df: DataFrame) -> DataFrame:
     return df.select("id", F.upper("type").alias("type"), "code")
 
 
-def sas_kinds(chunks: DataFrame) -> DataFrame:
-    """One row per block of a chunk; a chunk that does not fit keeps one row without a tree."""
-    exploded = read_chunks(chunks).select(
+def _nodes(chunks: DataFrame) -> DataFrame:
+    """Blocks of the chunks: node_no counts a chunk's blocks, inner_no those within a macro."""
+    outer = read_chunks(chunks).select(
         "*", F.posexplode_outer(sas.blocks(F.col("code"))).alias("pos", "block")
     )
+    return outer.select(
+        "id",
+        "type",
+        "code",
+        (F.coalesce("pos", F.lit(0)) + 1).alias("node_no"),
+        F.posexplode(sas.with_inner(F.col("block"))).alias("inner_no", "block"),
+    )
+
+
+def sas_kinds(chunks: DataFrame) -> DataFrame:
+    """One row per block of a chunk; a chunk that does not fit keeps one row without a tree.
+
+    The blocks of a macro follow it under its ``node_no``, with ``inner_no`` from 1.
+    """
     block = F.col("block")
     tree = F.when(
         block.isNotNull(),
@@ -28,16 +42,17 @@ def sas_kinds(chunks: DataFrame) -> DataFrame:
             sas.statements(block).alias("statements"),
         ),
     )
-    return exploded.select(
-        "id", "type", "code", (F.coalesce("pos", F.lit(0)) + 1).alias("node_no"), tree.alias("ast")
-    )
+    return _nodes(chunks).select("id", "type", "code", "node_no", "inner_no", tree.alias("ast"))
 
 
 def sas_statements(chunks: DataFrame) -> DataFrame:
-    """One row per statement of the data, proc, if and loop blocks."""
-    exploded = sas_kinds(chunks).select(
-        "id", "node_no", F.posexplode("ast.statements").alias("pos", "statement")
+    """One row per statement of the data, proc, if and loop blocks, those in macros included."""
+    exploded = _nodes(chunks).select(
+        "id",
+        "node_no",
+        "inner_no",
+        F.posexplode(sas.statements(F.col("block"))).alias("pos", "statement"),
     )
     return exploded.select(
-        "id", "node_no", (F.col("pos") + 1).alias("statement_no"), "statement.*"
+        "id", "node_no", "inner_no", (F.col("pos") + 1).alias("statement_no"), "statement.*"
     )

@@ -11,7 +11,9 @@ CODE = {
     "upper": "DATA A; RUN;",
     "if": "if x > 1; y = 2; z;;",
     "loop": "do while (a < (b)); y = 2; end;",
-    "macro": "%macro m; data a; run; %mend;",
+    "macro": "%macro m; data a; run; * c; proc p; by k; run; %mend;",
+    "bare macro": "%macro m; x = 1; %mend;",
+    "empty macro": "%macro m;%mend ;",
     "two": "data a; x=1; run;\n\nproc print;run;\n",
     "left over": "data a; run; more",
     "empty statement": "data a; ; run;",
@@ -30,7 +32,7 @@ def nodes(spark):
 
 def test_kinds(nodes):
     got = {}
-    for r in sas_kinds(nodes).orderBy("node_no").collect():
+    for r in sas_kinds(nodes).orderBy("node_no", "inner_no").collect():
         assert r.type == "X" and r.code == CODE[r.id]
         tree = r.ast and (r.ast.kind, r.ast.name, r.ast.path)
         got.setdefault(r.id, []).append(tree)
@@ -43,7 +45,11 @@ def test_kinds(nodes):
         "upper": [None],
         "if": [("IF", "x > 1", None)],
         "loop": [("LOOP", "a < (b)", None)],
-        "macro": [("MACRO", "m", None)],
+        "macro": [
+            ("MACRO", "m", None), ("DATASTEP", "a", None), ("COMMENT", "c", None), ("PROC", "p", None),
+        ],
+        "bare macro": [None],
+        "empty macro": [("MACRO", "m", None)],
         "two": [("DATASTEP", "a", None), ("PROC", "print", None)],
         "left over": [None],
         "empty statement": [None],
@@ -56,7 +62,7 @@ def test_kinds(nodes):
 
 def test_statements(nodes):
     got = {}
-    for r in sas_statements(nodes).orderBy("node_no", "statement_no").collect():
+    for r in sas_statements(nodes).orderBy("node_no", "inner_no", "statement_no").collect():
         got.setdefault(r.id, []).append((r.kind, r.var, r.value, r.raw))
     assert got == {
         "data": [
@@ -65,6 +71,7 @@ def test_statements(nodes):
             ("STATEMENT", None, None, "set b"),
         ],
         "proc": [("STATEMENT", None, None, "by k")],
+        "macro": [("STATEMENT", None, None, "by k")],
         "if": [("ASSIGN", "y", "2", None), ("STATEMENT", None, None, "z")],
         "loop": [("ASSIGN", "y", "2", None)],
         "two": [("ASSIGN", "x", "1", None)],
@@ -72,6 +79,11 @@ def test_statements(nodes):
     }
 
 
+def test_tree_is_computed_once(nodes):
+    plan = sas_statements(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter (") + plan.count("Filter size") <= 1 and "size(transform" not in plan
+
+
 def test_long_step_does_not_overflow(spark):
     code = "data a; " + "x = 1; " * 100_000 + "run;"
     chunk = spark.createDataFrame([("c", "x", code)], "id string, type string, code string")
