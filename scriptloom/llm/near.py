@@ -112,7 +112,7 @@ def _sketch(percent: int):
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            keys, owners, extra_at, extra = [], [], [], []
+            keys, owners, extra_at, extra, waiting = [], [], [], [], 0
             for i, shingles in enumerate(shingle_sets(strings(batch))):
                 n = len(shingles)
                 own = set_hash(shingles)
@@ -131,9 +131,10 @@ def _sketch(percent: int):
                         found = segment_keys(shingles, at, bands[at], percent)
                         keys.append(found)
                         owners.append(np.full(len(found), own, np.int64))
-                if sum(map(len, keys)) > 200_000:
+                        waiting += len(found)
+                if waiting > 200_000:
                     yield _sent(keys, owners, extra_at, extra)
-                    keys, owners, extra_at, extra = [], [], [], []
+                    keys, owners, extra_at, extra, waiting = [], [], [], [], 0
             if extra:
                 yield _sent(keys, owners, extra_at, extra)
 

@@ -47,12 +47,15 @@ def op1_chat_format(spark, sf):
 
 def op2_language_id(spark, sf):
     documents = table(spark, sf, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    model = language.fit(documents.filter(~held_out))
+
+    def held_out(id_column: str):
+        return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 3 == 1, F.lit(False))
+
+    model = language.fit(documents.filter(~held_out("doc_id")))
     found = language.identify(documents, model)
     return found.select(
         F.col("id").alias("doc_id"),
-        (F.crc32(F.col("id").cast("string")) % 3 == 1).alias("held_out"),
+        held_out("id").alias("held_out"),
         "lang_pred",
         "score",
         (~F.col("accepted")).alias("rejected"),
