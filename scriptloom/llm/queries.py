@@ -214,11 +214,11 @@ WITH RECURSIVE w AS (
   FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), p AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
   FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
 ), l AS (
   SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y
-  WHERE 100 * both >= 80 * (nx.n + ny.n - both)
+  WHERE 100 * common >= 80 * (nx.n + ny.n - common)
 ), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
 ), r AS (
   SELECT doc_id, doc_id AS reached FROM documents

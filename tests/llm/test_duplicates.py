@@ -154,3 +154,12 @@ def test_pipeline(spark):
     assert sorted(map(tuple, result.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(
         map(tuple, packed.select("doc_id", "piece", "length", "ids_crc32").collect())
     )
+
+
+@pytest.mark.parametrize("name", ["op1_chat_format", "op4_ngram_jaccard"])
+def test_sql(spark, name):
+    from checks.compare import compare, connect
+
+    sf = "/root/testdata/sf0.001"
+    equal, rows, _, _, difference = compare(spark, connect(sf), sf, name)
+    assert equal and rows, difference
