@@ -8,7 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptloom.functions.text import BLANK_CLASS, bind, has_code, is_blank, normalize_newlines, strip
+from scriptloom.functions.text import (
+    BLANK_CLASS,
+    bind,
+    has_code,
+    is_blank,
+    normalize_newlines,
+    strip,
+    strip_each,
+)
 
 MAX_CHARS = 1200  # a block above this size is cut further
 SMALL_CHARS = 180  # blocks below this size are merged with their neighbours
@@ -56,9 +64,9 @@ def split_statements(text: Column) -> Column:
         bare = F.regexp_replace(piece, r"(?s)/\*.*?\*/", "")
         bare = F.regexp_replace(bare, r"(?d)--.*", "")
         commented = F.contains(piece, F.lit("/*")) | F.contains(piece, F.lit("--"))
-        return strip(F.when(commented, bare).otherwise(piece))
+        return F.when(commented, bare).otherwise(piece)
 
-    return F.transform(_nonblank(F.split(text, ";")), without_comments)
+    return strip_each(F.transform(_nonblank(F.split(text, ";")), without_comments))
 
 
 def extract_blocks(text: Column) -> Column:
@@ -82,14 +90,14 @@ def extract_blocks(text: Column) -> Column:
     def blocks(code: Column, head: Column) -> Column:
         plain = bind(F.split(F.substr(code, F.length(head) + 1), ";"), terminated)
         found = F.regexp_extract_all(head, F.lit(_BLOCK), F.lit(0))
-        return _nonblank(F.transform(F.concat(found, plain), strip))
+        return _stripped(F.concat(found, plain))
 
     return bind(normalize_newlines(text), find)
 
 
 def split_at_begin(block: Column) -> Column:
     """Cut before every ``BEGIN`` (any case, also inside a word); stripped, no blanks."""
-    return _nonblank(F.transform(F.split(block, _BEFORE_BEGIN), strip))
+    return _stripped(F.split(block, _BEFORE_BEGIN))
 
 
 def pack_by_size(block: Column, max_chars: int = MAX_CHARS, stripped: bool = True) -> Column:
@@ -107,7 +115,7 @@ def pack_by_size(block: Column, max_chars: int = MAX_CHARS, stripped: bool = Tru
             lambda run, length: F.when(run + length > max_chars, 0).otherwise(run + length),
         )
         pieces = _join_runs(statements, ends)
-        return F.transform(pieces, strip) if stripped else pieces
+        return strip_each(pieces) if stripped else pieces
 
     statements = F.transform(_nonblank(F.split(block, ";")), lambda s: F.concat(s, F.lit(";")))
     return bind(statements, pack)
@@ -202,6 +210,11 @@ def _nonblank(pieces: Column) -> Column:
     return F.filter(pieces, lambda p: ~is_blank(p))
 
 
+def _stripped(pieces: Column) -> Column:
+    """The pieces stripped, those left empty dropped."""
+    return F.filter(strip_each(pieces), lambda p: p != "")
+
+
 def _starts_with_any(block: Column, prefixes: tuple[str, ...]) -> Column:
     start = F.upper(F.substring(block, 1, max(map(len, prefixes))))
     found = F.lit(False)

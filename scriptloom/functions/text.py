@@ -42,6 +42,18 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def strip_each(texts: Column) -> Column:
+    """:func:`strip` of every element. Spark's trim with a character set indexes the whole text,
+    so it is only called where an end is blank."""
+
+    def one(text: Column) -> Column:
+        blank = F.lit(BLANKS)
+        open_end = F.contains(blank, F.left(text, F.lit(1))) | F.contains(blank, F.right(text, F.lit(1)))
+        return F.when(open_end, strip(text)).otherwise(text)
+
+    return F.transform(texts, one)
+
+
 def is_blank(text: Column) -> Column:
     return F.ltrim(text, F.lit(BLANKS)) == ""
 
