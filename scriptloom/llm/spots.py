@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptloom.llm.store import stored
+
 # Anchors, and the other common words that chains skip.
 ANCHORS = (
     "the a is was be to of and der die das ist und ein zu le la les est un une et de que el los es y en"
@@ -86,14 +88,15 @@ def with_next(documents: DataFrame, block: int = 4096) -> DataFrame:
             F.lead("block").over(Window.partitionBy("upper").orderBy(F.desc("block"))), "lower_top", "very_first"
         ).alias("next_block"),
     )
-    # (block that a first document belongs to, blocks that need it as their last successor)
+    # One row per block: stored, so that the planner knows its size before it joins the texts.
+    following = stored(following, "spots-blocks")
+    heads = following.select(F.col("block").alias("of"), "first_id")
     needed = following.select(F.col("next_block").alias("of"), F.col("block").alias("sent_to"))
     firsts = (
-        rows.join(ids, "block")
-        .filter(F.col("id").eqNullSafe(F.col("first_id")))
-        .groupBy("block")
+        rows.join(heads, (F.col("block") == F.col("of")) & F.col("id").eqNullSafe(F.col("first_id")))
+        .groupBy("of")
         .agg(F.max("text").alias("text"))
-        .join(needed, F.col("block") == F.col("of"))
+        .join(needed, "of")
         .select(F.lit(None).cast("bigint").alias("id"), "text", F.col("sent_to").alias("block"), F.lit(True).alias("sent"))
     )
     every = rows.select("id", "text", "block", F.lit(False).alias("sent")).unionByName(firsts)
