@@ -5,7 +5,8 @@ share a level; a level has ``m`` segments, each shingle belongs to one of them,
 sketch is the XOR of its shingles' hashes. A shingle in one set only changes one segment, so sets
 with a symmetric difference of at most D differ in at most D segments and agree in at least m - D.
 Both sets therefore hold a common segment among their first D + 1 in any order that depends on the
-segments alone (those with most shingles come first, so that near-empty ones are not joined on).
+segments alone. The order is by how many sets have a segment: a set whose own segments, which
+nobody shares, are more than D needs no join, and what many share (a common passage) comes last.
 
 Candidates of a segment are compared with the group's leader first: what is within the threshold
 of the leader needs no comparison among itself, and as Jaccard distance is a metric, what is far
@@ -29,7 +30,7 @@ from scriptloom.llm.store import id_text, mix, named, stored, strings, text_grou
 WORDS = 5
 SEEN = 200_000  # sets a task remembers as sent, to send copies once; a memory bound only
 STAR_ROUNDS = 2
-_INFO = "<?qq4q"
+_INFO = "<?qqqq4q"
 
 
 def _lower(text: bytes) -> bytes:
@@ -73,30 +74,24 @@ def next_band(bands: list[int], percent: int) -> int:
     return max((bands[-1] + 1) * 100 // percent, bands[-1] + 1)
 
 
-def segment_keys(shingles: np.ndarray, level: int, high: int, percent: int) -> np.ndarray:
-    """Join keys of a set at a level whose largest sets have ``high`` shingles.
-
-    The level's largest sets fix the number of segments. How many of its own a set needs to send
-    follows from the largest partner it can have there: the first common segment of two sets has
-    no more than their symmetric difference before it in either.
-    """
-    sizes = len(shingles) + min(high, len(shingles) * 100 // percent)
-    most = sizes * (100 - percent) // (100 + percent)  # symmetric difference allowed
-    if not most:
-        return np.zeros(0, np.uint64)  # only equal sets are that near
+def segments_of(size: int, high: int, percent: int) -> tuple[int, int]:
+    """Number of segments of a level whose largest sets have ``high`` shingles, and the largest
+    symmetric difference that a set of ``size`` can have with a partner there; (0, 0) if only equal
+    sets are near enough."""
     widest = 2 * high * (100 - percent) // (100 + percent)
-    m = widest + widest // 8 + 2
-    segment = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as shingles are
-    begins = np.flatnonzero(np.diff(segment, prepend=segment[0] + np.uint64(1)) != 0)
-    folded = np.bitwise_xor.reduceat(mix(shingles), begins)
-    held = np.diff(np.append(begins, len(shingles)))
-    where = np.uint64(level) * np.uint64(1 << 40)
-    keys = mix(folded ^ mix(where + segment[begins]))
-    chosen = keys[np.lexsort((keys, -held))[: most + 1]]
-    if len(chosen) <= most:  # empty segments come last in the order
-        empty = np.setdiff1d(np.arange(m, dtype=np.uint64), segment[begins])
-        chosen = np.append(chosen, np.sort(mix(mix(where + empty)))[: most + 1 - len(chosen)])
-    return chosen
+    most = (size + min(high, size * 100 // percent)) * (100 - percent) // (100 + percent)
+    return (widest + widest // 8 + 2, most) if most else (0, 0)
+
+
+def segment_keys(shingles: np.ndarray, level: int, m: int) -> np.ndarray:
+    """Join keys of a set at a level, one for each of its ``m`` segments."""
+    folded = np.zeros(m, np.uint64)
+    if m:
+        segment = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as shingles are
+        begins = np.flatnonzero(np.diff(segment, prepend=segment[0] + np.uint64(1)) != 0)
+        folded[segment[begins]] = np.bitwise_xor.reduceat(mix(shingles), begins)
+    place = np.uint64(level) * np.uint64(1 << 40) + np.arange(m, dtype=np.uint64)
+    return mix(folded ^ mix(place))
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
@@ -112,63 +107,72 @@ def _sketch(percent: int):
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            keys, owners, extra_at, extra, waiting = [], [], [], [], 0
+            keys, owners, sides, extra_at, extra, waiting = [], [], [], [], [], 0
             for i, shingles in enumerate(shingle_sets(strings(batch))):
                 n = len(shingles)
                 own = set_hash(shingles)
                 key = int(mix(np.array([ids[i] or 0], np.int64).view(np.uint64))[0].view(np.int64))
                 bits = parity_bits(shingles).tolist() if n else [0] * 4
-                extra.append(struct.pack(_INFO, ids[i] is not None, ids[i] or 0, n, *bits))
+                while len(bands) < 3 or bands[-2] < n:
+                    bands.append(next_band(bands, percent))
+                level = int(np.searchsorted(bands, n))
+                # At the level of its own band, and of the next one if a partner can be there.
+                places = [(level, *segments_of(n, bands[level], percent)), (level + 1, 0, 0)]
+                if n * 100 // percent > bands[level]:
+                    places[1] = (level + 1, *segments_of(n, bands[level + 1], percent))
+                # Segments to join on, less those that are shared by anyone.
+                quotas = [most + 1 - m for _, m, most in places]
+                extra.append(struct.pack(_INFO, ids[i] is not None, ids[i] or 0, n, *quotas, *bits))
                 extra_at.append((key, own))
                 if n and own not in seen:
                     if len(seen) >= SEEN:
                         seen = set()
                     seen.add(own)
-                    while len(bands) < 3 or bands[-2] < n:
-                        bands.append(next_band(bands, percent))
-                    level = int(np.searchsorted(bands, n))
-                    for at in (level, level + 1) if n * 100 // percent > bands[level] else (level,):
-                        found = segment_keys(shingles, at, bands[at], percent)
-                        keys.append(found)
-                        owners.append(np.full(len(found), own, np.int64))
-                        waiting += len(found)
+                    for side, (at, m, _) in enumerate(places):
+                        keys.append(segment_keys(shingles, at, m))
+                        owners.append(np.full(m, own, np.int64))
+                        sides.append(np.full(m, side, np.int8))
+                        waiting += m
                 if waiting > 200_000:
-                    yield _sent(keys, owners, extra_at, extra)
-                    keys, owners, extra_at, extra, waiting = [], [], [], [], 0
+                    yield _sent(keys, owners, sides, extra_at, extra)
+                    keys, owners, sides, extra_at, extra, waiting = [], [], [], [], [], 0
             if extra:
-                yield _sent(keys, owners, extra_at, extra)
+                yield _sent(keys, owners, sides, extra_at, extra)
 
     return sketch
 
 
-def _sent(keys, owners, extra_at, extra) -> pa.RecordBatch:
+def _sent(keys, owners, sides, extra_at, extra) -> pa.RecordBatch:
     plain = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
     own = np.concatenate([*owners, np.zeros(0, np.int64)])
+    side = np.concatenate([*sides, np.zeros(len(extra), np.int8)])
     at = np.array(extra_at, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([plain, at[:, 0]])),
             pa.array(np.concatenate([own, at[:, 1]])),
+            pa.array(side),
             pa.array([None] * len(plain) + extra, pa.binary()),
         ],
-        ["key", "own", "extra"],
+        ["key", "own", "side", "extra"],
     )
 
 
 def _shared(batches):
     """From rows sorted by key and set: those whose key two or more sets have, and all information."""
-    held = np.zeros((2, 0), np.int64)  # the last row, whose successor is not known yet
+    held = np.zeros((3, 0), np.int64)  # the last row, whose successor is not known yet
     linked = False  # whether the row before it has its key
-    fields = ["key", "own", "known", "id", "n", "b0", "b1", "b2", "b3"]
+    fields = ["key", "own", "side", "known", "id", "n", "quota0", "quota1", "b0", "b1", "b2", "b3"]
 
-    def out(keys, own, info) -> pa.RecordBatch:
+    def out(keys, own, side, info) -> pa.RecordBatch:
         rows = [struct.unpack(_INFO, x) for x in info[1]]
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
         blank = [None] * len(keys)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([*keys.tolist(), *[None] * len(rows)], pa.int64()),
                 pa.array([*own.tolist(), *info[0]], pa.int64()),
+                pa.array([*side.tolist(), *[None] * len(rows)], pa.int64()),
                 pa.array([*blank, *columns[0]], pa.bool_()),
                 *[pa.array([*blank, *c], pa.int64()) for c in columns[1:]],
             ],
@@ -176,13 +180,13 @@ def _shared(batches):
         )
 
     for batch in batches:
-        key, own = (batch.column(c).to_numpy() for c in ("key", "own"))
+        key, own, side = (batch.column(c).to_numpy() for c in ("key", "own", "side"))
         extra = batch.column("extra")
         is_info = extra.is_valid().to_numpy(zero_copy_only=False)
         info = own[is_info].tolist(), extra.filter(pa.array(is_info)).to_pylist()
-        rows = np.concatenate([held, np.stack([key[~is_info], own[~is_info]])], 1)
+        rows = np.concatenate([held, np.stack([key[~is_info], own[~is_info], side[~is_info]])], 1)
         if rows.shape[1]:
-            new = np.append(True, (np.diff(rows, axis=1) != 0).any(0))
+            new = np.append(True, (np.diff(rows[:2], axis=1) != 0).any(0))
             rows = rows[:, new]
             same = rows[0, 1:] == rows[0, :-1]
             before = np.append(linked, same)
@@ -193,11 +197,11 @@ def _shared(batches):
             elif len(same):
                 linked = False
             held = rows[:, -1:]
-            yield out(rows[0, :-1][ready], rows[1, :-1][ready], info)
+            yield out(*rows[:, :-1][:, ready], info)
         else:
-            yield out(rows[0], rows[1], info)
+            yield out(*rows, info)
     if held.shape[1] and linked:
-        yield out(held[0], held[1], ([], []))
+        yield out(*held, ([], []))
 
 
 def _sets(batches):
@@ -213,6 +217,26 @@ def _sets(batches):
         )
 
 
+def _prefixes(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """The shared segments among the first of each set, in order of how many sets have them.
+
+    Segments that a set shares with nobody come first, so they leave less, often nothing, to join on.
+    """
+    counts = shared.groupBy("key").agg(F.count("*").alias("sets"))
+    counted = shared.join(counts, "key")
+    of_set = Window.partitionBy("own", "side")
+    ranked = counted.select(
+        "key",
+        "own",
+        "side",
+        F.count("*").over(of_set).alias("many"),
+        F.row_number().over(of_set.orderBy("sets", "key")).alias("rank"),
+    )
+    quota = F.when(F.col("side") == 0, F.col("quota0")).otherwise(F.col("quota1"))
+    kept = ranked.join(classes.select("own", "quota0", "quota1"), "own").filter(F.col("rank") <= quota + F.col("many"))
+    return stored(kept.select("key", "own"), "near-prefixes")
+
+
 def _bucketed(sets: DataFrame) -> DataFrame:
     """Sets, each once, as a table bucketed by name, so that no verification shuffles them again."""
     spark = sets.sparkSession
@@ -258,18 +282,19 @@ def near_duplicates(
     rows are kept and linked like copies.
     """
     source = id_text(documents, id_column, text_column).withColumn("id", F.col("id").cast("bigint"))
-    sent = source.mapInArrow(_sketch(percent), "key bigint, own bigint, extra binary")
-    table = "key bigint, own bigint, known boolean, id bigint, n bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+    sent = source.mapInArrow(_sketch(percent), "key bigint, own bigint, side tinyint, extra binary")
+    longs = "id bigint, n bigint, quota0 bigint, quota1 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+    table = f"key bigint, own bigint, side bigint, known boolean, {longs}"
     met = stored(sent.repartition("key").sortWithinPartitions("key", "own").mapInArrow(_shared, table), "near-shared")
     info = met.filter("key IS NULL").withColumn("id", F.when(F.col("known"), F.col("id")))
-    shared = met.filter("key IS NOT NULL").select("key", "own")
     classes = info.filter("n > 0").groupBy("own").agg(
-        F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")]
+        F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in (*_TRAITS, "quota0", "quota1")]
     )
+    shared = _prefixes(met.filter("key IS NOT NULL").select("key", "own", "side"), classes)
     wanted = shared.select("own").distinct().join(classes, "own").select("own", F.col("first_id").alias("id"))
     texts = source.join(wanted.withColumnRenamed("id", "first_id"), F.col("id").eqNullSafe(F.col("first_id")))
     sets = _bucketed(texts.select("own", "text").mapInArrow(_sets, "own bigint, shingles array<bigint>"))
-    traits = classes.drop("first_id")
+    traits = classes.select("own", *_TRAITS)
 
     def with_traits(df: DataFrame, name: str) -> DataFrame:
         return df.join(traits.select(F.col("own").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in _TRAITS]), name)
@@ -301,11 +326,11 @@ def near_duplicates(
             ~F.col("near") | (F.col("apart") >= F.col("border") - limit - 1e-9)
         )
         active = stored(left.select("key", F.col("a").alias("own"), (F.col("near") | F.col("around")).alias("around")), "near-active")
-    one = active.select("key", F.col("own").alias("a"), F.col("around").alias("around_a"))
-    two = active.select("key", F.col("own").alias("b"), F.col("around").alias("around_b"))
-    rest = one.join(two, "key").filter((F.col("a") < F.col("b")) & ~(F.col("around_a") & F.col("around_b")))
-    rest = with_traits(with_traits(rest.select("a", "b").distinct(), "a"), "b").filter(least <= limit + 1e-9)
-    links.append(_verified(rest.select("a", "b"), sets).filter(_near(percent)).select("a", "b"))
+    one = with_traits(active.select("key", F.col("own").alias("a"), F.col("around").alias("around_a")), "a")
+    two = with_traits(active.select("key", F.col("own").alias("b"), F.col("around").alias("around_b")), "b")
+    apart = (F.col("a") < F.col("b")) & ~(F.col("around_a") & F.col("around_b"))
+    rest = one.join(two, (one["key"] == two["key"]) & apart & (least <= limit + 1e-9)).select("a", "b").distinct()
+    links.append(_verified(rest, sets).filter(_near(percent)).select("a", "b"))
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
