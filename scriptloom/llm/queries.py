@@ -156,9 +156,9 @@ def op10_spot_signatures(spark, sf):
         F.col("id").alias("doc_id"),
         n.cast("bigint").alias("n_chars"),
         F.sha2(edited, 256).alias("edited_sha256"),
-        spots.spots(F.col("text")).alias("own"),
+        F.col("spots").alias("own"),
         spots.spots(edited).alias("other"),
-        spots.spots(F.col("next_text")).alias("next"),
+        F.col("next_spots").alias("next"),
     )
     return printed.select(
         "doc_id",

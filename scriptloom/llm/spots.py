@@ -1,7 +1,9 @@
 """Document fingerprints by spot signatures (operator 10), with DataFrame functions only.
 
-A spot is an anchor (one of a few very common words) with the chain of the next content words,
-common words skipped. A document's fingerprint is the set of its hashed spots.
+A spot is an anchor (one of a few very common words) that a content word follows, with the chain
+of the next content words; common words between are skipped. A document's fingerprint is the set of
+its hashed spots. Patterns repeat characters only, never groups: Java's matcher would recurse, and
+a text of one common word repeated would exhaust its stack.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptloom.functions.text import bind
 from scriptloom.llm.store import stored
 
 # Anchors, and the other common words that chains skip.
@@ -21,11 +24,12 @@ SKIPPED = (
 ).split()
 CHAIN = 2  # content words in a spot
 
-_COMMON = "|".join([*ANCHORS, *SKIPPED])
-# Words are runs of letters, one blank after each (see ``plain``).
-_SPOT = (
-    rf"(?<= )(?=((?:{'|'.join(ANCHORS)}) " + rf"(?:(?:(?:{_COMMON}) )*+(?! )\p{{L}}++ ){{{CHAIN}}})" + ")"
-)
+_MARK = "\ue000"  # stands for the blank behind an anchor
+_SKIP = rf"(?<= )(?:{'|'.join(SKIPPED)}) "
+_ANCHOR = rf"(?<= )({'|'.join(ANCHORS)}) "
+# Common words that follow a content word, up to the next one.
+_BETWEEN = rf" [\p{{L}}{_MARK}]*{_MARK}"
+_SPOT = rf"(?<=[ {_MARK}])(?=(\p{{L}}++{_MARK}\p{{L}}++" + rf"(?: |{_BETWEEN})\p{{L}}++" * (CHAIN - 1) + " ))"
 
 
 def plain(text: Column) -> Column:
@@ -39,11 +43,12 @@ def spots(text: Column) -> Column:
     A text without a spot has one signature, the hash of the whole text, so that equal texts
     always have equal, non-empty fingerprints.
     """
-    skipped = rf" (?:(?:{_COMMON}) )+"
-    found = F.regexp_extract_all(plain(text), F.lit(_SPOT), F.lit(1))
-    hashed = F.transform(found, lambda s: F.hash(F.regexp_replace(s, skipped, " ")))
+    marked = F.regexp_replace(F.regexp_replace(plain(text), _SKIP, ""), _ANCHOR, f"$1{_MARK}")
+    found = F.regexp_extract_all(marked, F.lit(_SPOT), F.lit(1))
+    hashed = F.transform(found, lambda s: F.hash(F.regexp_replace(s, _BETWEEN, " ")))
     distinct = F.array_sort(F.array_distinct(hashed))
-    return F.when(F.size(distinct) > 0, distinct).otherwise(F.array(F.hash(F.lit("text"), text)))
+    whole = F.array(F.hash(F.lit("text"), text))
+    return bind(distinct, lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -64,7 +69,8 @@ def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: s
 
 
 def with_next(documents: DataFrame, block: int = 4096) -> DataFrame:
-    """id, text, next_text: the text of the next document in descending id; after the last, the first.
+    """id, text, spots, next_text, next_spots: each document with the next one in descending id; after
+    the last, the first.
 
     Ids are whole numbers; a window holds the ids of one block of ``block`` numbers, and the first
     document of every block is also sent to the block before it, so no window spans the table.
@@ -99,12 +105,14 @@ def with_next(documents: DataFrame, block: int = 4096) -> DataFrame:
         .join(needed, "of")
         .select(F.lit(None).cast("bigint").alias("id"), "text", F.col("sent_to").alias("block"), F.lit(True).alias("sent"))
     )
-    every = rows.select("id", "text", "block", F.lit(False).alias("sent")).unionByName(firsts)
+    every = rows.withColumn("sent", F.lit(False)).unionByName(firsts).withColumn("spots", spots(F.col("text")))
     window = Window.partitionBy("block").orderBy(F.col("sent"), *order)
     return (
-        every.withColumn("next_text", F.lead("text").over(window))
+        every.withColumns(
+            {"next_text": F.lead("text").over(window), "next_spots": F.lead("spots").over(window)}
+        )
         .filter("NOT sent")
-        .select("id", "text", "next_text")
+        .select("id", "text", "spots", "next_text", "next_spots")
     )
 
 

@@ -142,11 +142,11 @@ def test_chat_round_trip_and_tree(spark):
 
 
 def plain_spots(text):
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    common = {*spots.ANCHORS, *spots.SKIPPED}
+    words = [w for w in re.findall(r"[^\W\d_]+", text.lower()) if w not in spots.SKIPPED]
+    common = {*spots.ANCHORS}
     found = set()
-    for i, w in enumerate(words):
-        if w in spots.ANCHORS:
+    for i, w in enumerate(words[:-1]):
+        if w in common and words[i + 1] not in common:
             chain = [x for x in words[i + 1 :] if x not in common][: spots.CHAIN]
             if len(chain) == spots.CHAIN:
                 found.add((w, *chain))
@@ -163,6 +163,12 @@ def test_spots(spark, docs):
     assert abs(one["x"] - len(p & q) / len(p | q)) < 1e-9
 
 
+def test_spots_of_one_word_repeated(spark):
+    texts = ["the " * 30_000, "x the " * 20_000, "a b " * 20_000 + "c", "of " * 9_000 + "old man"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [len(r[0]) for r in df.select(spots.spots(F.col("t"))).collect()] == [1, 1, 2, 1]
+
+
 def test_next_document_and_edits(spark, docs, pairs):
     rows = {r["doc_id"]: r for r in queries.op10_spot_signatures(spark, "/root/testdata/sf0.001").collect()}
     texts = sorted(pairs(docs), reverse=True)
