@@ -301,10 +301,11 @@ def near_duplicates(
 
     limit = 1 - percent / 100
     least = _least_apart("_a", "_b")
-    active = shared.withColumn("around", F.lit(False))  # around: within the threshold of a leader
+    # around: a leader that is linked with the set, or NULL.
+    active = shared.withColumn("around", F.lit(None).cast("bigint"))
     links = []
     for _ in range(STAR_ROUNDS):
-        # The leader is one that is not around another yet, so that it settles new pairs.
+        # The leader is one that is not around another yet (NULL comes first), to settle new pairs.
         led = active.groupBy("key").agg(
             F.min(F.struct("around", "own"))["own"].alias("leader"), F.count("*").alias("members")
         )
@@ -325,10 +326,12 @@ def near_duplicates(
         left = judged.join(border, "key").filter(
             ~F.col("near") | (F.col("apart") >= F.col("border") - limit - 1e-9)
         )
-        active = stored(left.select("key", F.col("a").alias("own"), (F.col("near") | F.col("around")).alias("around")), "near-active")
+        around = F.coalesce("around", F.when(F.col("near"), F.col("b")))
+        active = stored(left.select("key", F.col("a").alias("own"), around.alias("around")), "near-active")
     one = with_traits(active.select("key", F.col("own").alias("a"), F.col("around").alias("around_a")), "a")
     two = with_traits(active.select("key", F.col("own").alias("b"), F.col("around").alias("around_b")), "b")
-    apart = (F.col("a") < F.col("b")) & ~(F.col("around_a") & F.col("around_b"))
+    together = F.coalesce(F.col("around_a") == F.col("around_b"), F.lit(False))
+    apart = (F.col("a") < F.col("b")) & ~together
     rest = one.join(two, (one["key"] == two["key"]) & apart & (least <= limit + 1e-9)).select("a", "b").distinct()
     links.append(_verified(rest, sets).filter(_near(percent)).select("a", "b"))
     edges = links[0]

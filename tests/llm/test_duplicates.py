@@ -64,6 +64,21 @@ def test_near_duplicates(spark, seed):
     assert found == components([(i, t or "") for i, t in rows])
 
 
+def test_chains_of_drifting_texts(spark):
+    """Links that join what is around different leaders."""
+    r = random.Random(7)
+    vocabulary, rows = [f"w{i}" for i in range(300)], []
+    for _ in range(6):
+        words = [r.choice(vocabulary) for _ in range(r.choice([40, 90, 150]))]
+        for _ in range(30):
+            rows.append((len(rows) * 3 + 1, " ".join(words)))
+            for _ in range(r.randint(1, 2)):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(tuple(x) for x in near.near_duplicates(df).collect()) == components(rows)
+
+
 def test_near_duplicates_of_hard_texts(hard, none, pairs):
     rows = near.near_duplicates(hard).collect()
     assert sorted(tuple(r) for r in rows) == components(pairs(hard))
