@@ -10,7 +10,8 @@ nobody shares, are more than D needs no join, and what many share (a common pass
 
 Candidates of a segment are compared with the group's leader first: what is within the threshold
 of the leader needs no comparison among itself, and as Jaccard distance is a metric, what is far
-from the leader cannot be near those around it. Whatever is left after that is compared in full.
+from the leader cannot be near those around it. After a few rounds, whatever is left and not yet
+in one component is compared in full.
 Nothing is capped; candidates are verified on the whole sets.
 """
 
@@ -29,7 +30,7 @@ from scriptloom.llm.store import id_text, mix, named, stored, strings, text_grou
 
 WORDS = 5
 SEEN = 200_000  # sets a task remembers as sent, to send copies once; a memory bound only
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 _INFO = "<?qqqq4q"
 
 
@@ -328,16 +329,20 @@ def near_duplicates(
         )
         around = F.coalesce("around", F.when(F.col("near"), F.col("b")))
         active = stored(left.select("key", F.col("a").alias("own"), around.alias("around")), "near-active")
-    one = with_traits(active.select("key", F.col("own").alias("a"), F.col("around").alias("around_a")), "a")
-    two = with_traits(active.select("key", F.col("own").alias("b"), F.col("around").alias("around_b")), "b")
-    together = F.coalesce(F.col("around_a") == F.col("around_b"), F.lit(False))
-    apart = (F.col("a") < F.col("b")) & ~together
-    rest = one.join(two, (one["key"] == two["key"]) & apart & (least <= limit + 1e-9)).select("a", "b").distinct()
-    links.append(_verified(rest, sets).filter(_near(percent)).select("a", "b"))
+    # What is linked by now needs no more comparison among itself, whoever led it.
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
-    groups = connected_components(edges)
+    linked = connected_components(edges)
+    placed = active.join(linked, active["own"] == linked["node"], "left").select(
+        "key", "own", F.coalesce("component", "own").alias("part")
+    )
+    one = with_traits(placed.select("key", F.col("own").alias("a"), F.col("part").alias("part_a")), "a")
+    two = with_traits(placed.select("key", F.col("own").alias("b"), F.col("part").alias("part_b")), "b")
+    apart = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (least <= limit + 1e-9)
+    rest = one.join(two, (one["key"] == two["key"]) & apart).select("a", "b").distinct()
+    rest = _verified(rest, sets).filter(_near(percent)).select("a", "b")
+    groups = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     grouped = classes.join(groups, classes["own"] == groups["node"], "left").select(
         "own", "first_id", F.coalesce("component", "own").alias("component")
     )
