@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from scriptloom.llm import bpe, chat, edits, language, near, packing, pii, quality, repeats, spots
+from scriptloom.functions.text import bind
+from scriptloom.llm import audit, bpe, chat, edits, language, near, packing, pii, quality, repeats, runs, spots, topk
 from scriptloom.llm.store import table
 
 #: Folder of the public tokenizers' files.
@@ -171,6 +172,48 @@ def op10_spot_signatures(spark, sf):
     )
 
 
+def op11_exact_topk(spark, sf):
+    return topk.top_inner_products(table(spark, sf, "embeddings"), F.col("id") % 50 == 0, 5, 256.0)
+
+
+def op12_filter_audit(spark, sf):
+    return audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def looped(documents):
+    """The texts of every tenth id by its CRC-32, with the words behind one place in a loop."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def loop(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.transform(places, lambda i: words[i]), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return documents.select("doc_id", F.when(h % 10 == 0, bind(words, loop)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark, sf):
+    found = runs.periodic_runs(looped(table(spark, sf, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    by_length = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    longest = F.array_max(by_length)
+    length, start, period = longest["length"], -longest["col2"], -longest["col3"]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -182,6 +225,9 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_token_counts": op9_token_counts,
     "op10_spot_signatures": op10_spot_signatures,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 # Lengths and digests of the same turns, put together without the tree; 6 + 1 and 8 characters of
@@ -228,4 +274,66 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS comp
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_ngram_jaccard": OP4_SQL}
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+)
+SELECT q.vec_id AS query_id,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id)::INTEGER AS rank,
+  c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+QUALIFY rank <= 5
+"""
+
+# Every order is walked step by step; removals are summed over the orders by a window.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN w.doc_id > first_id THEN 16 ELSE 0 END AS failed
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+), c AS (
+  SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed
+), x AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(letter, bit)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM x AS a, x AS b, x AS c, x AS d, x AS e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT o.filter_order, instr(o.filter_order, x.letter)::INTEGER AS step, x.bit,
+    (SELECT coalesce(sum(y.bit), 0)::INTEGER FROM x AS y
+     WHERE instr(o.filter_order, y.letter) < instr(o.filter_order, x.letter)) AS before
+  FROM o, x
+), r AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN failed & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed & before > 0 AND failed & bit > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+ORACLE_SQL = {
+    "op1_chat_format": OP1_SQL,
+    "op4_ngram_jaccard": OP4_SQL,
+    "op11_exact_topk": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
+}
