@@ -121,6 +121,12 @@ SAS_CODE = _by_remainder(
         _sql("'%macro two;'", f"'libname l \"/' || {_KEY} || '\"; if a; b = 1;;'", "'* inner; proc p; by k; run;'", "' %mend ;'", "'* after;'"),
         _sql("'data a; x = 1; run;'", "''", f"'proc print; var v_' || {_CUST} || '; run;'"),
         f"'data a; x = ' || {_KEY} || '; run; left over'",
+        _sql(f"'%macro a_' || {_KEY} || '; %macro b; %macro c; data x; y = ' || {_CUST} || '; run; %mend; * deep;'",
+             "'%mend; proc p; by k; run; %macro d;%mend; %mend;'", "'%macro e; * again; %mend; data z; q = 1; run;'"),
+        f"'%macro a; %macro b; x_' || {_KEY} || ' = 1; %mend; %mend;'",
+        f"'%macro a; data x; y = ' || {_KEY} || '; run; %mend; %mend;'",
+        f"'%macro a; %macro b; * of ' || {_KEY} || '; %mend;'",
+        f"'%macro a; * is no %macro b; libname l \"%mend; ' || {_KEY} || '\"; %macro c; if a; b = 1;; %mend; %mend;'",
     ),
 )
 

@@ -211,20 +211,41 @@ _INNER_FORMS = {
 }
 _INNER = "|".join(_INNER_FORMS.values())
 _MACRO_HEAD = rf"%macro\s+({_N})\s*;"
-_FORMS = {"MACRO": rf"{_MACRO_HEAD}(?:\s*(?:{_INNER}))*\s*%mend\s*;", **_INNER_FORMS}
-_ANY = "|".join(_FORMS.values())
-_FITS = rf"regexp_full_match(code, '\s*(?:(?:{_ANY})\s*)+')"
-_OUTER_SQL = (
-    "SELECT id, type, code, cast(unnest(generate_series(1, len(ps))) AS integer) AS node_no,"
-    f" unnest(ps) AS node FROM (SELECT id, upper(type) AS type, code, CASE WHEN {_FITS}"
-    f" THEN regexp_extract_all(code, '{_ANY}') ELSE [NULL] END AS ps FROM ({CHUNKS_SQL}))"
+_FORMS = {"MACRO": _MACRO_HEAD, **_INNER_FORMS}
+_MEND = r"%mend\s*;"
+_ITEM = "|".join((_MACRO_HEAD, _MEND, _INNER))
+# Heads, ends and plain blocks as M, E and b. Innermost macros become plain blocks until none is
+# left; a chunk fits if only plain blocks remain.
+_CODED_SQL = (
+    "SELECT id, upper(type) AS type, code, CASE WHEN regexp_full_match(code, "
+    f"'\\s*(?:(?:{_ITEM})\\s*)+') THEN regexp_extract_all(code, '{_ITEM}') ELSE [] END AS ps,"
+    " array_to_string(list_transform(ps, lambda p: CASE WHEN starts_with(p, '%macro') THEN 'M'"
+    f" WHEN starts_with(p, '%mend') THEN 'E' ELSE 'b' END), '') AS s FROM ({CHUNKS_SQL})"
 )
+# Items by place; the macro around an item is the last head before it that is one level up.
 _NODES_SQL = f"""
-    SELECT id, type, code, node_no, cast(unnest(generate_series(0, len(ns) - 1)) AS integer) AS inner_no,
-      unnest(ns) AS node
-    FROM (SELECT *, CASE WHEN starts_with(node, '%macro') THEN list_concat([node],
-        regexp_extract_all(regexp_replace(node, '^{_MACRO_HEAD}', ''), '{_INNER}'))
-      ELSE [node] END AS ns FROM ({_OUTER_SQL}))"""
+    WITH RECURSIVE coded AS ({_CODED_SQL}), shrunk AS (
+      SELECT id, s AS s, 0 AS n FROM coded
+      UNION ALL SELECT id, regexp_replace(s, 'Mb*E', 'b', 'g'), n + 1 FROM shrunk WHERE regexp_matches(s, 'Mb*E')
+    ), fitting AS (
+      SELECT id FROM (SELECT id, arg_max(s, n) AS s FROM shrunk GROUP BY id) WHERE regexp_full_match(s, 'b+')
+    ), items AS (
+      SELECT id, type, code, unnest(generate_series(1, len(ps))) AS place, unnest(ps) AS node
+      FROM coded SEMI JOIN fitting USING (id)
+    ), deep AS (
+      SELECT *, (count(*) FILTER (starts_with(node, '%macro')) OVER before
+        - count(*) FILTER (starts_with(node, '%mend')) OVER before)::INTEGER AS depth
+      FROM items WINDOW before AS (PARTITION BY id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), placed AS (
+      SELECT *, (count(*) FILTER (depth = 0) OVER (PARTITION BY id ORDER BY place))::INTEGER AS node_no
+      FROM deep WHERE NOT starts_with(node, '%mend')
+    ), numbered AS (
+      SELECT *, (row_number() OVER (PARTITION BY id, node_no ORDER BY place) - 1)::INTEGER AS inner_no FROM placed
+    )
+    SELECT a.id, a.type, a.code, a.node_no, a.inner_no, a.depth, (SELECT max(b.inner_no) FROM numbered AS b
+        WHERE b.id = a.id AND b.node_no = a.node_no AND b.inner_no < a.inner_no AND b.depth = a.depth - 1
+          AND starts_with(b.node, '%macro')) AS parent_no, a.node FROM numbered AS a
+    UNION ALL SELECT id, type, code, 1, 0, 0, NULL, NULL FROM coded ANTI JOIN fitting USING (id)"""
 _KIND = "CASE " + " ".join(f"WHEN regexp_full_match(node, '{p}') THEN '{k}'" for k, p in _FORMS.items()) + " END"
 _NAME = (
     "trim("
@@ -233,8 +254,9 @@ _NAME = (
 )
 _PATH = f"CASE WHEN regexp_full_match(node, '{_FORMS['LIBNAME']}') THEN trim(regexp_extract(node, '{_FORMS['LIBNAME']}', 2), '\"') END"
 _SAS_STATEMENTS = (
-    f"SELECT id, node_no, inner_no, cast(unnest(generate_series(1, len(ps))) AS integer) AS statement_no,"
-    f" {_strip('unnest(ps)')} AS s FROM (SELECT id, node_no, inner_no,"
+    f"SELECT id, node_no, inner_no, depth, parent_no,"
+    " cast(unnest(generate_series(1, len(ps))) AS integer) AS statement_no,"
+    f" {_strip('unnest(ps)')} AS s FROM (SELECT id, node_no, inner_no, depth, parent_no,"
     " list_slice(string_split(node, ';'), 2, -3) AS ps"
     f" FROM ({_NODES_SQL}) WHERE {_KIND} IN ('DATASTEP', 'PROC', 'IF', 'LOOP'))"
 )
@@ -424,9 +446,9 @@ ORACLE_SQL = {
         FROM (SELECT script_id FROM ({SCRIPTS_SQL})) LEFT JOIN ({_CHUNK_LISTS}) USING (script_id)""",
     "block_tokens": _tokens(STATEMENTS_SQL),
     "chunk_tokens": _tokens(_CHUNKED),
-    "sas_kinds": f"SELECT id, type, node_no, inner_no, {_KIND} AS kind, {_NAME} AS name, {_PATH} AS path FROM ({_NODES_SQL})",
+    "sas_kinds": f"SELECT id, type, node_no, inner_no, depth, parent_no, {_KIND} AS kind, {_NAME} AS name, {_PATH} AS path FROM ({_NODES_SQL})",
     "sas_statements": f"""
-        SELECT id, node_no, inner_no, statement_no,
+        SELECT id, node_no, inner_no, depth, parent_no, statement_no,
           CASE WHEN regexp_full_match(s, '{_ASSIGN}') THEN 'ASSIGN'
                WHEN regexp_full_match(s, '{_DECLARE}') THEN 'DECLARATION' ELSE 'STATEMENT' END AS kind,
           CASE WHEN regexp_full_match(s, '{_ASSIGN}') THEN regexp_extract(s, '{_ASSIGN}', 1) END AS var,

@@ -187,7 +187,7 @@ def block_tokens(spark, sf):
 
 def sas_kinds(spark, sf):
     return sas.sas_kinds(inputs.chunks(spark, sf)).select(
-        "id", "type", "node_no", "inner_no", "ast.kind", "ast.name", "ast.path"
+        "id", "type", "node_no", "inner_no", "depth", "parent_no", "ast.kind", "ast.name", "ast.path"
     )
 
 

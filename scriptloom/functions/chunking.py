@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptloom.functions.folds import fold_each
 from scriptloom.functions.text import (
     BLANK_CLASS,
     bind,
@@ -225,9 +226,6 @@ def _starts_with_any(block: Column, prefixes: tuple[str, ...]) -> Column:
 
 # Where a run ends, relative to the element being looked at.
 _BEFORE, _AFTER = 0, 1
-# Every step of a fold copies what it carries. So elements are folded in segments, and only
-# the outer fold, one step per segment, carries all ends found so far.
-_SEGMENT = 512
 
 
 def _run_ends(lengths: Column, closes, next_run) -> Column:
@@ -240,33 +238,20 @@ def _run_ends(lengths: Column, closes, next_run) -> Column:
     """
     no_ends = F.array().cast("array<int>")
 
-    def state(ends: Column, seen: Column, run: Column) -> Column:
-        return F.struct(ends.alias("ends"), seen.alias("seen"), run.cast("int").alias("run"))
+    def state(seen: Column, run: Column) -> Column:
+        return F.struct(seen.alias("seen"), run.cast("int").alias("run"))
 
-    def step(acc: Column, length: Column) -> Column:
+    def step(acc: Column, length: Column) -> tuple[Column, Column]:
         offsets = F.coalesce(closes(acc["run"], length), no_ends)
         found = F.transform(offsets, lambda offset: acc["seen"] + offset)
-        return state(F.concat(acc["ends"], found), acc["seen"] + 1, next_run(acc["run"], length))
+        return found, state(acc["seen"] + 1, next_run(acc["run"], length))
 
-    def segment_step(acc: Column, segment: Column) -> Column:
-        inner = F.aggregate(segment, state(no_ends, acc["seen"], acc["run"]), step)
-        return bind(
-            inner, lambda s: state(F.concat(acc["ends"], s["ends"]), s["seen"], s["run"])
-        )
-
-    def finish(acc: Column) -> Column:
-        rest = F.when(acc["run"] > 0, F.array(acc["seen"])).otherwise(no_ends)
-        return F.concat(acc["ends"], rest)
-
-    def fold(all_lengths: Column) -> Column:
-        last = F.floor((F.size(all_lengths) - 1) / _SEGMENT).cast("int")
-        segments = F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.slice(all_lengths, i * _SEGMENT + 1, F.lit(_SEGMENT)),
-        )
-        return F.aggregate(segments, state(no_ends, F.lit(0), F.lit(0)), segment_step, finish)
+    def finish(folded: Column) -> Column:
+        last = folded["state"]
+        rest = F.when(last["run"] > 0, F.array(last["seen"])).otherwise(no_ends)
+        return F.concat(folded["out"], rest)
 
-    return bind(lengths, fold)
+    return bind(fold_each(lengths, state(F.lit(0), F.lit(0)), step, "int"), finish)
 
 
 def _join_runs(elements: Column, ends: Column) -> Column:

@@ -1,7 +1,9 @@
 """Block kinds and statements of SAS chunks, by pattern.
 
 Only the lower-case keywords count, blanks between words are free, and a ``;`` always ends
-a statement. A chunk fits if it is one block after another and nothing else.
+a statement. A chunk fits if it is one block after another and nothing else. A macro holds
+blocks, macros among them, to any depth: the text is read as a sequence of macro heads, macro
+ends and plain blocks, and one fold over that sequence pairs heads with ends.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptloom.functions.folds import fold_each
 from scriptloom.functions.text import bind, strip
 
 _NAME = "[a-zA-Z_][a-zA-Z0-9_]*"
@@ -34,29 +37,66 @@ _PLAIN_KINDS = (
 )
 _PLAIN_BLOCK = "|".join(form for _, _, form in _PLAIN_KINDS)
 _MACRO_HEAD = rf"%macro\s+({_NAME})\s*;"
-# A macro holds blocks of the other kinds and nothing else.
-_MACRO = rf"{_MACRO_HEAD}(?:\s*(?:{_PLAIN_BLOCK}))*+\s*%mend\s*;"
-KINDS = (("MACRO", "%macro", _MACRO), *_PLAIN_KINDS)
+_MACRO_END = r"%mend\s*;"
+KINDS = (("MACRO", "%macro", _MACRO_HEAD), *_PLAIN_KINDS)
 # Statements starting with one of these words declare something.
 DECLARING = ("length", "attrib", "format")
 _WITH_STATEMENTS = ("DATASTEP", "PROC", "IF", "LOOP")
 
-_ANY_BLOCK = "|".join(form for _, _, form in KINDS)
+_ITEM = "|".join((_MACRO_HEAD, _MACRO_END, _PLAIN_BLOCK))
+_NODE = "node_no int, inner_no int, depth int, parent_no int, block string"
 
 
-def blocks(code: Column) -> Column:
-    """The blocks of a chunk in order; NULL if the chunk does not fit."""
-    rest = F.regexp_replace(code, rf"\G\s*(?:{_ANY_BLOCK})\s*", "")
-    found = F.regexp_extract_all(code, F.lit(_ANY_BLOCK), F.lit(0))
-    return F.when((rest == "") & (strip(code) != ""), found)
+def nodes(code: Column) -> Column:
+    """``ARRAY<STRUCT<node_no, inner_no, depth, parent_no, block>>`` in text order; NULL if the chunk
+    does not fit.
+
+    ``node_no`` counts the outermost blocks from 1, ``inner_no`` the blocks within one of them (0
+    for itself), ``depth`` the macros around a block, and ``parent_no`` is the ``inner_no`` of the
+    macro directly around it. Of a macro, ``block`` is its head.
+    """
+    rest = F.regexp_replace(code, rf"\G\s*(?:{_ITEM})\s*", "")
+    items = F.regexp_extract_all(code, F.lit(_ITEM), F.lit(0))
+    flat = F.transform(items, lambda item, i: _node(i + 1, F.lit(0), F.lit(0), F.lit(None), item))
+    has_macro = F.contains(code, F.lit("%macro")) | F.contains(code, F.lit("%mend"))
+    return F.when(
+        (rest == "") & (strip(code) != ""), F.when(has_macro, _nested(items)).otherwise(flat)
+    )
 
 
-def with_inner(block: Column) -> Column:
-    """A block, followed by the blocks in it if it is a macro; NULL for no block."""
-    body = F.regexp_replace(block, f"^{_MACRO_HEAD}", "")
-    inner = F.regexp_extract_all(body, F.lit(_PLAIN_BLOCK), F.lit(0))
-    is_macro = F.rlike(block, F.lit("^%macro"))
-    return F.concat(F.array(block), F.when(is_macro, inner).otherwise(F.array().cast("array<string>")))
+def _node(node_no: Column, inner_no: Column, depth: Column, parent_no: Column, block: Column) -> Column:
+    numbers = {"node_no": node_no, "inner_no": inner_no, "depth": depth, "parent_no": parent_no}
+    return F.struct(*[c.cast("int").alias(name) for name, c in numbers.items()], block.alias("block"))
+
+
+def _nested(items: Column) -> Column:
+    """The nodes of a sequence of heads, ends and plain blocks; NULL unless heads and ends pair."""
+    none = F.array().cast("array<int>")
+
+    def state(around: Column, node_no: Column, inner_no: Column, paired: Column) -> Column:
+        fields = {"around": around, "node_no": node_no, "inner_no": inner_no, "paired": paired}
+        return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+    def step(at: Column, item: Column) -> tuple[Column, Column]:
+        around, depth = at["around"], F.size(at["around"])
+        is_end = F.startswith(item, F.lit("%mend"))
+        node_no = at["node_no"] + F.when(depth == 0, 1).otherwise(0)
+        inner_no = F.when(depth == 0, 0).otherwise(at["inner_no"] + 1)
+        node = _node(node_no, inner_no, depth, F.get(around, depth - 1), item)
+        opened = F.when(F.startswith(item, F.lit("%macro")), F.concat(around, F.array(inner_no))).otherwise(around)
+        closed = F.slice(around, F.lit(1), F.greatest(depth - 1, F.lit(0)))
+        return (
+            F.when(is_end, F.array().cast(f"array<struct<{_NODE}>>")).otherwise(F.array(node)),
+            F.when(is_end, state(closed, at["node_no"], at["inner_no"], at["paired"] & (depth > 0))).otherwise(
+                state(opened, node_no, inner_no, at["paired"])
+            ),
+        )
+
+    start = state(none, F.lit(0), F.lit(0), F.lit(True))
+    folded = fold_each(items, start, step, f"struct<{_NODE}>")
+    return bind(
+        folded, lambda f: F.when(f["state"]["paired"] & (F.size(f["state"]["around"]) == 0), f["out"])
+    )
 
 
 def kind(block: Column) -> Column:

@@ -14,23 +14,24 @@ def read_chunks(df: DataFrame) -> DataFrame:
 
 
 def _nodes(chunks: DataFrame) -> DataFrame:
-    """Blocks of the chunks: node_no counts a chunk's blocks, inner_no those within a macro."""
-    outer = read_chunks(chunks).select(
-        "*", F.posexplode_outer(sas.blocks(F.col("code"))).alias("pos", "block")
-    )
-    return outer.select(
+    """Blocks of the chunks, numbered and nested as :func:`sas.nodes` says."""
+    exploded = read_chunks(chunks).select("*", F.explode_outer(sas.nodes(F.col("code"))).alias("node"))
+    return exploded.select(
         "id",
         "type",
         "code",
-        (F.coalesce("pos", F.lit(0)) + 1).alias("node_no"),
-        F.posexplode(sas.with_inner(F.col("block"))).alias("inner_no", "block"),
+        F.coalesce("node.node_no", F.lit(1)).alias("node_no"),
+        *[F.coalesce(f"node.{c}", F.lit(0)).alias(c) for c in ("inner_no", "depth")],
+        F.col("node.parent_no").alias("parent_no"),
+        F.col("node.block").alias("block"),
     )
 
 
 def sas_kinds(chunks: DataFrame) -> DataFrame:
     """One row per block of a chunk; a chunk that does not fit keeps one row without a tree.
 
-    The blocks of a macro follow it under its ``node_no``, with ``inner_no`` from 1.
+    The blocks of a macro follow it under its ``node_no``, with ``inner_no`` from 1. Macros nest:
+    ``depth`` says how many are around a block and ``parent_no`` which one (its ``inner_no``).
     """
     block = F.col("block")
     tree = F.when(
@@ -42,7 +43,9 @@ def sas_kinds(chunks: DataFrame) -> DataFrame:
             sas.statements(block).alias("statements"),
         ),
     )
-    return _nodes(chunks).select("id", "type", "code", "node_no", "inner_no", tree.alias("ast"))
+    return _nodes(chunks).select(
+        "id", "type", "code", "node_no", "inner_no", "depth", "parent_no", tree.alias("ast")
+    )
 
 
 def sas_statements(chunks: DataFrame) -> DataFrame:
@@ -51,8 +54,16 @@ def sas_statements(chunks: DataFrame) -> DataFrame:
         "id",
         "node_no",
         "inner_no",
+        "depth",
+        "parent_no",
         F.posexplode(sas.statements(F.col("block"))).alias("pos", "statement"),
     )
     return exploded.select(
-        "id", "node_no", "inner_no", (F.col("pos") + 1).alias("statement_no"), "statement.*"
+        "id",
+        "node_no",
+        "inner_no",
+        "depth",
+        "parent_no",
+        (F.col("pos") + 1).alias("statement_no"),
+        "statement.*",
     )
