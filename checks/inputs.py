@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptloom.session import configure
 from scriptloom.sources.scripts import spread
 
-NL, CR = "chr(10)", "chr(13)"
+NL, CR, _Q = "chr(10)", "chr(13)", "chr(39)"
 _KEY = "cast(o_orderkey as string)"
 _CUST = "cast(o_custkey as string)"
 
@@ -89,6 +89,16 @@ _SHAPES = (
         f"repeat({_INSERT}, cast(o_orderkey % 13 as int))",
         "'END;'",
     ),
+    _sql(
+        f"'CREATE OR REPLACE PACKAGE BODY deep_' || {_KEY} || ' AS'",
+        "'  PROCEDURE one IS n NUMBER; BEGIN'",
+        f"repeat({_UPDATE}, cast(o_custkey % 17 as int))",
+        "'    FOR i IN 1..3 LOOP IF n > 0 THEN n := CASE WHEN n = 1 THEN 2 ELSE 3 END; END IF; END LOOP;'",
+        "'  END one;'",
+        "'END /* of the package; */ deep; DROP TABLE IF EXISTS t;'",
+        f"'INSERT INTO t VALUES (' || {_Q} || 'a;b' || {_Q} || ', \"c;d\"); -- BEGIN; ' || {_CUST}",
+        "'END; CREATE TABLE u (a NUMBER); SELECT 1'",
+    ),
 )
 
 
@@ -148,7 +158,6 @@ GENERATED_CODE = _by_remainder(
 
 
 # One statement per order with every kind of token.
-_Q = "chr(39)"
 STATEMENT = _by_remainder(
     "o_orderkey",
     (

@@ -135,6 +135,76 @@ _CHUNK_LISTS = (
 _CHUNKED = _rows(_CHUNK_LISTS, "chunked", "script_id", "block_no", "block")
 
 
+# Tokens
+_TOKEN = (
+    r"--[^\n]*|/\*[\s\S]*?\*/|'(?:[^']|'')*'"
+    rf'|"[^"]*"|[0-9]+(?:\.[0-9]+)?|[\p{{L}}_][\p{{L}}0-9_$#]*'
+    rf"|:=|<=|>=|<>|!=|\|\||=>|\.\.|[-+*/<>=%]|[^{_BLANKS}]"
+)
+
+
+# Compound statements: a walk over the tokens of a text that are no comments.
+_LEXICAL = (
+    r"(?:[^;'" + r'"' + r"/-]|'(?:[^']|'')*'" + r'|"[^"]*"|--[^\n]*|/\*[\s\S]*?\*/|' + r"[-/'" + r'"])*;?'
+)
+_WALK = "{{'ends': {ends}, 'seen': {seen}, 'depth': {depth}, 'awaits': {awaits}, 'creates': {creates}, 't': {t}}}"
+_MARKS = "'BEGIN', 'END', 'CASE', 'DECLARE', 'CREATE', 'PACKAGE', 'IF', 'LOOP', 'FUNCTION', 'PROCEDURE', 'TRIGGER'"
+
+
+def _walked(token: str) -> str:
+    def to(**changed: str) -> str:
+        kept = {"ends": "a.ends", "seen": "a.seen", "depth": "a.depth", "awaits": "a.awaits", "creates": "a.creates"}
+        return _WALK.format(**{**kept, "t": "''", **changed})
+
+    top = "a.depth = 0 AND NOT a.awaits"
+    ended = to(ends="list_append(a.ends, a.seen + 1)", seen="a.seen + 1", creates="false")
+    return f"""CASE
+      WHEN {token} = ';' THEN CASE WHEN {top} THEN {ended} ELSE {to(seen="a.seen + 1")} END
+      WHEN {token} = 'BEGIN' THEN {to(depth="a.depth + 1", awaits="false")}
+      WHEN {token} = 'CASE' THEN {to(depth="a.depth + 1")}
+      WHEN {token} IN ('IF', 'LOOP') THEN CASE WHEN a.depth > 0 THEN {to(depth="a.depth + 1")} ELSE {to()} END
+      WHEN {token} = 'END' THEN {to(depth="greatest(a.depth - 1, 0)")}
+      WHEN {token} = 'DECLARE' THEN CASE WHEN {top} THEN {to(awaits="true")} ELSE {to()} END
+      WHEN {token} = 'CREATE' THEN {to(creates=f"({top})")}
+      WHEN {token} = 'PACKAGE' THEN CASE WHEN a.creates AND a.depth = 0 THEN {to(depth="a.depth + 1", creates="false")}
+        ELSE {to(creates="false")} END
+      WHEN a.creates AND a.depth = 0 THEN {to(awaits="true", creates="false")}
+      ELSE {to(creates="false")} END"""
+
+
+def _compound(source: str, keys: str, text: str) -> str:
+    """Keys and the list ss of the statements of a text per row of ``source``."""
+    start = _WALK.format(ends="[]::bigint[]", seen="0", depth="0", awaits="false", creates="false", t="''")
+    item = _WALK.format(ends="[]::bigint[]", seen="0", depth="0", awaits="false", creates="false", t="m")
+    piece = _strip("array_to_string(segs[(coalesce(ends[i - 1], 0) + 1):e], '')")
+    return f"""
+        SELECT {keys}, list_filter(list_transform(ends, lambda e, i: {piece}), lambda p: p NOT IN ('', ';')) AS ss
+        FROM (SELECT {keys}, segs, list_sort(list_distinct(list_append(f.ends, len(segs)))) AS ends
+        FROM (SELECT {keys}, segs, list_reduce(list_transform(ms, lambda m: {item}), lambda a, x: {_walked("x.t")}, {start}) AS f
+        FROM (SELECT {keys}, segs, list_filter(list_transform(ts, lambda t, i: CASE
+            WHEN t IN ('CASE', 'IF', 'LOOP') AND i > 1 AND ts[i - 1] = 'END' THEN '' ELSE t END),
+          lambda t: t IN (';', {_MARKS})) AS ms
+        FROM (SELECT {keys}, list_filter(regexp_extract_all({text}, {_quoted(_LEXICAL)}), lambda g: g <> '') AS segs,
+          list_transform(list_filter(regexp_extract_all({text}, {_quoted(_TOKEN)}),
+            lambda t: NOT (starts_with(t, '--') OR starts_with(t, '/*'))), lambda t: upper(t)) AS ts
+        FROM ({source})))))"""
+
+
+def _chunked_by_statement() -> str:
+    """The chunker with the statement step: as above, each statement of a compound block by its own size."""
+    packed = f"CASE WHEN length(p) > 1200 THEN {_packed('p', 1200)} ELSE [p] END"
+    cut = f"flatten(list_transform({_begin_pieces('s')}, lambda p: {packed}))"
+    pieces = f"flatten(list_transform(ss, lambda s: CASE WHEN length(s) > 1200 THEN {cut} ELSE [s] END))"
+    fine = f"""SELECT script_id, flatten(list(ps ORDER BY block_no)) AS fine FROM (SELECT script_id, block_no,
+        CASE WHEN length(block) > 1200 OR regexp_matches(block, '^(?i:CREATE|DECLARE|BEGIN)')
+          THEN list_filter({pieces}, lambda h: {_has_code('h')}) ELSE [block] END AS ps
+        FROM ({_compound(_EXTRACTED, "script_id, block_no, block", "block")})) GROUP BY script_id"""
+    return (
+        f"SELECT script_id, list_filter({_resplit('merged', 1200)}, lambda h: {_has_code('h')}) AS chunked"
+        f" FROM (SELECT script_id, {_merged('fine')} AS merged FROM ({fine}))"
+    )
+
+
 def _block_type(x: str) -> str:
     pairs = (
         ("CREATE OR REPLACE FUNCTION", "FUNCTION"),
@@ -172,14 +242,6 @@ _STATEMENTS_SQL = _rows(
     "block",
 )
 
-# Tokens
-_TOKEN = (
-    r"--[^\n]*|/\*[\s\S]*?\*/|'(?:[^']|'')*'"
-    rf'|"[^"]*"|[0-9]+(?:\.[0-9]+)?|[\p{{L}}_][\p{{L}}0-9_$#]*'
-    rf"|:=|<=|>=|<>|!=|\|\||=>|\.\.|[-+*/<>=%]|[^{_BLANKS}]"
-)
-
-
 def _tokens(source: str) -> str:
     every = _rows(
         source, f"regexp_extract_all(block, {_quoted(_TOKEN)})", "script_id, block_no", "token_no", "value"
@@ -436,6 +498,10 @@ ORACLE_SQL = {
     "resplit_large": _rows(SCRIPTS_SQL, _resplit(_FOUND, 400), "script_id", "block_no", "block"),
     "drop_comment_only": f"SELECT * FROM ({_EXTRACTED}) WHERE {_has_code('block')}",
     "chunk_corpus": _CHUNKED,
+    "compound_split": f"""
+        SELECT script_id, cast(unnest(generate_series(1, len(ss))) AS integer) AS block_no, unnest(ss) AS block
+        FROM ({_compound(SCRIPTS_SQL, "script_id", _NORMAL)})""",
+    "chunk_by_statement": _rows(_chunked_by_statement(), "chunked", "script_id", "block_no", "block"),
     "block_types": f"SELECT script_id, block_no, {_block_type('block')} AS block_type FROM ({_EXTRACTED})",
     "block_stats": f"""
         SELECT script_id, block_no, {_block_type("block")} AS block_type, {_lines("block")} AS num_lines,

@@ -165,6 +165,15 @@ def chunk_corpus(spark, sf):
     return blk.chunk_corpus(scripts(spark, sf))
 
 
+def compound_split(spark, sf):
+    return blk.split_compound(scripts(spark, sf))
+
+
+def chunk_by_statement(spark, sf):
+    """The chunker with its statement step."""
+    return blk.chunk_corpus(scripts(spark, sf), statement_step=True)
+
+
 def block_types(spark, sf):
     blocks = blk.extract_blocks(scripts(spark, sf))
     return blk.with_block_type(blocks).select("script_id", "block_no", "block_type")
@@ -458,6 +467,8 @@ QUERIES = {
         resplit_large,
         drop_comment_only,
         chunk_corpus,
+        compound_split,
+        chunk_by_statement,
         block_types,
         block_stats,
         block_counts,

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptloom.functions.folds import fold_each
+from scriptloom.functions.tokens import COMMENT, QUOTED, tokens
 from scriptloom.functions.text import (
     BLANK_CLASS,
     bind,
@@ -38,6 +39,13 @@ _UP_TO_LAST_END = rf"(?isu)^.*END{_B}*;"
 _BEFORE_BEGIN = r"(?iu)(?=BEGIN)"
 # A block starting like this is cut at BEGIN even when it is not large.
 _COMPOUND_STARTS = ("CREATE", "DECLARE", "BEGIN")
+# Words that open, close or announce a compound statement.
+_OPENS_INSIDE = ("IF", "LOOP")  # only within one: outside, IF EXISTS and the like are no blocks
+_ROUTINES = ("FUNCTION", "PROCEDURE", "TRIGGER")
+_MARKS = ("BEGIN", "END", "CASE", "DECLARE", "CREATE", "PACKAGE", *_OPENS_INSIDE, *_ROUTINES)
+# Up to and with a ";" that is in no string, quoted name or comment. What opens one of those
+# without closing it is a plain character. Possessive throughout: matched in a loop.
+_SEGMENT = rf"(?:[^;'\"/-]++|{QUOTED}|{COMMENT}|[-/'\"])*+;?+"
 # Block type by the start of the header line, first match wins.
 _BLOCK_TYPES = (
     ("CREATE OR REPLACE FUNCTION", "FUNCTION"),
@@ -70,6 +78,77 @@ def split_statements(text: Column) -> Column:
     return strip_each(F.transform(_nonblank(F.split(text, ";")), without_comments))
 
 
+def split_compound(text: Column) -> Column:
+    """Whole statements, compound ones in one piece, stripped; they keep their ``;``, empty ones go.
+
+    A ``;`` ends a statement only outside strings, quoted names and comments, outside BEGIN, CASE,
+    IF and LOOP up to their END, outside a package up to its END, and not between DECLARE or the
+    head of a created function, procedure or trigger and its BEGIN. The rest of the text is the
+    last statement.
+
+    The text is cut at every ``;`` that a lexical scan finds; a fold over these segments carries
+    depth and announced BEGIN from one to the next, and closes a statement where neither is left.
+    """
+
+    def state(seen: Column, depth: Column, awaits: Column, creates: Column) -> Column:
+        fields = {"seen": seen, "depth": depth, "awaits": awaits, "creates": creates}
+        return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+    def marks(segment: Column) -> Column:
+        """The marking words; IF, LOOP and CASE right behind END belong to it."""
+
+        def words(found: Column) -> Column:
+            upper = F.transform(found, lambda t: F.upper(t))
+            closing = F.transform(
+                upper,
+                lambda t, i: F.when((F.get(upper, i - 1) == "END") & t.isin("CASE", *_OPENS_INSIDE), "").otherwise(t),
+            )
+            return F.filter(closing, lambda t: t.isin(*_MARKS))
+
+        code = F.filter(tokens(segment), lambda t: ~(F.startswith(t, F.lit("--")) | F.startswith(t, F.lit("/*"))))
+        return F.when(F.rlike(segment, F.lit(rf"(?i){'|'.join(_MARKS)}")), bind(code, words)).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    def mark(at: Column, word: Column) -> Column:
+        depth, top = at["depth"], (at["depth"] == 0) & ~at["awaits"]
+        created = at["creates"] & (depth == 0)
+        opens = (
+            word.isin("BEGIN", "CASE")
+            | (word.isin(*_OPENS_INSIDE) & (depth > 0))
+            | ((word == "PACKAGE") & created)
+        )
+        return state(
+            at["seen"],
+            F.when(opens, depth + 1).when(word == "END", F.greatest(depth - 1, F.lit(0))).otherwise(depth),
+            F.when(word == "BEGIN", False)
+            .when((top & (word == "DECLARE")) | (created & word.isin(*_ROUTINES)), True)
+            .otherwise(at["awaits"]),
+            F.when(word == "CREATE", top).otherwise(at["creates"] & ~word.isin("PACKAGE", *_ROUTINES)),
+        )
+
+    def step(at: Column, segment: Column) -> tuple[Column, Column]:
+        def ended(inner: Column) -> Column:
+            closes = (inner["depth"] == 0) & ~inner["awaits"]
+            now = state(at["seen"] + 1, inner["depth"], inner["awaits"], inner["creates"] & ~closes)
+            return F.struct(F.when(closes, F.array(at["seen"] + 1)).otherwise(no_ends).alias("out"), now.alias("now"))
+
+        both = bind(F.aggregate(marks(segment), at, mark), ended)
+        return both["out"], both["now"]
+
+    def statements(segments: Column) -> Column:
+        start = state(F.lit(0), F.lit(0), F.lit(False), F.lit(False))
+        ends = bind(
+            fold_each(segments, start, step, "int"),
+            lambda f: F.array_distinct(F.concat(f["out"], F.array(F.size(segments)))),
+        )
+        return F.filter(_stripped(_join_runs(segments, ends, "")), lambda s: s != ";")
+
+    no_ends = F.array().cast("array<int>")
+    found = F.regexp_extract_all(normalize_newlines(text), F.lit(_SEGMENT), F.lit(0))
+    return bind(F.filter(found, lambda s: s != ""), statements)
+
+
 def extract_blocks(text: Column) -> Column:
     """Find compound blocks and plain statements from left to right, stripped.
 
@@ -171,32 +250,69 @@ def chunk(
 ) -> Column:
     """The whole chunker: blocks, cut where large, small ones merged, large ones re-cut.
 
-    One block from :func:`extract_blocks` counts as one statement; no SQL library is used to
-    take it apart. Where such a library would split a CREATE body, the pieces are mostly
-    small and would be merged again, so that only blanks and merge borders can differ.
+    One block from :func:`extract_blocks` counts as one statement. Taken apart into statements
+    first (see :func:`compound_statements`), its pieces are mostly small and would be merged
+    again, so that only blanks and merge borders can differ.
     """
 
     def cut(block: Column) -> Column:
-        pieces = F.flatten(
-            F.transform(
-                split_at_begin(block),
-                lambda p: F.when(F.length(p) > max_chars, pack_by_size(p, max_chars)).otherwise(
-                    F.array(p)
-                ),
-            )
-        )
-        large = F.length(block) > max_chars
-        return (
-            F.when(large, drop_comment_only(pieces))
-            .when(_starts_with_any(block, _COMPOUND_STARTS), drop_comment_only(F.array(block)))
-            .otherwise(F.array(block))
-        )
+        pieces = _cut_statement(block, max_chars)
+        return F.when(_is_compound(block, max_chars), pieces).otherwise(F.array(block))
 
     fine = F.flatten(F.transform(extract_blocks(text), cut))
+    return merge_and_resplit(fine, max_chars, small_chars, flush_chars)
+
+
+def compound_statements(blocks: Column, max_chars: int = MAX_CHARS) -> Column:
+    """``STRUCT<block, statements>`` for every block: the statements of one that is large or starts
+    a compound statement, NULL for others."""
+    return F.transform(
+        blocks,
+        lambda b: F.struct(
+            b.alias("block"), F.when(_is_compound(b, max_chars), split_compound(b)).alias("statements")
+        ),
+    )
+
+
+def cut_statements(parts: Column, max_chars: int = MAX_CHARS) -> Column:
+    """The blocks of :func:`compound_statements`, every statement cut by its own size."""
+
+    def cut(part: Column) -> Column:
+        pieces = F.flatten(F.transform(part["statements"], lambda s: _cut_statement(s, max_chars)))
+        return F.coalesce(pieces, F.array(part["block"]))
+
+    return F.flatten(F.transform(parts, cut))
+
+
+def merge_and_resplit(
+    fine: Column,
+    max_chars: int = MAX_CHARS,
+    small_chars: int = SMALL_CHARS,
+    flush_chars: int = FLUSH_CHARS,
+) -> Column:
+    """The end of the chunker: small neighbours merged, large blocks packed again."""
     merged = merge_small(fine, small_chars, flush_chars)
     return drop_comment_only(resplit_large(merged, max_chars))
 
 
+def _is_compound(block: Column, max_chars: int) -> Column:
+    return (F.length(block) > max_chars) | _starts_with_any(block, _COMPOUND_STARTS)
+
+
+def _cut_statement(statement: Column, max_chars: int) -> Column:
+    pieces = F.flatten(
+        F.transform(
+            split_at_begin(statement),
+            lambda p: F.when(F.length(p) > max_chars, pack_by_size(p, max_chars)).otherwise(
+                F.array(p)
+            ),
+        )
+    )
+    return F.when(F.length(statement) > max_chars, drop_comment_only(pieces)).otherwise(
+        drop_comment_only(F.array(statement))
+    )
+
+
 def block_type(block: Column) -> Column:
     longest = max(len(prefix) for prefix, _ in _BLOCK_TYPES)
     header = F.upper(F.substring(strip(block), 1, longest))
@@ -254,13 +370,13 @@ def _run_ends(lengths: Column, closes, next_run) -> Column:
     return bind(fold_each(lengths, state(F.lit(0), F.lit(0)), step, "int"), finish)
 
 
-def _join_runs(elements: Column, ends: Column) -> Column:
-    """One string per run, its elements joined by a newline."""
+def _join_runs(elements: Column, ends: Column, separator: str = "\n") -> Column:
+    """One string per run, its elements joined by a newline or ``separator``."""
 
     def join(all_ends: Column) -> Column:
         def one(end: Column, i: Column) -> Column:
             before = F.coalesce(F.get(all_ends, i - 1), F.lit(0))
-            return F.array_join(F.slice(elements, before + 1, end - before), "\n")
+            return F.array_join(F.slice(elements, before + 1, end - before), separator)
 
         return F.transform(all_ends, one)
 

@@ -25,6 +25,11 @@ def split_statements(scripts: DataFrame, text: str = "text") -> DataFrame:
     return explode_blocks(scripts, chunking.split_statements(F.col(text)))
 
 
+def split_compound(scripts: DataFrame, text: str = "text") -> DataFrame:
+    """Whole statements, compound ones in one piece, see :func:`chunking.split_compound`."""
+    return explode_blocks(scripts, chunking.split_compound(F.col(text)))
+
+
 def extract_blocks(scripts: DataFrame, text: str = "text") -> DataFrame:
     return explode_blocks(scripts, chunking.extract_blocks(F.col(text)))
 
@@ -35,9 +40,19 @@ def chunk_corpus(
     small: int = SMALL_CHARS,
     flush: int = FLUSH_CHARS,
     text: str = "text",
+    statement_step: bool = False,
 ) -> DataFrame:
-    """Cut every script into blocks of bounded size, see :func:`chunking.chunk`."""
-    return explode_blocks(scripts, chunking.chunk(F.col(text), max_chars, small, flush))
+    """Cut every script into blocks of bounded size, see :func:`chunking.chunk`.
+
+    With ``statement_step``, blocks are taken apart into whole statements before they are cut.
+    """
+    if not statement_step:
+        return explode_blocks(scripts, chunking.chunk(F.col(text), max_chars, small, flush))
+    # One column per stage: as one expression the lambdas nest too deep for the analyzer.
+    staged = scripts.select("script_id", chunking.extract_blocks(F.col(text)).alias("blocks"))
+    staged = staged.select("script_id", chunking.compound_statements(F.col("blocks"), max_chars).alias("parts"))
+    staged = staged.select("script_id", chunking.cut_statements(F.col("parts"), max_chars).alias("fine"))
+    return explode_blocks(staged, chunking.merge_and_resplit(F.col("fine"), max_chars, small, flush))
 
 
 def merge_small(

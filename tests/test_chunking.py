@@ -237,3 +237,73 @@ def test_long_string_token_does_not_overflow(column_of):
     text = "'" + "a''" * 200_000 + "'"
     [found] = column_of(tokens.tokens, [text])
     assert found == [text]
+
+
+COMPOUND = {
+    "routine": (
+        "CREATE OR REPLACE PROCEDURE p IS v NUMBER := 0; BEGIN IF a THEN x; END IF; FOR i IN 1..2 LOOP y; END LOOP;"
+        " END p; SELECT CASE WHEN a THEN 'b;c' END FROM d; DROP TABLE IF EXISTS t; tail",
+        [
+            "CREATE OR REPLACE PROCEDURE p IS v NUMBER := 0; BEGIN IF a THEN x; END IF; FOR i IN 1..2 LOOP y;"
+            " END LOOP; END p;",
+            "SELECT CASE WHEN a THEN 'b;c' END FROM d;",
+            "DROP TABLE IF EXISTS t;",
+            "tail",
+        ],
+    ),
+    "package": (
+        "create package body q as function f return number is begin return 1; end; procedure r is z number;"
+        " begin null; end r; end q; commit;",
+        [
+            "create package body q as function f return number is begin return 1; end; procedure r is z number;"
+            " begin null; end r; end q;",
+            "commit;",
+        ],
+    ),
+    "anonymous": (
+        "DECLARE a NUMBER; BEGIN BEGIN x; END; CASE a WHEN 1 THEN y; END CASE; END; z;",
+        ["DECLARE a NUMBER; BEGIN BEGIN x; END; CASE a WHEN 1 THEN y; END CASE; END;", "z;"],
+    ),
+    "loop over a case": (
+        "BEGIN FOR r IN (SELECT CASE WHEN a THEN b END) LOOP x; END LOOP; END; y;",
+        ["BEGIN FOR r IN (SELECT CASE WHEN a THEN b END) LOOP x; END LOOP; END;", "y;"],
+    ),
+    "quoted": (
+        "a ';' b; \"c;d\" -- e; f\n; /* g; */ h; 'it''s; BEGIN'; x",
+        ["a ';' b;", '"c;d" -- e; f\n;', "/* g; */ h;", "'it''s; BEGIN';", "x"],
+    ),
+    "end behind a comment": ("BEGIN IF a THEN b; END /* ; */ IF; END; c;", ["BEGIN IF a THEN b; END /* ; */ IF; END;", "c;"]),
+    "unclosed quote": ("it's; open; BEGIN x", ["it's;", "open;", "BEGIN x"]),
+    "too many ends": ("END; END; BEGIN a; END; b", ["END;", "END;", "BEGIN a; END;", "b"]),
+    "names": ("begin_date; x.end$; a_if; b", ["begin_date;", "x.end$;", "a_if;", "b"]),
+    "no create": ("DROP FUNCTION f; DROP PACKAGE p; CREATE TABLE t (a NUMBER); b;", ["DROP FUNCTION f;", "DROP PACKAGE p;", "CREATE TABLE t (a NUMBER);", "b;"]),
+    "empty ones": (" ;; ; x\r\n;", ["x\n;"]),
+    "empty": ("", []),
+}
+
+
+def test_compound_statements(spark):
+    rows = spark.createDataFrame([(k, v[0]) for k, v in COMPOUND.items()], "script_id string, text string")
+    got = {k: [] for k in COMPOUND}
+    for r in blk.split_compound(rows).orderBy("script_id", "block_no").collect():
+        got[r.script_id].append(r.block)
+    assert got == {k: v[1] for k, v in COMPOUND.items()}
+    null = spark.createDataFrame([("n", None)], "script_id string, text string")
+    assert blk.split_compound(null).count() == 0 and blk.chunk_corpus(null, statement_step=True).count() == 0
+
+
+def test_long_scripts_of_compound_statements(spark):
+    one = "DECLARE a NUMBER; BEGIN IF a > 0 THEN b := 'x;y'; END IF; END; c;\n"
+    rows = spark.createDataFrame([("s", one * 10_000), ("deep", "BEGIN " * 3000 + "x; " + "END; " * 3000 + "y;")], "script_id string, text string")
+    counts = {r.script_id: r["count"] for r in blk.split_compound(rows).groupBy("script_id").count().collect()}
+    assert counts == {"s": 20_000, "deep": 2}
+
+
+def test_statement_step(spark):
+    body = "UPDATE t SET a = 1 WHERE b = 'no; end';\n" * 40
+    text = f"CREATE PROCEDURE p IS n NUMBER; BEGIN\n{body}END;\nSELECT 1;"
+    rows = spark.createDataFrame([("s", text)], "script_id string, text string")
+    with_step = [r.block for r in blk.chunk_corpus(rows, statement_step=True).orderBy("block_no").collect()]
+    assert "".join("".join(with_step).split()).count("UPDATE") == 40
+    small = spark.createDataFrame([("s", "a;\nb; c;")], "script_id string, text string")
+    assert blk.chunk_corpus(small, statement_step=True).collect() == blk.chunk_corpus(small).collect()
