@@ -341,7 +341,7 @@ _REASON = (
 _ANSWERED = f"SELECT *, {_ANSWER} AS answer, {_REASON} AS why FROM"
 
 
-def _records(skipped: str, told: str = "") -> str:
+def _records(skipped: str, told: str = "", count=_words) -> str:
     answered = _ANSWERED if not told else _ANSWERED.replace("|| ' chars'", f"|| ' chars{told}'")
     return f"""
 SELECT id, skipped OR answer IS NOT NULL AS ok,
@@ -349,14 +349,18 @@ SELECT id, skipped OR answer IS NOT NULL AS ok,
        WHEN answer IS NULL THEN '# LLM ERROR: ' || why ELSE answer END AS code,
   CASE WHEN skipped THEN 'Skipped' WHEN answer IS NULL THEN why ELSE '' END AS reason,
   cast(CASE WHEN skipped OR answer IS NULL THEN 0 WHEN answer = '# library' THEN 7
-       ELSE {_words("request")} END AS integer) AS input_tokens,
+       ELSE {count("request")} END AS integer) AS input_tokens,
   cast(CASE WHEN skipped OR answer IS NULL THEN 0 WHEN answer = '# library' THEN 9
-       ELSE {_words("answer")} END AS integer) AS output_tokens,
+       ELSE {count("answer")} END AS integer) AS output_tokens,
   cast(input_tokens + output_tokens AS integer) AS total_tokens
 FROM ({answered} (SELECT *, {skipped} AS skipped, {_REQUEST} AS request FROM ({CHUNKS_SQL})))
 """
 
 
+def _counted(x: str) -> str:
+    return f"CASE WHEN contains({x}, 'do while') THEN {_words(x)} ELSE length({x}) END"
+
+
 _RECORDS = _records("lower(type) = 'macro'")
 _ID_NUMBER = "cast(regexp_extract(id, '[^_]*$') AS bigint)"
 _BLOCK_REQUEST_HEAD = (
@@ -536,6 +540,11 @@ ORACLE_SQL = {
           CASE WHEN type = 'comment' THEN 'Skipped' ELSE 'Dry run mode' END AS reason,
           0 AS input_tokens, 0 AS output_tokens, 0 AS total_tokens FROM ({CHUNKS_SQL})""",
     "convert_blocks": _RECORDS,
+    "convert_counted": _records("lower(type) = 'macro'", count=_counted),
+    "convert_resumed": _RECORDS,
+    "pasted_blocks": f"""
+        SELECT 'pasted' AS script_id, block_no, block FROM ({_CHUNKED})
+        WHERE script_id = (SELECT min(script_id) FROM ({SCRIPTS_SQL}))""",
     "convert_scripts": f"""
         SELECT script_id, true AS ok, answer AS code, '' AS reason, {_words("request")} AS input_tokens,
           {_words("answer")} AS output_tokens, cast(input_tokens + output_tokens AS integer) AS total_tokens
@@ -555,6 +564,7 @@ ORACLE_SQL = {
     + ")",
     "audit_duplicates": f"""
         SELECT id, {_ID_NUMBER} AS id_num, CASE WHEN {_ID_NUMBER} % 3 = 0 THEN ''
+          WHEN {_ID_NUMBER} % 20 = 10 THEN greatest('again ' || code, code)
           WHEN {_ID_NUMBER} % 4 = 2 THEN 'again ' || code ELSE code END AS input_sas_code
         FROM ({CHUNKS_SQL})""",
     "audit_csv_roundtrip": f"""

@@ -16,7 +16,7 @@ from scriptloom.plans.conversion import migrate_scripts as migrate
 from scriptloom.plans.conversion import run_conversion
 from scriptloom.session import fresh_path
 from scriptloom.sources import csv_tables
-from scriptloom.sources.scripts import read_scripts
+from scriptloom.sources.scripts import pasted_script, read_scripts
 from scriptloom.sources.tables import insert_values, read_table
 
 # Retail report
@@ -233,18 +233,14 @@ def open_stand_in():
 
 def render_prompt(spark, sf):
     """All request texts: of SAS chunks, and those of blocks and whole scripts without a number."""
-    rendered = cv.render_prompt(inputs.chunks(spark, sf)).select(
-        F.lit("SAS_CHUNK_REQUEST").alias("template"), "id", "request", "request_tokens"
+    templates = {name: getattr(cv, name) for name in TEMPLATES}
+    return cv.render_prompts(inputs.chunks(spark, sf), templates).select(
+        "template", "id", "request", "request_tokens"
     )
-    for name in TEMPLATES:
-        other = cv.render_prompt(inputs.chunks(spark, sf), getattr(cv, name))
-        rendered = rendered.unionByName(
-            other.select(F.lit(name).alias("template"), "id", "request", "request_tokens")
-        )
-    return rendered
 
 
 TEMPLATES = (
+    "SAS_CHUNK_REQUEST",
     "BLOCK_REQUEST",
     "BLOCK_REQUEST_CODE_ONLY",
     "BLOCK_REQUEST_MIGRATION",
@@ -265,6 +261,44 @@ def convert_blocks(spark, sf):
     return cv.convert(inputs.chunks(spark, sf), open_stand_in(), skip_types=["macro"])
 
 
+def open_counting():
+    def open_counter():
+        def count(texts):
+            if any("do while" in t for t in texts):
+                raise ValueError("no tokens for this")
+            return [len(t) for t in texts]
+
+        return count
+
+    return open_counter
+
+
+def convert_counted(spark, sf):
+    """Several calls at a time; tokens from a counter, words where it fails."""
+    return cv.convert(
+        inputs.chunks(spark, sf),
+        open_stand_in(),
+        skip_types=["macro"],
+        in_flight=4,
+        back_off=0.0001,
+        open_counter=open_counting(),
+    )
+
+
+def convert_resumed(spark, sf):
+    """A run over some chunks, then one over all that finds their replies in the store."""
+    store, chunks = fresh_path(spark, "replies"), inputs.chunks(spark, sf)
+    options = {"skip_types": ["macro"], "store": store, "model": "stand-in"}
+    cv.convert(chunks.filter("type = 'proc'"), open_stand_in(), **options)
+    return cv.convert(chunks, open_stand_in(), **options)
+
+
+def pasted_blocks(spark, sf):
+    """The blocks of one script that is given as a text."""
+    text = scripts(spark, sf).orderBy("script_id").first()["text"]
+    return blk.chunk_corpus(pasted_script(spark, text))
+
+
 def convert_scripts(spark, sf):
     whole = scripts(spark, sf).select(
         "script_id", F.lit("script").alias("type"), F.col("text").alias("code")
@@ -333,7 +367,9 @@ def audit_duplicates(spark, sf):
     number = F.substring_index("id", "_", -1).cast("bigint")
     chunks = inputs.chunks(spark, sf).filter(number % 3 != 0)
     again = chunks.filter(number % 2 == 0).withColumn("code", F.concat(F.lit("again "), F.col("code")))
-    sources = chunks.withColumn("seq", F.lit(2) - number % 4).unionByName(again.withColumn("seq", F.lit(1)))
+    # Every fifth pair has one seq: the larger text counts.
+    seq = F.when(number % 20 == 10, 1).otherwise(2 - number % 4)
+    sources = chunks.withColumn("seq", seq).unionByName(again.withColumn("seq", F.lit(1).cast("bigint")))
     return cv.conversion_audit(records, sources).select("id", "id_num", "input_sas_code")
 
 
@@ -478,6 +514,9 @@ QUERIES = {
         render_prompt,
         dry_run_convert,
         convert_blocks,
+        convert_counted,
+        convert_resumed,
+        pasted_blocks,
         convert_scripts,
         conversion_mapping,
         assemble_script,

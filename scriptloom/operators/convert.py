@@ -7,8 +7,10 @@ A chunk table has ``id`` (ending in ``_<number>``), ``type`` and ``code``. A rec
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,15 @@ def render_prompt(chunks: DataFrame, template: str = SAS_CHUNK_REQUEST) -> DataF
     return rendered.withColumn("request_tokens", word_count(F.col("request")))
 
 
+def render_prompts(chunks: DataFrame, templates: Mapping[str, str]) -> DataFrame:
+    """The chunks once per template, with its name, the request and its words; one scan."""
+    requests = [F.struct(F.lit(n).alias("template"), render(t).alias("request")) for n, t in templates.items()]
+    exploded = chunks.select("*", F.explode(F.array(*requests)).alias("_rendered")).select(
+        *chunks.columns, "_rendered.template", "_rendered.request"
+    )
+    return exploded.withColumn("request_tokens", word_count(F.col("request")))
+
+
 def convert(
     chunks: DataFrame,
     open_converter: Callable[..., Callable[[str], Converted]] | None = None,
@@ -112,18 +123,35 @@ def convert(
     dry_run: bool = False,
     skip_types: Iterable[str] = (),
     system: str | None = None,
+    in_flight: int = 1,
+    back_off: float = 0.0,
+    open_counter: Callable[[], Callable[[list[str]], Sequence[int]]] | None = None,
+    store: str | None = None,
+    model: str = "unknown",
+    commit_every: int = 1000,
 ) -> DataFrame:
     """One record per chunk: ``keys`` and :data:`RECORD_COLUMNS`.
 
     ``open_converter`` makes the converter, once per partition, and is given the ``system``
     text if there is one; the converter gets the request text. An exception or an empty text (unless ``allow_empty``) is tried again
-    ``retries`` times and then kept as a failed record. Chunks of a type in ``skip_types`` are not sent, and in a dry
-    run none is. Where the service reports no token counts, words are counted.
+    ``retries`` times, after ``back_off`` seconds that double with every try, and then kept as a
+    failed record. Chunks of a type in ``skip_types`` are not sent, and in a dry run none is.
 
-    A lost task repeats its calls. Write or checkpoint the result before sorting it (a sort
-    samples its input first) or reading it more than once, as
+    ``in_flight`` calls of a partition run at a time, each in a thread with a converter of its
+    own; records keep their order. Where the service reports no token counts, ``open_counter``
+    gives a counter of a list of texts, opened once per partition; what it fails on, or everything
+    without one, is counted in words.
+
+    Without a ``store`` a lost task repeats its calls. Write or checkpoint the result before
+    sorting it (a sort samples its input first) or reading it more than once, as
     :func:`scriptloom.plans.conversion.run_conversion` does. Keep speculation off, and set
-    the number of partitions to the concurrency the service allows.
+    the number of partitions times ``in_flight`` to the concurrency the service allows.
+
+    With a ``store``, a folder on shared storage, the calls are made right away and their replies
+    kept there, under the hash of request, system text and ``model``. Requests that it has a reply
+    for are not sent, equal ones are sent once, and every ``commit_every`` replies or so are
+    committed together: a run after a failed one makes only the calls whose replies were lost.
+    Failed calls are made again by the next run. Reading the result calls nobody.
     """
     skipped_types = [t.lower() for t in skip_types]
     skipped = F.lower("type").isin(skipped_types) if skipped_types else F.lit(False)
@@ -134,15 +162,14 @@ def convert(
     else:
         if open_converter is None:
             raise ValueError("no converter given")
-        request = F.when(~skipped, render(template)).alias("request")
-        sent = _call(
-            chunks.select(*keys, "type", request),
-            open_converter,
-            retries,
-            error_prefix,
-            allow_empty,
-            system,
-        )
+        requests = chunks.select(*keys, "type", F.when(~skipped, render(template)).alias("request"))
+
+        def call(rows: DataFrame) -> DataFrame:
+            return _call(
+                rows, open_converter, retries, error_prefix, allow_empty, system, in_flight, back_off, open_counter
+            )
+
+        sent = call(requests) if store is None else _stored_replies(requests, call, store, system, model, commit_every)
     not_sent = F.col("ok").isNull()
     record = sent.select(
         *keys,
@@ -177,6 +204,9 @@ def _call(
     error_prefix: str,
     allow_empty: bool,
     system: str | None,
+    in_flight: int,
+    back_off: float,
+    open_counter,
 ) -> DataFrame:
     """Send ``request`` of every row; the other columns are kept, NULL requests not sent."""
     kept = [f for f in requests.schema if f.name != "request"]
@@ -186,47 +216,130 @@ def _call(
         + [f"{c} {t}" for c, t in _REPLY_TYPES.items()]
     )
     empty_result = EMPTY_RESULT
+    if in_flight < 1:
+        raise ValueError("in_flight must be at least 1")
 
     # Self-contained, so that workers can run it without this package on their path.
     def run(batches):
+        import threading
+        import time
+        from concurrent.futures import ThreadPoolExecutor
+
         import pyarrow as pa
 
         reply_types = (pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32())
+        of_thread = threading.local()
 
-        def ask(converter, request):
+        def ask(request):
+            if not hasattr(of_thread, "converter"):
+                of_thread.converter = open_converter() if system is None else open_converter(system)
             for attempt in range(retries + 1):
+                if attempt and back_off:
+                    time.sleep(back_off * 2 ** (attempt - 1))
                 try:
-                    answer = converter(request)
+                    answer = of_thread.converter(request)
                     text, *counts = answer if isinstance(answer, tuple) else (answer,)
                     text = text.strip()
                     if not text and not allow_empty:
                         raise ValueError(empty_result)
-                    used_in, used_out = counts or (len(request.split()), len(text.split()))
-                    return True, text, "", used_in, used_out
+                    return True, text, "", *(counts or (None, None))
                 except Exception as error:  # noqa: BLE001 - kept in the record
                     failure = str(error)
             return False, f"{error_prefix}{failure}", failure, 0, 0
 
-        converter = None
-        for batch in batches:
-            replies = []
-            for request in batch.column("request").to_pylist():
-                if request is None:
-                    replies.append((None,) * len(reply_types))
-                    continue
-                if converter is None:
-                    converter = open_converter() if system is None else open_converter(system)
-                replies.append(ask(converter, request))
-            columns = zip(*replies) if replies else ((),) * len(reply_types)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names]
-                + [pa.array(c, t) for c, t in zip(columns, reply_types)],
-                names=names + ["ok", "code", "reason", "input_tokens", "output_tokens"],
-            )
+        counters = []
+
+        def count(texts):
+            """Tokens of every text, words of those that the counter fails on."""
+            try:
+                if open_counter is not None and not counters:
+                    counters.append(open_counter())
+            except Exception:  # noqa: BLE001 - words are counted instead
+                counters.append(None)
+            if not counters or counters[0] is None:
+                return [len(t.split()) for t in texts]
+            try:
+                counts = [int(n) for n in counters[0](texts)]
+                if len(counts) == len(texts):
+                    return counts
+            except Exception:  # noqa: BLE001
+                pass
+            if len(texts) == 1:
+                return [len(texts[0].split())]
+            half = len(texts) // 2
+            return count(texts[:half]) + count(texts[half:])
+
+        def replies_to(requests, pool):
+            sent = [r for r in requests if r is not None]
+            answers = iter(list(pool.map(ask, sent) if pool else map(ask, sent)))
+            replies = [(None,) * len(reply_types) if r is None else next(answers) for r in requests]
+            open_counts = [i for i, r in enumerate(replies) if r[0] and r[3] is None]
+            if open_counts:
+                counts = count([t for i in open_counts for t in (requests[i], replies[i][1])])
+                for k, i in enumerate(open_counts):
+                    replies[i] = (*replies[i][:3], counts[2 * k], counts[2 * k + 1])
+            return replies
+
+        pool = ThreadPoolExecutor(in_flight) if in_flight > 1 else None
+        try:
+            for batch in batches:
+                replies = replies_to(batch.column("request").to_pylist(), pool)
+                columns = zip(*replies) if replies else ((),) * len(reply_types)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(n) for n in names]
+                    + [pa.array(c, t) for c, t in zip(columns, reply_types)],
+                    names=names + ["ok", "code", "reason", "input_tokens", "output_tokens"],
+                )
+        finally:
+            if pool:
+                pool.shutdown(cancel_futures=True)
 
     return requests.mapInArrow(run, schema)
 
 
+_STORED = ", ".join(["request_key string", "run string", *(f"{c} {t}" for c, t in _REPLY_TYPES.items())])
+
+
+def _replies(spark, store: str) -> DataFrame:
+    try:
+        return spark.read.schema(_STORED).parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _STORED)
+
+
+def _stored_replies(
+    requests: DataFrame, call, store: str, system: str | None, model: str, commit_every: int
+) -> DataFrame:
+    """The requests with the replies of the store, after calling for those that it lacks."""
+    spark, run = requests.sparkSession, uuid.uuid4().hex
+    parts = [F.sha2("request", 256), *(F.sha2(F.lit(t), 256) for t in (system or "", model))]
+    keyed = requests.withColumn("request_key", F.when(F.col("request").isNotNull(), F.sha2(F.concat(*parts), 256)))
+    known = _replies(spark, store).filter("ok").select("request_key")
+    asked = keyed.filter("request_key IS NOT NULL").groupBy("request_key").agg(F.min("request").alias("request"))
+    missing = asked.join(known, "request_key", "left_anti")
+    number = missing.select("request_key").count()
+    if number:
+        # The file committer that moves a task's files when the task ends, not when the job does.
+        # Dealt by a hash of the key: by the key itself, the join's own partitions would be kept.
+        commits = -(-number // commit_every)
+        (
+            call(missing.repartition(commits, F.xxhash64("request_key")))
+            .withColumn("run", F.lit(run))
+            .write.mode("append")
+            .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+            .parquet(store)
+        )
+    # A task that was lost after its commit has left its replies twice.
+    reply = F.struct("ok", *[c for c in _REPLY_TYPES if c != "ok"])
+    replies = _replies(spark, store).filter(F.col("ok") | (F.col("run") == run))
+    replies = replies.groupBy("request_key").agg(F.max(reply).alias("reply"))
+    return keyed.join(replies, "request_key", "left").select(
+        *[c for c in requests.columns if c != "request"], "reply.*"
+    )
+
+
 def _id_number(id_column: str = "id") -> Column:
     """The number after the last ``_``; an id without one raises."""
     return F.substring_index(id_column, "_", -1).cast("bigint")
@@ -237,19 +350,29 @@ def with_source(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("input_sas_code", F.col("code"))
 
 
-def conversion_audit(records: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+def has_repeated_ids(records: DataFrame) -> bool:
+    return not records.groupBy("id").count().filter("count > 1").isEmpty()
+
+
+def conversion_audit(
+    records: DataFrame, chunks: DataFrame | None = None, unique_ids: bool = False
+) -> DataFrame:
     """Every record with its source text, ordered by the number in its id.
 
-    Records that carry ``input_sas_code`` need no ``chunks``: their texts move once, for the
-    sort. Of several sources with one id the last by ``seq`` counts for all of them; repeated
-    ids without a ``seq`` column raise. A record without a chunk gets ``''``.
+    Records that carry ``input_sas_code`` need no ``chunks``. Of several sources with one id the
+    last by ``seq`` counts for all of them, of those with one ``seq`` the larger text; repeated
+    ids without a ``seq`` column raise. A record without a chunk gets ``''``. Where ids are known
+    to be unique, ``unique_ids`` saves the search for repeated ones, and texts move once, for the
+    sort.
     """
     source = "input_sas_code"
     if chunks is not None:
         if "seq" not in chunks.columns:
             raise ValueError("the chunk table needs a column seq: the last source of an id counts")
-        last = chunks.groupBy("id").agg(F.max_by("code", "seq").alias(source))
+        last = chunks.groupBy("id").agg(F.max(F.struct("seq", "code"))["code"].alias(source))
         sourced = records.drop(source).join(last, "id", "left")
+    elif unique_ids:
+        sourced = records
     else:
         # Only ids that occur more than once are joined, as a rule none.
         ordered = "seq" in records.columns

@@ -32,18 +32,19 @@ def run_conversion(
     """Convert every chunk once and report on the run.
 
     The records carry their source (and ``seq`` if the chunks have it) and are checkpointed:
-    four outputs read them, and without that each would call the converter again.
+    four outputs read them, and without that each would call the converter again. With the
+    option ``store``, a run that failed goes on where its replies were last committed.
     """
     keys = [*options.pop("keys", ("id",))]
     keys += [c for c in ("seq",) if c in chunks.columns and c not in keys]
     carried = cv.convert(
-        cv.with_source(chunks), open_converter, keys=[*keys, "input_sas_code"], **options
+        cv.with_source(chunks), open_converter, keys=[*keys, "input_sas_code"], model=model, **options
     )
     records = materialize(carried)
     plain = records.drop("input_sas_code")
     return ConversionRun(
         records=plain,
-        audit=cv.conversion_audit(records),
+        audit=cv.conversion_audit(records, unique_ids=not cv.has_repeated_ids(plain)),
         successes=cv.conversion_successes(plain),
         failures=cv.conversion_failures(plain),
         meta=cv.conversion_meta(plain, model),

@@ -15,16 +15,22 @@ def _as_scripts(files: DataFrame, strict: bool) -> DataFrame:
 
 
 def hidden_scripts(spark: SparkSession, path: str) -> list[str]:
-    """Script files below ``path`` that Spark's readers skip: names that start with _ or a dot."""
+    """Script files below ``path`` that Spark's readers skip: names that start with _ or a dot.
+
+    One glob per level of folders, so that only hidden names reach Python.
+    """
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
-    found = []
-    while files.hasNext():
-        name = files.next().getPath()
-        if name.getName()[0] in "_." and name.getName().lower().endswith((".sql", ".txt")):
-            found.append(name.toString())
-    return found
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, level = [], path.rstrip("/")
+    while True:
+        hidden = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/[_.]*")) or []
+        names = [(s.getPath().toString(), s.isFile()) for s in hidden]
+        found += [n for n, is_file in names if is_file and n.lower().endswith((".sql", ".txt"))]
+        level += "/*"
+        below = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/*"))
+        if not below or not len(below):
+            return found
 
 
 def read_scripts(
