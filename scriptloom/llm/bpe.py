@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 DENSE_SYMBOLS = 64  # longer words are encoded one by one, to keep the dense tables small
 DENSE_WORDS = 20_000  # words encoded together
-CACHED_WORDS = 350_000  # words a worker remembers; a memory bound, no effect on results
+CACHED_WORDS = 350_000  # stretches a worker remembers; a memory bound, no effect on results
+CACHED_CHARS = 64  # longest of them
 
 
 @dataclass
@@ -45,6 +46,8 @@ class Automaton:
     row_of: np.ndarray  # int32 [node]: its row in ``trie``, row 0 has no way on
     label_at: np.ndarray  # int32 [2, node]: label spelled, inside and at the end of a word; -1 if none
     special: dict[str, int] = field(default_factory=dict)
+    letters: str = ""  # ranges of code points, for the pre-tokenizer's pattern
+    numbers: str = ""
 
     def __getstate__(self) -> dict:
         """Tables are sent compressed: the two large ones shrink to a tenth and less."""
@@ -170,7 +173,7 @@ def compile_automaton(path: str) -> Automaton:
         trie[row_of[p], b] = n
     for end, n, i in named:
         label_at[end, n] = i
-    return Automaton(labels, arcs, class_of, target, start, trie, row_of, label_at, special)
+    return Automaton(labels, arcs, class_of, target, start, trie, row_of, label_at, special, *_classes())
 
 
 def _dense(auto: Automaton, symbols: np.ndarray, lengths: np.ndarray):
@@ -216,6 +219,30 @@ def _dense(auto: Automaton, symbols: np.ndarray, lengths: np.ndarray):
     return flat, counts
 
 
+def _walk(auto: Automaton, word: bytes) -> bytes:
+    """Encode one long word, a table look-up at a time: every prefix is accepted by one path."""
+    n, width, states = len(word), auto.trie.shape[1], auto.arcs.shape[1]
+    trie, rows, target = (memoryview(x.reshape(-1)) for x in (auto.trie, auto.row_of, auto.target))
+    arcs, classes = memoryview(auto.arcs.reshape(-1)), memoryview(auto.class_of)
+    inside, at_end = memoryview(auto.label_at[0]), memoryview(auto.label_at[1])
+    last, prev = [0] * (n + 1), [0] * (n + 1)
+    for begin in range(n):
+        state = target[last[begin]] if begin else auto.start
+        node = 1
+        for end in range(begin, n):
+            node = trie[rows[node] * width + word[end]]
+            if not node:
+                break
+            label = (inside if end + 1 < n else at_end)[node]
+            if label >= 0 and arcs[classes[label] * states + (state >> 3)] >> (state & 7) & 1:
+                last[end + 1], prev[end + 1] = label, begin
+    ids, at = [], n
+    while at:
+        ids.append(last[at])
+        at = prev[at]
+    return np.array(ids[::-1], "<u4").tobytes()
+
+
 def encode_words(auto: Automaton, words: list[str]) -> list[bytes]:
     """Token ids of every word as little-endian 32-bit numbers; empty words give none."""
     raw = [w.encode() for w in words]
@@ -226,7 +253,11 @@ def encode_words(auto: Automaton, words: list[str]) -> list[bytes]:
     begin = 0
     while begin < len(order):
         most = int(sizes[order[begin]])
-        block = order[begin : begin + (1 if most > DENSE_SYMBOLS else DENSE_WORDS)]
+        if most > DENSE_SYMBOLS:
+            out[order[begin]] = _walk(auto, raw[order[begin]])
+            begin += 1
+            continue
+        block = order[begin : begin + DENSE_WORDS]
         begin += len(block)
         lengths = sizes[block]
         symbols = np.zeros((len(block), most), np.uint8)
@@ -240,16 +271,17 @@ def encode_words(auto: Automaton, words: list[str]) -> list[bytes]:
     return out
 
 
-def _class(first: str) -> str:
-    """Ranges of all code points whose general category starts with ``first``."""
-    ranges: list[list[int]] = []
-    for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c))[0] == first:
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
+def _classes() -> tuple[str, str]:
+    """Ranges of all code points whose general category starts with L and with N."""
+    ranges: dict[str, list[list[int]]] = {"L": [], "N": []}
+    for c, category in enumerate(map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))):
+        if (own := ranges.get(category[0])) is not None:
+            if own and own[-1][1] == c - 1:
+                own[-1][1] = c
             else:
-                ranges.append([c, c])
-    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges)
+                own.append([c, c])
+    letters, numbers = ("".join(rf"\U{a:08x}-\U{b:08x}" for a, b in own) for own in ranges.values())
+    return letters, numbers
 
 
 # Fixed value: the contractions that the pre-tokenizer keeps whole.
@@ -260,28 +292,36 @@ SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
+class _Special(str):
+    """A special token's string, found as such; equal text elsewhere is ordinary."""
+
+    __slots__ = ()
+
+
 class Encoder:
     """Texts to token records by a compiled automaton.
 
     ``record`` turns ids (little-endian bytes) into what the caller keeps for them. Pre-split words
     never cross white space, so a bounded cache holds the record of every stretch between white
-    space seen before; only new stretches go through the pattern and the automaton.
+    space seen before; only new stretches go through the pattern and the automaton. Stretches of
+    more than ``CACHED_CHARS`` are not kept.
     """
 
     def __init__(self, auto: Automaton, record):
         self.auto, self.record = auto, record
-        letters, numbers = _class("L"), _class("N")
+        letters, numbers = auto.letters, auto.numbers
         self.pattern = re.compile(f"[{letters}]+|[{numbers}]|{CONTRACTIONS}|[^{SPACES}{letters}{numbers}]+")
         self.space = re.compile(f"[{SPACES}]+")
         self.special = re.compile("(" + "|".join(map(re.escape, auto.special)) + ")") if auto.special else None
         self.cache: dict[str, object] = {}
+        self.of_special = {s: record(i.to_bytes(4, "little")) for s, i in auto.special.items()}
 
     def split(self, text: str) -> list[str]:
         """Stretches without white space; strings of special tokens stay whole."""
         if self.special is not None and "<|" in text:
             parts = self.special.split(text)
             if len(parts) > 1:
-                return [w for i, x in enumerate(parts) for w in ([x] if i % 2 else self.split(x))]
+                return [w for i, x in enumerate(parts) for w in ([_Special(x)] if i % 2 else self.split(x))]
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
@@ -289,28 +329,36 @@ class Encoder:
             return [s for s in self.space.split(text) if s]
         return text.split()
 
-    def _new(self, stretches: list[str]) -> None:
-        special = self.auto.special
-        words = [[] if s in special else self.pattern.findall(s) for s in stretches]
+    def _new(self, stretches: list[str]) -> dict[str, object]:
+        """Records of the stretches; short ones are kept."""
+        words = [self.pattern.findall(s) for s in stretches]
         new = list(set(chain.from_iterable(words)))
         ids = dict(zip(new, encode_words(self.auto, new), strict=True))
+        long = {}
         for s, parts in zip(stretches, words, strict=True):
-            found = special[s].to_bytes(4, "little") if s in special else b"".join([ids[w] for w in parts])
-            self.cache[s] = self.record(found)
+            found = self.record(b"".join([ids[w] for w in parts]))
+            (self.cache if len(s) <= CACHED_CHARS else long)[s] = found
+        return long
 
     def records(self, texts: list[str]) -> Iterator[list]:
         """For every text, the records of its stretches in order."""
         begin = 0
         while begin < len(texts):
-            split, chars = [], 0
+            split, chars, special = [], 0, False
             while begin < len(texts) and (chars < 1 << 21 or not split):
                 split.append(self.split(texts[begin]))
                 chars += len(texts[begin])
+                special = special or "<|" in texts[begin]
                 begin += 1
             if len(self.cache) > CACHED_WORDS:
                 self.cache = {}
-            self._new(list(set(chain.from_iterable(split)).difference(self.cache)))
+            every = chain.from_iterable(split)
+            if special:
+                every = (s for s in every if type(s) is not _Special)
+            long = self._new(list(set(every).difference(self.cache)))
             get = self.cache.__getitem__
+            if special or long:
+                get = lambda s: self.of_special[s] if type(s) is _Special else long[s] if s in long else self.cache[s]
             for stretches in split:
                 yield list(map(get, stretches))
 
