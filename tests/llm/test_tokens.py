@@ -1,6 +1,7 @@
 """Automaton BPE, packing and edit-aware counts against the tokenizers library."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptloom.llm import bpe, edits, packing
+from scriptloom.llm import bpe, edits, packing, queries
 
 
 def encoded(tokenizer, texts):
@@ -128,5 +129,34 @@ def test_edits_equal_counting_anew(docs, hard, none, path, tokenizer):
             assert r["edited"] in texts
             assert r["n_tokens"] in [len(x) for x in encoded(tokenizer, old[r["id"]])]
     long = edits.apply_edits(edits.build_trees(hard.filter("doc_id = 7"), path).withColumn("edits", made), path).first()
-    assert long["n_chars_encoded"] < 6 * 4 * edits.LEAF_CHARS  # not the 50,000 code points of the text
+    assert long["n_chars_encoded"] < 120  # not the 50,000 code points of the text
     assert edits.apply_edits(edits.build_trees(none, path).withColumn("edits", made), path).count() == 0
+
+
+def test_edits_encode_little_again(spark):
+    counted = queries.op9_token_counts(spark, "/root/testdata/sf0.01").agg(
+        F.sum("n_chars_encoded").alias("encoded"), F.sum("n_chars_edited").alias("edited")
+    ).first()
+    assert counted["encoded"] < 0.05 * counted["edited"]
+
+
+def test_special_tokens_by_their_exact_string(path, tokenizer):
+    auto = bpe.compile_automaton(path)
+    texts = [
+        "<|ENDOFTEXT|>", "<|EndOfText|> x <|endoftext|>", "a<|startoftext|>b<|STARTOFTEXT|>",
+        "<|endoftext|><|ENDOFTEXT|> <|endoftext|>", "y" * 70 + " <|endoftext|> " + "y" * 70, "<|endoftext|", "<|endoftext|>",
+    ]
+    texts += ["".join(c.upper() if k >> i & 1 else c for i, c in enumerate("<|endoftext|>")) for k in range(1 << 13)][::97]
+    got = bpe.Encoder(auto, lambda ids: np.frombuffer(ids, "<u4").tolist()).records(texts)
+    assert [[i for r in records for i in r] for records in got] == encoded(tokenizer, texts)
+
+
+def test_long_texts_without_white_space(path, tokenizer):
+    r = random.Random(4)
+    auto = bpe.compile_automaton(path)
+    texts = ["x" * 5000, "".join(r.choice("abcdefghij") for _ in range(100_000)), "é漢" * 3000, "a1" * 3000]
+    texts.append("".join(r.choice("theandof") for _ in range(1_000_000)))
+    begin = time.time()
+    got = [[i for x in records for i in x] for records in bpe.Encoder(auto, lambda ids: np.frombuffer(ids, "<u4").tolist()).records(texts)]
+    assert time.time() - begin < 60
+    assert got == encoded(tokenizer, texts)
