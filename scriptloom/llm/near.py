@@ -8,10 +8,12 @@ Both sets therefore hold a common segment among their first D + 1 in any order t
 segments alone. The order is by how many sets have a segment: a set whose own segments, which
 nobody shares, are more than D needs no join, and what many share (a common passage) comes last.
 
-Candidates of a segment are compared with the group's leader first: what is within the threshold
-of the leader needs no comparison among itself, and as Jaccard distance is a metric, what is far
-from the leader cannot be near those around it. After a few rounds, whatever is left and not yet
-in one component is compared in full.
+Segments that the same sets share say the same, so one of them stays. Candidates meet the leader
+of their segment first: what is within the threshold of a leader needs no comparison among
+itself, and as Jaccard distance is a metric, what is far from the leader cannot be near those
+close around it. Rounds go on as long as they leave much less to compare; what is left then, sets
+of different components, is compared pair by pair, once each, at the first segment a pair
+shares, behind the bounds that sizes and parity bits give.
 Nothing is capped; candidates are verified on the whole sets.
 """
 
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.llm.components import connected_components
-from scriptloom.llm.store import id_text, mix, named, stored, strings, text_groups, word_hashes
+from scriptloom.llm.store import id_text, mix, named, stored, strings, text_groups, unused, word_hashes
 
 WORDS = 5
 SEEN = 200_000  # sets a task remembers as sent, to send copies once; a memory bound only
-STAR_ROUNDS = 3
+# Another round of leaders is worth its cost if the last one left at most this share of the rows.
+WORTH = 0.5
 _INFO = "<?qqqq4q"
 
 
@@ -160,9 +163,12 @@ def _sent(keys, owners, sides, extra_at, extra) -> pa.RecordBatch:
 
 
 def _shared(batches):
-    """From rows sorted by key and set: those whose key two or more sets have, and all information."""
-    held = np.zeros((3, 0), np.int64)  # the last row, whose successor is not known yet
-    linked = False  # whether the row before it has its key
+    """From rows sorted by key: those whose key two or more sets have, and all information.
+
+    Rows of one key may come in several batches: as long as all are of one set, the last stands for
+    them. A set may be given more than once for a key that goes over the end of a batch.
+    """
+    held, linked = None, False  # the last row, and whether its key is known to be shared
     fields = ["key", "own", "side", "known", "id", "n", "quota0", "quota1", "b0", "b1", "b2", "b3"]
 
     def out(keys, own, side, info) -> pa.RecordBatch:
@@ -181,28 +187,24 @@ def _shared(batches):
         )
 
     for batch in batches:
-        key, own, side = (batch.column(c).to_numpy() for c in ("key", "own", "side"))
         extra = batch.column("extra")
         is_info = extra.is_valid().to_numpy(zero_copy_only=False)
-        info = own[is_info].tolist(), extra.filter(pa.array(is_info)).to_pylist()
-        rows = np.concatenate([held, np.stack([key[~is_info], own[~is_info], side[~is_info]])], 1)
+        rows = np.stack([batch.column(c).to_numpy()[~is_info].astype(np.int64) for c in ("key", "own", "side")])
+        info = batch.column("own").to_numpy()[is_info].tolist(), extra.filter(pa.array(is_info)).to_pylist()
         if rows.shape[1]:
-            new = np.append(True, (np.diff(rows[:2], axis=1) != 0).any(0))
-            rows = rows[:, new]
-            same = rows[0, 1:] == rows[0, :-1]
-            before = np.append(linked, same)
-            after = np.append(same, False)
-            ready = (before | after)[:-1]
-            if len(same) and same[-1]:
-                linked = True
-            elif len(same):
-                linked = False
-            held = rows[:, -1:]
-            yield out(*rows[:, :-1][:, ready], info)
+            begins = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+            least, most = np.minimum.reduceat(rows[1], begins), np.maximum.reduceat(rows[1], begins)
+            shared = least != most
+            before = rows[:, :0]
+            if held is not None and held[0, 0] == rows[0, 0]:
+                shared[0] |= linked or held[1, 0] != least[0]
+                if shared[0] and not linked:
+                    before = held
+            held, linked = rows[:, -1:], bool(shared[-1])
+            kept = np.concatenate([before, rows[:, np.repeat(shared, np.diff(np.append(begins, rows.shape[1])))]], 1)
+            yield out(*np.unique(kept, axis=1), info) if kept.shape[1] else out(*kept, info)
         else:
             yield out(*rows, info)
-    if held.shape[1] and linked:
-        yield out(*held, ([], []))
 
 
 def _sets(batches):
@@ -235,7 +237,20 @@ def _prefixes(shared: DataFrame, classes: DataFrame) -> DataFrame:
     )
     quota = F.when(F.col("side") == 0, F.col("quota0")).otherwise(F.col("quota1"))
     kept = ranked.join(classes.select("own", "quota0", "quota1"), "own").filter(F.col("rank") <= quota + F.col("many"))
-    return stored(kept.select("key", "own"), "near-prefixes")
+    return stored(kept.select("key", "own").distinct(), "near-prefixes")
+
+
+def _one_key_each(shared: DataFrame) -> DataFrame:
+    """Of the keys that the same sets have, the smallest; keys of a single set go.
+
+    Sets of sets are told apart by their size and two 64-bit sums of hashes.
+    """
+    held = shared.groupBy("key").agg(
+        F.count("*").alias("sets"),
+        *[F.bit_xor(F.xxhash64("own", F.lit(i))).alias(f"sum{i}") for i in range(2)],
+    )
+    kept = held.filter("sets > 1").groupBy("sets", "sum0", "sum1").agg(F.min("key").alias("key"))
+    return stored(shared.join(kept.select("key"), "key", "left_semi"), "near-keys")
 
 
 def _bucketed(sets: DataFrame) -> DataFrame:
@@ -286,63 +301,18 @@ def near_duplicates(
     sent = source.mapInArrow(_sketch(percent), "key bigint, own bigint, side tinyint, extra binary")
     longs = "id bigint, n bigint, quota0 bigint, quota1 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
     table = f"key bigint, own bigint, side bigint, known boolean, {longs}"
-    met = stored(sent.repartition("key").sortWithinPartitions("key", "own").mapInArrow(_shared, table), "near-shared")
+    met = stored(sent.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, table), "near-shared")
     info = met.filter("key IS NULL").withColumn("id", F.when(F.col("known"), F.col("id")))
     classes = info.filter("n > 0").groupBy("own").agg(
         F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in (*_TRAITS, "quota0", "quota1")]
     )
-    shared = _prefixes(met.filter("key IS NOT NULL").select("key", "own", "side"), classes)
-    wanted = shared.select("own").distinct().join(classes, "own").select("own", F.col("first_id").alias("id"))
-    texts = source.join(wanted.withColumnRenamed("id", "first_id"), F.col("id").eqNullSafe(F.col("first_id")))
+    classes = stored(classes, "near-sets")
+    active = _one_key_each(_prefixes(met.filter("key IS NOT NULL").select("key", "own", "side"), classes))
+    wanted = active.select("own").distinct().join(classes, "own").select("own", F.col("first_id").alias("id"), *_TRAITS)
+    wanted = stored(wanted, "near-wanted")
+    texts = source.join(wanted.select("own", F.col("id").alias("first_id")), F.col("id").eqNullSafe(F.col("first_id")))
     sets = _bucketed(texts.select("own", "text").mapInArrow(_sets, "own bigint, shingles array<bigint>"))
-    traits = classes.select("own", *_TRAITS)
-
-    def with_traits(df: DataFrame, name: str) -> DataFrame:
-        return df.join(traits.select(F.col("own").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in _TRAITS]), name)
-
-    limit = 1 - percent / 100
-    least = _least_apart("_a", "_b")
-    # around: a leader that is linked with the set, or NULL.
-    active = shared.withColumn("around", F.lit(None).cast("bigint"))
-    links = []
-    for _ in range(STAR_ROUNDS):
-        # The leader is one that is not around another yet (NULL comes first), to settle new pairs.
-        led = active.groupBy("key").agg(
-            F.min(F.struct("around", "own"))["own"].alias("leader"), F.count("*").alias("members")
-        )
-        met_leader = active.join(led.filter("members > 1"), "key").filter("own != leader")
-        met_leader = met_leader.select("key", F.col("own").alias("a"), F.col("leader").alias("b"), "around")
-        pairs = with_traits(with_traits(met_leader.select("a", "b").distinct(), "a"), "b").select("a", "b", least.alias("least"))
-        pairs = stored(pairs, "near-pairs")
-        found = stored(_verified(pairs.filter(F.col("least") <= limit + 1e-9).select("a", "b"), sets), "near-star")
-        links.append(found.filter(_near(percent)).select("a", "b"))
-        # Pairs whose sizes and parity bits keep them apart have a lower bound of their distance,
-        # which is on the safe side wherever it is used below.
-        apart = F.coalesce(1 - F.col("both") / F.col("either"), F.col("least"))
-        near = F.coalesce(_near(percent), F.lit(False))
-        judged = met_leader.join(
-            pairs.join(found, ["a", "b"], "left").select("a", "b", apart.alias("apart"), near.alias("near")), ["a", "b"]
-        )
-        border = judged.filter(~F.col("near")).groupBy("key").agg(F.min("apart").alias("border"))
-        left = judged.join(border, "key").filter(
-            ~F.col("near") | (F.col("apart") >= F.col("border") - limit - 1e-9)
-        )
-        around = F.coalesce("around", F.when(F.col("near"), F.col("b")))
-        active = stored(left.select("key", F.col("a").alias("own"), around.alias("around")), "near-active")
-    # What is linked by now needs no more comparison among itself, whoever led it.
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    linked = connected_components(edges)
-    placed = active.join(linked, active["own"] == linked["node"], "left").select(
-        "key", "own", F.coalesce("component", "own").alias("part")
-    )
-    one = with_traits(placed.select("key", F.col("own").alias("a"), F.col("part").alias("part_a")), "a")
-    two = with_traits(placed.select("key", F.col("own").alias("b"), F.col("part").alias("part_b")), "b")
-    apart = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (least <= limit + 1e-9)
-    rest = one.join(two, (one["key"] == two["key"]) & apart).select("a", "b").distinct()
-    rest = _verified(rest, sets).filter(_near(percent)).select("a", "b")
-    groups = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    groups = _linked(active, wanted.select("own", *_TRAITS), sets, percent)
     grouped = classes.join(groups, classes["own"] == groups["node"], "left").select(
         "own", "first_id", F.coalesce("component", "own").alias("component")
     )
@@ -354,16 +324,93 @@ def near_duplicates(
     return rows.unionByName(alone)
 
 
+def _linked(active: DataFrame, traits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, component for every set that is linked with another.
+
+    ``active`` has the keys (key, own) that sets are compared at: whatever it lacks of a set has been
+    compared there, or cannot be near, or lies in the set's component.
+    """
+    limit = 1 - percent / 100
+    least = _least_apart("_a", "_b")
+
+    def with_traits(df: DataFrame, name: str) -> DataFrame:
+        return df.join(traits.select(F.col("own").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in _TRAITS]), name)
+
+    linked, before = None, None
+    active = active.withColumn("part", F.col("own"))
+    while True:
+        rows = active.count()
+        if before is not None and (not rows or rows > WORTH * before):
+            break
+        before = rows
+        active, edges = _led(active, with_traits, sets, least, limit, percent)
+        if linked is not None:
+            edges = edges.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        linked = stored(connected_components(edges), "near-groups")
+        known = active.select("own").distinct().join(linked.withColumnRenamed("node", "own"), "own", "left")
+        active = active.select("key", "own").join(
+            known.select("own", F.coalesce("component", "own").alias("part")), "own"
+        )
+        # What is in one component needs no more comparison among itself.
+        several = active.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most")
+        active = stored(active.join(several.select("key"), "key", "left_semi"), "near-left")
+    # The rest, each pair at the first of the keys that both are left with.
+    keys = active.groupBy("own").agg(F.collect_list("key").alias("keys"))
+    placed = active.join(keys, "own")
+    one = with_traits(placed.select("key", F.col("own").alias("a"), F.col("part").alias("part_a"), F.col("keys").alias("keys_a")), "a")
+    two = with_traits(placed.select("key", F.col("own").alias("b"), F.col("part").alias("part_b"), F.col("keys").alias("keys_b")), "b")
+    apart = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (least <= limit + 1e-9)
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == one["key"]
+    rest = one.join(two, (one["key"] == two["key"]) & apart & first).select("a", "b")
+    edges = _verified(rest, sets).filter(_near(percent)).select("a", "b")
+    edges = edges.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return stored(connected_components(edges), "near-groups")
+
+
+def _led(active: DataFrame, with_traits, sets: DataFrame, least, limit: float, percent: int):
+    """A round: every set meets the leader of each of its keys. What stays active, and the links found.
+
+    A leader is a set of a component of its own if there is one. It has met everyone, so it leaves
+    its key. So does a set that is near the leader, if even the nearest of those that are not is
+    too far from the leader to be near the set.
+    """
+    led = active.groupBy("key").agg(F.min(F.struct(F.col("part") != F.col("own"), "own", "part")).alias("led"))
+    led = led.select("key", F.col("led.own").alias("leader"), F.col("led.part").alias("leader_part"))
+    led = stored(led, "near-leaders")
+    met = active.join(led, "key").filter("part != leader_part")
+    a, b = F.least("own", "leader").alias("a"), F.greatest("own", "leader").alias("b")
+    met = stored(met.select("key", "own", "leader", a, b), "near-met")
+    pairs = with_traits(with_traits(met.select("a", "b").distinct(), "a"), "b").select("a", "b", least.alias("least"))
+    pairs = stored(pairs, "near-pairs")
+    found = stored(_verified(pairs.filter(F.col("least") <= limit + 1e-9).select("a", "b"), sets), "near-star")
+    # Pairs whose sizes and parity bits keep them apart have a lower bound of their distance,
+    # which is on the safe side wherever it is used below.
+    distance = F.coalesce(1 - F.col("both") / F.col("either"), F.col("least"))
+    near = F.coalesce(_near(percent), F.lit(False))
+    judged = met.join(
+        pairs.join(found, ["a", "b"], "left").select("a", "b", distance.alias("apart"), near.alias("near")), ["a", "b"]
+    )
+    border = judged.filter(~F.col("near")).groupBy("key", "leader").agg(F.min("apart").alias("border"))
+    inside = judged.filter("near").join(border, ["key", "leader"], "left").filter(
+        F.col("border").isNull() | (F.col("apart") < F.col("border") - limit - 1e-9)
+    )
+    gone = inside.select("key", "own").unionByName(led.select("key", F.col("leader").alias("own")))
+    stays = active.join(gone, ["key", "own"], "left_anti")
+    return stored(stays, "near-stay"), found.filter(_near(percent)).select("a", "b")
+
+
 def one_of_each(documents: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows whose id is the smallest of their component, all columns kept.
 
     Rows that repeat an id with the same text are reduced to one; rows of one id with different
-    texts stay together. Rows with a NULL id cannot be told apart by it: they all stay.
+    texts stay together. Rows with a NULL id cannot be told apart by it: they all stay. Columns
+    may have any names; an empty table gives an empty one.
     """
+    kept_id, copy = unused(documents, "kept_id"), unused(documents, "copy")
     found = near_duplicates(documents, percent, id_column, text_column)
-    kept = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept")).distinct()
+    kept = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(kept_id)).distinct()
     key = named(id_column).cast("bigint")
-    rows = documents.join(kept, key == F.col("_kept"), "left_semi")
+    rows = documents.join(kept, key == F.col(kept_id), "left_semi")
     same = Window.partitionBy(key, F.xxhash64(named(text_column))).orderBy(F.lit(0))
-    first = rows.withColumn("_copy", F.row_number().over(same)).filter("_copy = 1").drop("_copy")
+    first = rows.withColumn(copy, F.row_number().over(same)).filter(F.col(copy) == 1).drop(copy)
     return first.unionByName(documents.filter(key.isNull()))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.llm.bpe import Encoder, broadcast_automaton
-from scriptloom.llm.store import id_text, stored, strings
+from scriptloom.llm.store import id_text, named, stored, strings
 
 # Pieces that one window partition ranks, about. Salts split a length that many pieces share.
 RANKED_TOGETHER = 50_000
@@ -128,7 +128,8 @@ def pack(pieces: DataFrame, size: int = 2048, key_columns: tuple[str, ...] = ("i
     """Add ``sequence_id`` and ``offset`` to a stored table of pieces with a ``length`` (1 to ``size``).
 
     ``key_columns`` name a piece; equal rows are interchangeable and each gets a slot of its own.
-    An empty table gives an empty one. Lengths outside the range raise an error.
+    An empty table gives an empty one. Lengths outside the range raise an error. Columns may have
+    any names; those called like the two that are added are replaced.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -137,35 +138,27 @@ def pack(pieces: DataFrame, size: int = 2048, key_columns: tuple[str, ...] = ("i
     # At most a few rows for each length: bounded by ``size``, not by the corpus.
     plan = spark.createDataFrame(plan_best_fit(counts, size), PLAN_SCHEMA)
     salts = -(-sum(counts.values()) // RANKED_TOGETHER) + 15
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key_columns), F.lit(salts)))
-    local = Window.partitionBy("length", "_salt").orderBy(*key_columns)
-    offsets = (
-        salted.groupBy("length", "_salt")
-        .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_before",
-            F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"),
-        )
-        .select("length", "_salt", "_before")
+    carried = [named(c) for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    keys = F.struct(*[named(c) for c in key_columns])
+    salted = pieces.select(
+        F.struct(*carried).alias("piece"),
+        named("length").alias("length"),
+        keys.alias("keys"),
+        F.pmod(F.xxhash64(keys), F.lit(salts)).alias("salt"),
     )
-    ranked = salted.withColumn("_local", F.row_number().over(local) - 1).join(offsets, ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_local"))
-    slots = F.broadcast(plan).alias("plan")
-    at = F.col("_rank") - F.col("plan.first_rank")
-    return (
-        ranked.alias("piece")
-        .join(
-            slots,
-            (F.col("piece.length") == F.col("plan.length"))
-            & (F.col("_rank") >= F.col("plan.first_rank"))
-            & (F.col("_rank") < F.col("plan.end_rank")),
-        )
-        .select(
-            "piece.*",
-            (F.col("first_sequence") + F.floor(at / F.col("per_sequence"))).alias("sequence_id"),
-            (F.col("first_offset") + at % F.col("per_sequence") * F.col("piece.length")).alias("offset"),
-        )
-        .drop("_salt", "_local", "_before", "_rank")
+    local = Window.partitionBy("length", "salt").orderBy("keys")
+    offsets = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
+    offsets = offsets.select("length", "salt", before.alias("before"))
+    ranked = salted.withColumn("local", F.row_number().over(local) - 1).join(offsets, ["length", "salt"])
+    ranked = ranked.select("piece", "length", (F.col("before") + F.col("local")).alias("rank"))
+    slots = F.broadcast(plan.withColumnRenamed("length", "of_length"))
+    at = F.col("rank") - F.col("first_rank")
+    met = (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
+    return ranked.join(slots, met).select(
+        "piece.*",
+        (F.col("first_sequence") + F.floor(at / F.col("per_sequence"))).alias("sequence_id"),
+        (F.col("first_offset") + at % F.col("per_sequence") * F.col("length")).alias("offset"),
     )
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.store import id_text, mix, named, powers, stored, strings
+from scriptloom.llm.store import id_text, mix, named, powers, stored, strings, unused
 
 LENGTH = 200
 GRAM = 40
@@ -479,13 +479,17 @@ def without_repeats(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars"
 ) -> DataFrame:
     """The same rows and columns without their repeated strings; ``length_column``, if it is there,
-    follows the text. Bytes of a code point that lost others go too; NULL texts stay NULL."""
-    with_id = documents.withColumn("_own", F.xxhash64(F.coalesce(named(text_column), F.lit(""))))
+    follows the text. Bytes of a code point that lost others go too; NULL texts stay NULL. Rows of
+    repeated ids are each cut by their own text, other columns may have any names, and an empty
+    table gives an empty one."""
+    own, gone_own, kept_text = (unused(documents, n) for n in ("own_hash", "gone_hash", "kept_text"))
+    with_id = documents.withColumn(own, F.xxhash64(F.coalesce(named(text_column), F.lit(""))))
     info, changed, _ = find_repeats(documents, id_column, text_column)
     gone = info.filter((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("own").distinct()
     effects = changed.select("own", "kept_text").unionByName(gone.select("own", F.lit("").alias("kept_text")))
-    joined = with_id.join(effects.withColumnRenamed("own", "_gone_own").withColumnRenamed("kept_text", "_kept_text"), F.col("_own") == F.col("_gone_own"), "left")
-    text = F.when(named(text_column).isNotNull(), F.coalesce("_kept_text", named(text_column)))
+    effects = effects.select(F.col("own").alias(gone_own), F.col("kept_text").alias(kept_text))
+    joined = with_id.join(effects, F.col(own) == F.col(gone_own), "left")
+    text = F.when(named(text_column).isNotNull(), F.coalesce(F.col(kept_text), named(text_column)))
     out = joined.withColumn(text_column, text)
     if length_column in documents.columns:
         kind = documents.schema[length_column].dataType

@@ -32,6 +32,14 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_text(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only ``id`` and ``text`` (NULL becomes empty), so other columns' names cannot clash."""
     return df.select(

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from scriptloom.llm import near, repeats
+from scriptloom.llm import near, packing, repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -178,3 +178,45 @@ def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     equal, rows, _, _, difference = compare(spark, connect(sf), sf, name)
     assert equal and rows, difference
+
+
+def test_one_crowded_passage(spark, monkeypatch):
+    """2,000 texts that share a passage and are no near copies: few of the two million pairs are verified."""
+    r = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{r.randrange(5000)}" for _ in range(70)) + " " + passage) for i in range(2000)]
+    rows += [(5000 + i, t + " x") for i, t in rows[:5]]
+    verified = []
+    plain = near._verified
+
+    def watched(pairs, sets):
+        verified.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(near, "_verified", watched)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {x["id"]: x["component_id"] for x in near.near_duplicates(df).collect()}
+    assert found == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    assert sum(verified) < 20_000
+
+
+CLASHING = (
+    "kept_id copy kept_id_ own_hash gone_hash kept_text own id n key part salt rank length_ local before piece keys "
+    "first_rank end_rank of_length _kept _copy _own"
+).split()
+
+
+def test_stages_with_clashing_columns(spark, docs):
+    df = docs.select("doc_id", "text", "n_chars", *[(docs["doc_id"] + i).alias(c) for i, c in enumerate(CLASHING)])
+    for stage in (near.one_of_each, repeats.without_repeats):
+        out, plain = stage(df), stage(docs.select("doc_id", "text", "n_chars"))
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert sorted((x["doc_id"], x["text"] or "", x["n_chars"]) for x in rows) == sorted(
+            (x["doc_id"], x["text"] or "", x["n_chars"]) for x in plain.collect()
+        )
+        assert all(x[c] == x["doc_id"] + i for x in rows for i, c in enumerate(CLASHING))
+    pieces = df.selectExpr("*", "1 + doc_id % 7 AS length", "doc_id AS sequence_id")
+    packed = packing.pack(pieces, 16, ("doc_id",)).collect()
+    assert len({(x["sequence_id"], x["offset"]) for x in packed}) == pieces.count()
+    assert all(x[c] == x["doc_id"] + i for x in packed for i, c in enumerate(CLASHING))
