@@ -439,6 +439,13 @@ WITH order_details AS (
 ), returns_flagged AS (SELECT DISTINCT l_orderkey AS order_id FROM lineitem WHERE l_returnflag = 'R')
 """
 
+_MONTHLY = f"""{_RETAIL}
+SELECT category, cast(date_trunc('month', order_date) AS date) AS month,
+  cast(sum(total) AS decimal(38,2)) AS gross_revenue,
+  count(DISTINCT CASE WHEN r.order_id IS NOT NULL THEN o.order_id END) AS returned_orders
+FROM order_details o LEFT JOIN returns_flagged r ON o.order_id = r.order_id
+GROUP BY 1, 2 ORDER BY 1, 2"""
+
 ORACLE_SQL = {
     "order_details": f"{_RETAIL} SELECT * FROM order_details",
     "returned_orders": f"{_RETAIL} SELECT * FROM returns_flagged",
@@ -447,12 +454,8 @@ ORACLE_SQL = {
           count(DISTINCT CASE WHEN l_orderkey IS NOT NULL THEN o_orderkey END) AS returned_orders
         FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R'
         GROUP BY 1""",
-    "monthly_revenue_returns": f"""{_RETAIL}
-        SELECT category, cast(date_trunc('month', order_date) AS date) AS month,
-          cast(sum(total) AS decimal(38,2)) AS gross_revenue,
-          count(DISTINCT CASE WHEN r.order_id IS NOT NULL THEN o.order_id END) AS returned_orders
-        FROM order_details o LEFT JOIN returns_flagged r ON o.order_id = r.order_id
-        GROUP BY 1, 2 ORDER BY 1, 2""",
+    "monthly_revenue_returns": _MONTHLY,
+    "monthly_revenue_bucketed": _MONTHLY,
     "insert_rows": """
         SELECT o_orderkey AS order_id, o_custkey AS customer_id, cast(o_orderdate AS date) AS order_date,
           o_orderstatus AS status FROM orders

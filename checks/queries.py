@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import inputs
@@ -17,7 +19,7 @@ from scriptloom.plans.conversion import run_conversion
 from scriptloom.session import fresh_path
 from scriptloom.sources import csv_tables
 from scriptloom.sources.scripts import pasted_script, read_scripts
-from scriptloom.sources.tables import insert_values, read_table
+from scriptloom.sources.tables import insert_values, read_table, write_bucketed
 
 # Retail report
 
@@ -34,6 +36,16 @@ def returned_orders(spark, sf):
     return retail.returned_orders(inputs.retail_returns(spark, sf))
 
 
+def monthly_revenue_bucketed(spark, sf):
+    """The report over facts that lie in buckets by order."""
+    run = uuid.uuid4().hex
+    facts = {"orders": inputs.retail_orders, "items": inputs.retail_items, "returns": inputs.retail_returns}
+    tables = {n: write_bucketed(of(spark, sf), f"{n}_{run}", "order_id", 16) for n, of in facts.items()}
+    return retail.monthly_revenue_returns(
+        tables["orders"], tables["items"], inputs.retail_products(spark, sf), tables["returns"]
+    )
+
+
 def returned_orders_by_month(spark, sf):
     return retail.returned_orders_by_month(
         inputs.retail_orders(spark, sf), inputs.retail_returns(spark, sf)
@@ -486,6 +498,7 @@ QUERIES = {
         returned_orders,
         returned_orders_by_month,
         monthly_revenue_returns,
+        monthly_revenue_bucketed,
         insert_rows,
         count_into,
         update_where,

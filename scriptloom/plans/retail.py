@@ -62,7 +62,9 @@ def monthly_revenue_returns(
 
     The lines are first reduced to one row per (order, category, month). That runs inside
     the join's own partitioning, and it makes the distinct count of orders a plain count, so
-    nothing of fact-table size is shuffled again. A hot order collapses there too.
+    nothing of fact-table size is shuffled again. A hot order collapses there too. Where orders,
+    lines and returns are tables bucketed by the order (``sources.tables.write_bucketed``) and
+    products small enough to broadcast, no row of them is shuffled at all.
     """
     per_order = (
         order_details(orders, items, products)

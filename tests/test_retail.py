@@ -1,4 +1,5 @@
 import datetime
+import uuid
 from decimal import Decimal
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.operators import audits, dml
 from scriptloom.plans import retail
-from scriptloom.sources.tables import TABLES, empty_table, insert_values, read_table
+from scriptloom.sources.tables import TABLES, empty_table, insert_values, read_table, write_bucketed
 
 # The sample rows.
 ROWS = {
@@ -218,3 +219,34 @@ def test_lookup(spark, staff):
     names = spark.createDataFrame([(10, "Sales"), (30, "IT")], "id int, department_name string")
     found = dml.lookup(staff, names, "department_id", "id", "department_name").collect()
     assert {r.department_id: r.department_name for r in found} == {10: "Sales", 20: None, None: None}
+
+
+def test_bucketed_facts_are_not_shuffled(spark):
+    """Below the reduction to one row per order nothing moves but the products, which are broadcast."""
+    n = 20_000
+    orders = spark.range(n).selectExpr("id AS order_id", "date_add(DATE '2023-01-01', cast(id % 90 AS int)) AS order_date")
+    items = spark.range(4 * n).selectExpr(
+        "id % 20000 AS order_id", "id % 50 AS product_id", "1 AS quantity", "cast(id % 7 AS decimal(12,2)) AS price"
+    )
+    products = spark.range(50).selectExpr("id AS product_id", "concat('c', id % 3) AS category")
+    returns = spark.range(0, n, 5).selectExpr("id AS order_id")
+    names = [f"{name}_{uuid.uuid4().hex}" for name in ("orders", "items", "returns")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000")
+    try:
+        facts = [
+            write_bucketed(df, name, "order_id", 8)
+            for df, name in zip((orders, items, returns), names, strict=True)
+        ]
+        report = retail.monthly_revenue_returns(facts[0], facts[1], products, facts[2])
+        rows = report.collect()
+        final = report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert sorted(rows) == sorted(retail.monthly_revenue_returns(orders, items, products, returns).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    exchanges = [line for line in final.splitlines() if "Exchange " in line and "Broadcast" not in line]
+    assert len(exchanges) == 2  # per category and month, and the order of the result
+    assert all("order_id" not in line for line in exchanges)
+    assert final.count("SortMergeJoin") == 2
