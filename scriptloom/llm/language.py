@@ -123,6 +123,8 @@ def fit(labelled: DataFrame, lang_column: str = "lang", text_column: str = "text
                 ["lang", "counts"],
             )
 
+    # At most ``per_language`` rows for each language: sent to the texts, which stay where they are.
+    chosen = F.broadcast(chosen)
     picked = rows.join(chosen, (rows["id"] == chosen["id"]) & (rows["lang"] == chosen["_lang"]), "left_semi")
     found = sorted(
         (r["lang"], bytes(r["counts"]))
