@@ -158,28 +158,59 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segments, members
 
 
-def format_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def masked(formatted: Column, loss: Column) -> Column:
+    """The texts under a loss mask, unescaped, in order, nothing between."""
+    return F.array_join(
+        F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), ""
+    )
+
+
+def format_conversations(conversations: DataFrame, learned: str = "assistant") -> tuple[DataFrame, DataFrame]:
     """The depth-first stream and, read back from it, every path.
 
-    ``stream``: key, stream_start, segment, n_chars, position; every shared turn once.
-    ``paths``: path, formatted, intervals array<struct<start, end>> (the stretches of the stream
-    that the path's last segment may attend to: its ancestors and itself, touching ones merged).
+    ``stream``: key, stream_start, segment, n_chars, position, loss_start, loss_end (the code points
+    of the stream that are learned, NULL for turns of other roles); every shared turn once.
+    ``paths``: path, formatted, loss array<struct<start, end>> (the loss mask: code points of
+    ``formatted`` that hold the texts of the role ``learned``, as escaped), intervals
+    array<struct<start, end>> (the stretches of the stream that the path's last segment may attend
+    to: its ancestors and itself, touching ones merged). An empty table gives empty ones.
     """
+    head = OPEN + learned.replace("\\", "\\\\").replace("<", "\\l").replace(">", "\\g") + CLOSE
+
+    def is_learned(segment: Column) -> Column:
+        return F.startswith(segment, F.lit(head))
+
+    def loss_of(start: Column, n_chars: Column) -> tuple[Column, Column]:
+        """Where the text of a learned turn lies that begins at ``start``."""
+        return (start + len(head)).cast("int"), (start + n_chars - len(END)).cast("int")
+
     segments, members = prefix_tree(conversations)
     segments = stored(segments, "chat-segments")
     stream = segments.filter("emitted").select("key", "stream_start", "segment", "n_chars", "position")
-    own = segments.filter("emitted").select("path", "depth", "segment", "stream_start", "n_chars")
+    learns = is_learned(F.col("segment"))
+    stream = stream.select(
+        "*",
+        F.when(learns, F.col("stream_start") + len(head)).alias("loss_start"),
+        F.when(learns, F.col("stream_start") + F.col("n_chars") - len(END)).alias("loss_end"),
+    )
+    own = segments.filter("emitted").select("path", "depth", "segment", "stream_start", "n_chars", "position")
     # A first turn that many paths share is one row here against many there: adaptive execution
     # splits the many, and the text of the one is read for each conversation that has it.
     inherited = (
         segments.filter("NOT emitted")
-        .select("path", "depth", "key")
+        .select("path", "depth", "key", "position")
         .join(stream.select("key", "segment", "stream_start", "n_chars"), "key")
-        .select("path", "depth", "segment", "stream_start", "n_chars")
+        .select("path", "depth", "segment", "stream_start", "n_chars", "position")
     )
     gathered = own.unionByName(inherited).groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("depth", "segment", "stream_start", "n_chars"))).alias("run")
+        F.array_sort(F.collect_list(F.struct("depth", "segment", "stream_start", "n_chars", "position"))).alias("run")
     )
+
+    def span(turn: Column) -> Column:
+        start, end = loss_of(turn["position"], turn["n_chars"])
+        return F.struct(start.alias("start"), end.alias("end"))
+
+    loss = F.transform(F.filter("run", lambda x: is_learned(x["segment"])), span)
     kind = "array<struct<start:bigint,end:bigint>>"
     intervals = F.aggregate(
         "run",
@@ -203,6 +234,9 @@ def format_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame
         ),
     )
     paths = gathered.select(
-        "path", F.array_join(F.transform("run", lambda x: x["segment"]), "").alias("formatted"), intervals.alias("intervals")
+        "path",
+        F.array_join(F.transform("run", lambda x: x["segment"]), "").alias("formatted"),
+        loss.alias("loss"),
+        intervals.alias("intervals"),
     )
     return stream, members.join(paths, "path")

@@ -31,17 +31,19 @@ def op1_chat_format(spark, sf):
     )
     rows = chat.conversations_as_rows(turns.unionByName(probe))
     _, formatted = chat.format_conversations(rows)
-    back = formatted.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"))
-    said = F.array_join(
-        F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), ""
+    back = formatted.select(
+        "conv_id",
+        "formatted",
+        chat.parse(F.col("formatted")).alias("turns"),
+        chat.masked(F.col("formatted"), F.col("loss")).alias("learned"),
     )
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
-        F.length(said).cast("bigint").alias("loss_chars"),
-        F.sha2(said, 256).alias("loss_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
 

@@ -122,6 +122,12 @@ def chat_rows():
     return rows
 
 
+def chat_escaped(text):
+    for plain, coded in chat.ESCAPES:
+        text = text.replace(plain, coded)
+    return text
+
+
 def test_chat_round_trip_and_tree(spark):
     rows = chat_rows()
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("path", F.lit(1))
@@ -136,6 +142,12 @@ def test_chat_round_trip_and_tree(spark):
     whole = "".join(s["segment"] for s in sorted(stream, key=lambda s: s["stream_start"]))
     assert [s["stream_start"] for s in sorted(stream, key=lambda s: s["stream_start"])][0] == 0
     assert len(whole) == max(s["stream_start"] + s["n_chars"] for s in stream)
+    learned = formatted.select("conv_id", chat.masked(F.col("formatted"), F.col("loss")).alias("learned")).collect()
+    assert {p["conv_id"]: p["learned"] for p in learned} == {
+        c: "".join(x for r, x in turns if r == "assistant") for c, turns in expected.items()
+    }
+    under = {whole[s["loss_start"] : s["loss_end"]] for s in stream if s["loss_start"] is not None}
+    assert under == {chat_escaped(x) for turns in expected.values() for r, x in turns if r == "assistant"}
     for p in paths:  # what a path may attend to is exactly its own text
         assert "".join(whole[i["start"] : i["end"]] for i in p["intervals"]) == p["formatted"]
     assert chat.format_conversations(chat.conversations_as_rows(df.limit(0)))[1].count() == 0
