@@ -104,6 +104,15 @@ class CountTree:
                 self._set(leaf, "", 0)
 
 
+TEXTS = 256  # texts whose leaves are in memory at once; a memory bound only
+
+
+def _parts(batches):
+    for batch in batches:
+        for begin in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(begin, TEXTS)
+
+
 def _counter(auto):
     return Encoder(auto, lambda ids: len(ids) // 4)
 
@@ -116,7 +125,7 @@ def build_trees(documents: DataFrame, path: str, id_column: str = "doc_id", text
 
     def build(batches):
         encoder = _counter(tables.value)
-        for batch in batches:
+        for batch in _parts(batches):
             texts = strings(batch)
             cut = [cut_leaves(t) for t in texts]
             tokens = []
@@ -152,7 +161,7 @@ def apply_edits(trees: DataFrame, path: str) -> DataFrame:
 
     def apply(batches):
         encoder = _counter(tables.value)
-        for batch in batches:
+        for batch in _parts(batches):
             rows = zip(strings(batch), *[batch.column(c).to_pylist() for c in ("leaf_chars", "leaf_tokens")], strict=True)
             trees = [CountTree(text, chars or [], tokens or []) for text, chars, tokens in rows]
             wanted = [e or [] for e in batch.column("edits").to_pylist()]
