@@ -34,6 +34,7 @@ WORDS = 5
 SEEN = 200_000  # sets a task remembers as sent, to send copies once; a memory bound only
 # Another round of leaders is worth its cost if the last one left at most this share of the rows.
 WORTH = 0.5
+CARRIED = 16  # keys that a row carries to meet a partner once; no effect on results
 _INFO = "<?qqqq4q"
 
 
@@ -354,14 +355,15 @@ def _linked(active: DataFrame, traits: DataFrame, sets: DataFrame, percent: int)
         # What is in one component needs no more comparison among itself.
         several = active.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most")
         active = stored(active.join(several.select("key"), "key", "left_semi"), "near-left")
-    # The rest, each pair at the first of the keys that both are left with.
-    keys = active.groupBy("own").agg(F.collect_list("key").alias("keys"))
-    placed = active.join(keys, "own")
+    # The rest. Sets carry their smallest keys: a pair that has one of them in common meets at the
+    # first of those only, others, which share few keys, at each.
+    smallest = F.slice(F.array_sort(F.collect_list("key")), F.lit(1), F.lit(CARRIED))
+    placed = active.join(active.groupBy("own").agg(smallest.alias("keys")), "own")
     one = with_traits(placed.select("key", F.col("own").alias("a"), F.col("part").alias("part_a"), F.col("keys").alias("keys_a")), "a")
     two = with_traits(placed.select("key", F.col("own").alias("b"), F.col("part").alias("part_b"), F.col("keys").alias("keys_b")), "b")
     apart = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (least <= limit + 1e-9)
-    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == one["key"]
-    rest = one.join(two, (one["key"] == two["key"]) & apart & first).select("a", "b")
+    first = F.coalesce(F.array_min(F.array_intersect("keys_a", "keys_b")) == one["key"], F.lit(True))
+    rest = one.join(two, (one["key"] == two["key"]) & apart & first).select("a", "b").distinct()
     edges = _verified(rest, sets).filter(_near(percent)).select("a", "b")
     edges = edges.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
     return stored(connected_components(edges), "near-groups")
