@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.store import stored
+from scriptloom.llm.store import dropped, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         changed = following.join(current, ["u", "v"], "left_anti").count() + (
             current.join(following, ["u", "v"], "left_anti").count()
         )
+        dropped(current)
         current = following
         if not changed:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.llm.components import connected_components
-from scriptloom.llm.store import id_text, mix, named, stored, strings, text_groups, unused, word_hashes
+from scriptloom.llm.store import dropped, id_text, mix, named, shuffles_removed, stored, strings, text_groups, unused, word_hashes
 
 WORDS = 5
 SEEN = 200_000  # sets a task remembers as sent, to send copies once; a memory bound only
@@ -254,13 +254,14 @@ def _one_key_each(shared: DataFrame) -> DataFrame:
     return stored(shared.join(kept.select("key"), "key", "left_semi"), "near-keys")
 
 
-def _bucketed(sets: DataFrame) -> DataFrame:
-    """Sets, each once, as a table bucketed by name, so that no verification shuffles them again."""
+def _bucketed(sets: DataFrame) -> str:
+    """Name of a table of the sets, each once, bucketed by name, so that no verification shuffles them again."""
     spark = sets.sparkSession
     name = f"near_sets_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets.dropDuplicates(["own"]).write.bucketBy(parts, "own").sortBy("own").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    with shuffles_removed(spark):
+        sets.dropDuplicates(["own"]).write.bucketBy(parts, "own").sortBy("own").format("parquet").saveAsTable(name)
+    return name
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -303,21 +304,28 @@ def near_duplicates(
     longs = "id bigint, n bigint, quota0 bigint, quota1 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
     table = f"key bigint, own bigint, side bigint, known boolean, {longs}"
     met = stored(sent.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, table), "near-shared")
-    info = met.filter("key IS NULL").withColumn("id", F.when(F.col("known"), F.col("id")))
+    info = met.filter("key IS NULL").withColumn("id", F.when(F.col("known"), F.col("id"))).drop("key", "side", "known")
+    info = stored(info, "near-rows")
     classes = info.filter("n > 0").groupBy("own").agg(
         F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in (*_TRAITS, "quota0", "quota1")]
     )
     classes = stored(classes, "near-sets")
-    active = _one_key_each(_prefixes(met.filter("key IS NOT NULL").select("key", "own", "side"), classes))
+    prefixes = _prefixes(met.filter("key IS NOT NULL").select("key", "own", "side"), classes)
+    dropped(met)
+    active = _one_key_each(prefixes)
+    dropped(prefixes)
     wanted = active.select("own").distinct().join(classes, "own").select("own", F.col("first_id").alias("id"), *_TRAITS)
     wanted = stored(wanted, "near-wanted")
     texts = source.join(wanted.select("own", F.col("id").alias("first_id")), F.col("id").eqNullSafe(F.col("first_id")))
-    sets = _bucketed(texts.select("own", "text").mapInArrow(_sets, "own bigint, shingles array<bigint>"))
+    table_of_sets = _bucketed(texts.select("own", "text").mapInArrow(_sets, "own bigint, shingles array<bigint>"))
+    sets = documents.sparkSession.table(table_of_sets)
     groups = _linked(active, wanted.select("own", *_TRAITS), sets, percent)
     grouped = classes.join(groups, classes["own"] == groups["node"], "left").select(
         "own", "first_id", F.coalesce("component", "own").alias("component")
     )
     grouped = stored(grouped, "near-classes")
+    dropped(groups, wanted, classes)
+    documents.sparkSession.sql(f"DROP TABLE {table_of_sets}")
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labelled = grouped.join(smallest, "component").select("own", "component_id")
     alone = info.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
@@ -328,7 +336,7 @@ def near_duplicates(
 def _linked(active: DataFrame, traits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, component for every set that is linked with another.
 
-    ``active`` has the keys (key, own) that sets are compared at: whatever it lacks of a set has been
+    ``active``, a stored table that is dropped here, has the keys (key, own) that sets are compared at: whatever it lacks of a set has been
     compared there, or cannot be near, or lies in the set's component.
     """
     limit = 1 - percent / 100
@@ -337,24 +345,28 @@ def _linked(active: DataFrame, traits: DataFrame, sets: DataFrame, percent: int)
     def with_traits(df: DataFrame, name: str) -> DataFrame:
         return df.join(traits.select(F.col("own").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in _TRAITS]), name)
 
-    linked, before = None, None
+    linked, before, table = None, None, active
     active = active.withColumn("part", F.col("own"))
     while True:
         rows = active.count()
         if before is not None and (not rows or rows > WORTH * before):
             break
         before = rows
-        active, edges = _led(active, with_traits, sets, least, limit, percent)
+        stays, found = _led(active, with_traits, sets, least, limit, percent)
+        dropped(table)
+        edges = found.filter(_near(percent)).select("a", "b")
         if linked is not None:
             edges = edges.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        linked = stored(connected_components(edges), "near-groups")
-        known = active.select("own").distinct().join(linked.withColumnRenamed("node", "own"), "own", "left")
-        active = active.select("key", "own").join(
+        past, linked = linked, stored(connected_components(edges), "near-groups")
+        dropped(found, *([past] if past is not None else []))
+        known = stays.select("own").distinct().join(linked.withColumnRenamed("node", "own"), "own", "left")
+        active = stays.select("key", "own").join(
             known.select("own", F.coalesce("component", "own").alias("part")), "own"
         )
         # What is in one component needs no more comparison among itself.
         several = active.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most")
-        active = stored(active.join(several.select("key"), "key", "left_semi"), "near-left")
+        active = table = stored(active.join(several.select("key"), "key", "left_semi"), "near-left")
+        dropped(stays)
     # The rest. Sets carry their smallest keys: a pair that has one of them in common meets at the
     # first of those only, others, which share few keys, at each.
     smallest = F.slice(F.array_sort(F.collect_list("key")), F.lit(1), F.lit(CARRIED))
@@ -366,11 +378,14 @@ def _linked(active: DataFrame, traits: DataFrame, sets: DataFrame, percent: int)
     rest = one.join(two, (one["key"] == two["key"]) & apart & first).select("a", "b").distinct()
     edges = _verified(rest, sets).filter(_near(percent)).select("a", "b")
     edges = edges.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return stored(connected_components(edges), "near-groups")
+    groups = stored(connected_components(edges), "near-groups")
+    dropped(table, linked)
+    return groups
 
 
 def _led(active: DataFrame, with_traits, sets: DataFrame, least, limit: float, percent: int):
-    """A round: every set meets the leader of each of its keys. What stays active, and the links found.
+    """A round: every set meets the leader of each of its keys. What stays active, and what was found
+    of pairs (a, b, both, either); both stored.
 
     A leader is a set of a component of its own if there is one. It has met everyone, so it leaves
     its key. So does a set that is near the leader, if even the nearest of those that are not is
@@ -398,7 +413,9 @@ def _led(active: DataFrame, with_traits, sets: DataFrame, least, limit: float, p
     )
     gone = inside.select("key", "own").unionByName(led.select("key", F.col("leader").alias("own")))
     stays = active.join(gone, ["key", "own"], "left_anti")
-    return stored(stays, "near-stay"), found.filter(_near(percent)).select("a", "b")
+    stays = stored(stays, "near-stay")
+    dropped(led, met, pairs)
+    return stays, found
 
 
 def one_of_each(documents: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

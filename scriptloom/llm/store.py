@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Spark's own option: the shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the writes within go when each ends; for tables that are read from there on."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there, cutting its lineage.
 
     The folder is the one named by ``spark.checkpoint.dir``. Whatever is read twice, or must stay
-    the same if an executor is lost, goes through here.
+    the same if an executor is lost, goes through here. Nobody reads the shuffles behind a written
+    table again, so they are removed as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove what ``stored`` wrote for these very tables; others are left alone.
+
+    Only for tables that no later read needs: all that was computed from them is stored itself.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for df in tables:
+        path = _WRITTEN.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def named(name: str) -> Column:
