@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.functions.text import bind
-from scriptloom.llm.store import stored
+from scriptloom.llm.store import id_text, stored
 
 # Anchors, and the other common words that chains skip.
 ANCHORS = (
@@ -68,45 +68,48 @@ def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: s
     return documents.select(F.col(f"`{id_column}`").alias("id"), spots(text).alias("spots"))
 
 
-def with_next(documents: DataFrame, block: int = 4096) -> DataFrame:
+def with_next(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, text, spots, next_text, next_spots: each document with the next one in descending id; after
     the last, the first.
 
-    Ids are whole numbers; a window holds the ids of one block of ``block`` numbers, and the first
-    document of every block is also sent to the block before it, so no window spans the table.
-    Repeated ids follow one another in order of their texts. NULL ids come last.
+    Ids are whole numbers, however sparse: rows are range-partitioned by id and text, so that equal
+    and NULL ids are split too, and the first document of every partition is also sent to the one
+    before it. Repeated ids follow one another by the digests of their texts. NULL ids come last;
+    NULL texts are empty; an empty table gives an empty one; further columns are left out.
     """
-    rows = documents.select(
-        F.col("doc_id").alias("id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.coalesce(F.floor(F.col("doc_id") / block), F.lit(-(1 << 62))).alias("block"),
+    rows = id_text(documents, id_column, text_column).withColumn("id", F.col("id").cast("bigint"))
+    # Ascending in what follows: NULL ids last, ids from the largest (the complement reverses them).
+    order = ["is_null", "turned", "digest"]
+    rows = rows.withColumns(
+        {"is_null": F.col("id").isNull(), "turned": F.bitwise_not("id"), "digest": F.sha2("text", 256)}
     )
-    order = [F.col("id").desc_nulls_last(), F.col("text").desc()]
-    # Of each block the first document; blocks of blocks keep the second window small too.
-    ids = rows.groupBy("block").agg(F.max("id").alias("first_id"))
-    upper = ids.withColumn("upper", F.floor(F.col("block") / block))
-    tops = upper.groupBy("upper").agg(F.max("block").alias("top"))
-    tops = tops.select("upper", F.lead("top").over(Window.orderBy(F.desc("upper"))).alias("lower_top"), F.max("top").over(Window.partitionBy(F.lit(1))).alias("very_first"))
-    following = upper.join(tops, "upper").select(
-        "block",
-        "first_id",
-        F.coalesce(
-            F.lead("block").over(Window.partitionBy("upper").orderBy(F.desc("block"))), "lower_top", "very_first"
-        ).alias("next_block"),
+    rows = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "spots-sorted")
+    heads = rows.groupBy("part").agg(F.min(F.struct(*order)).alias("head"))
+    # One row per partition: where its first document is sent, to the one before or from the first to the last.
+    every_head = Window.orderBy("part")
+    heads = heads.withColumn(
+        "sent_to",
+        F.coalesce(F.lag("part").over(every_head), F.max("part").over(every_head.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))),
     )
-    # One row per block: stored, so that the planner knows its size before it joins the texts.
-    following = stored(following, "spots-blocks")
-    heads = following.select(F.col("block").alias("of"), "first_id")
-    needed = following.select(F.col("next_block").alias("of"), F.col("block").alias("sent_to"))
+    heads = stored(heads, "spots-heads")
+    # Equal rows may both be the first of a partition; one is sent.
     firsts = (
-        rows.join(heads, (F.col("block") == F.col("of")) & F.col("id").eqNullSafe(F.col("first_id")))
-        .groupBy("of")
-        .agg(F.max("text").alias("text"))
-        .join(needed, "of")
-        .select(F.lit(None).cast("bigint").alias("id"), "text", F.col("sent_to").alias("block"), F.lit(True).alias("sent"))
+        rows.join(F.broadcast(heads), "part")
+        .filter(F.struct(*[F.col(c) for c in order]).eqNullSafe(F.col("head")))
+        .groupBy("sent_to")
+        .agg(F.first("text").alias("text"))
+        .select(
+            F.lit(None).cast("bigint").alias("id"),
+            "text",
+            F.lit(None).cast("boolean").alias("is_null"),
+            F.lit(None).cast("bigint").alias("turned"),
+            F.lit(None).cast("string").alias("digest"),
+            F.col("sent_to").alias("part"),
+            F.lit(True).alias("sent"),
+        )
     )
     every = rows.withColumn("sent", F.lit(False)).unionByName(firsts).withColumn("spots", spots(F.col("text")))
-    window = Window.partitionBy("block").orderBy(F.col("sent"), *order)
+    window = Window.partitionBy("part").orderBy("sent", *order)
     return (
         every.withColumns(
             {"next_text": F.lead("text").over(window), "next_spots": F.lead("spots").over(window)}

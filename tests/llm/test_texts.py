@@ -203,6 +203,36 @@ def test_next_over_sparse_and_odd_ids(spark):
     assert spots.with_next(df.limit(0)).count() == 0
 
 
+def test_next_over_hashed_and_repeated_ids(spark):
+    ids = [int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "big", signed=True) for i in range(600)] + [None] * 300 + [7] * 300
+    texts = {i: f"text {i}" for i in range(len(ids))}
+    df = spark.createDataFrame([(x, texts[i], "x") for i, x in enumerate(ids)], "n bigint, text string, part string")
+    rows = spots.with_next(df.repartition(5), "n").collect()
+    digest = lambda i: hashlib.sha256(texts[i].encode()).hexdigest()
+    ordered = sorted(texts, key=lambda i: (ids[i] is None, -(ids[i] or 0), digest(i)))
+    expected = {texts[a]: texts[b] for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True)}
+    assert len(rows) == len(ids) and {r["text"]: r["next_text"] for r in rows} == expected
+
+
+def test_likeness_against_brute_force(spark, docs, pairs):
+    rows = {r["doc_id"]: r for r in queries.op10_spot_signatures(spark, "/root/testdata/sf0.001").collect()}
+    ordered = sorted(pairs(docs), reverse=True)
+    prints, texts = {}, {}
+
+    def jaccard(one, two):
+        p, q = (plain_spots(t) or {("whole", t)} for t in (one, two))
+        return len(p & q) / len(p | q)
+
+    for k, (i, text) in enumerate(ordered):
+        following, half = ordered[(k + 1) % len(ordered)][1], len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        assert abs(rows[i]["near_edited"] - jaccard(text, edited)) < 1e-9
+        assert abs(rows[i]["near_next"] - jaccard(text, following)) < 1e-9
+        for shown, t in ((rows[i]["fingerprint"], text), (rows[i]["edited_fingerprint"], edited)):
+            key = frozenset(plain_spots(t)) or t
+            assert prints.setdefault(key, shown) == shown and texts.setdefault(shown, key) == key
+
+
 def test_spot_join(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(f"the {w} {w}x" for w in words[k * 10 : k * 10 + 60]) for k in (0, 0, 1, 2, 20)]
