@@ -307,3 +307,26 @@ def test_statement_step(spark):
     assert "".join("".join(with_step).split()).count("UPDATE") == 40
     small = spark.createDataFrame([("s", "a;\nb; c;")], "script_id string, text string")
     assert blk.chunk_corpus(small, statement_step=True).collect() == blk.chunk_corpus(small).collect()
+
+
+def test_a_long_statement_is_split_in_time_of_its_length(column_of):
+    """Its words were put into upper case anew for every one of them."""
+    long = "SELECT " + "word, " * 40_000 + "x FROM t"
+    began = time.time()
+    [found] = column_of(C.split_compound, [f"BEGIN {long}; END; {long} -- END\n; CASE x"])
+    assert time.time() - began < 30
+    assert found == [f"BEGIN {long}; END;", f"{long} -- END\n;", "CASE x"]
+
+
+def test_marks_beside_what_hides_them(column_of):
+    cases = {
+        "BEGIN a; 1END; b": ["BEGIN a; 1END;", "b"],
+        "BEGIN a; END1; b": ["BEGIN a; END1; b"],
+        "BEGIN LOOP a; END/* c; */ -- d;\nLOOP; END; b": ["BEGIN LOOP a; END/* c; */ -- d;\nLOOP; END;", "b"],
+        "BEGIN IF a; END ıf; END; b": ["BEGIN IF a; END ıf; END;", "b"],
+        "BEGıN a; b": ["BEGıN a;", "b"],
+        "BEGıN vendor a; b": ["BEGıN vendor a; b"],
+        "BEGIN ' END; a": ["BEGIN ' END;", "a"],
+        "BEGIN 'it''s END;' x; END; a": ["BEGIN 'it''s END;' x; END;", "a"],
+    }
+    assert column_of(C.split_compound, list(cases)) == list(cases.values())
