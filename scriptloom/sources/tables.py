@@ -85,6 +85,12 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet")
     return spark.read.schema(TABLES[name].schema).format(fmt).load(path)
 
 
+def buckets_for(tables: Iterable[DataFrame], least: int = 1, rows: int = 1_000_000) -> int:
+    """A number of buckets for tables that are to be joined, by the number of rows of the largest:
+    about ``rows`` in each, so that what a task holds does not grow with the tables."""
+    return max([least, *(-(-df.count() // rows) for df in tables)])
+
+
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """``df`` as a table of the warehouse, dealt into ``buckets`` by ``key`` and sorted by it.
 

@@ -252,3 +252,22 @@ def test_validator(spark, code, score, tags):
     dry = validate_code(df, dry_run=True).first()
     assert (dry.validation_passed, dry.validation_score) == (True, 100)
     assert dry.validation_tags == ["dry_run"] and dry.failed_chunks == []
+
+
+def test_the_stand_in_keeps_no_requests():
+    """It kept every request of a partition, and an executor's Python grew with the input."""
+    import tracemalloc
+
+    from checks.queries import open_stand_in
+
+    convert = open_stand_in()()
+    tracemalloc.start()
+    for i in range(5000):
+        convert(f"{i} " + "x" * 2000)
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 1_000_000
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            convert("proc sort;")
+        assert convert("proc sort;").startswith(" df = ")
