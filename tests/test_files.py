@@ -104,3 +104,11 @@ def test_arriving_files_give_the_same_blocks(spark, tmp_path, example_script):
 
 def test_spread(spark):
     assert spread(spark.range(0, 100, 1, 1), "id", 5).rdd.getNumPartitions() == 5
+
+
+def test_csv_files_are_smaller_than_their_texts(spark, tmp_path):
+    df = spark.range(2000).selectExpr("id", "concat('UPDATE t SET a = ', id, '\n WHERE b = \"', id * 7, '\"') AS text")
+    csv_tables.write_csv(df.coalesce(1), f"{tmp_path}/t")
+    written = sum(f.stat().st_size for f in tmp_path.glob("t/part-*"))
+    assert written < df.selectExpr("sum(length(text)) AS n").first().n / 2
+    assert sorted(csv_tables.read_csv(spark, f"{tmp_path}/t", "id bigint, text string").collect()) == sorted(df.collect())
