@@ -57,3 +57,8 @@ def test_has_code(column_of):
         "\x0b-- a": False,
     }
     assert column_of(X.has_code, list(cases)) == list(cases.values())
+
+
+def test_words_are_counted_without_a_last_blank_or_with(column_of):
+    texts = ["", " ", "a", " a ", "a\nb\t", "a\x1cb", "\x1c", "é　ü x", "\U0001f600 \U0001f600", "x", "a\\b $1", None]
+    assert column_of(X.word_count, texts) == [None if t is None else len(t.split()) for t in texts]
