@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 # Options every plan in this package counts on; all can be changed at run time.
 # forceOptimizeSkewedJoin lets AQE split a hot join key even where the join feeds an
 # operator that would otherwise reuse its partitioning (one more shuffle, only when hot).
+# Shuffles start from many partitions, which AQE puts together by size: it never divides one,
+# so with few of them what a task sorts and aggregates would grow with the tables.
 RUNTIME_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "960",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -250,3 +250,26 @@ def test_bucketed_facts_are_not_shuffled(spark):
     assert len(exchanges) == 2  # per category and month, and the order of the result
     assert all("order_id" not in line for line in exchanges)
     assert final.count("SortMergeJoin") == 2
+
+
+def test_number_of_buckets_follows_the_rows(spark):
+    from scriptloom.sources.tables import buckets_for
+
+    assert buckets_for([spark.range(10), spark.range(95)], least=4, rows=10) == 10
+    assert buckets_for([spark.range(0), spark.range(5)], least=4, rows=10) == 4
+
+
+def test_shuffles_start_from_many_partitions(spark):
+    """With few, a task would sort and aggregate more the larger the tables are."""
+    options = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b",
+    }
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    try:
+        grouped = spark.range(200_000).groupBy((F.col("id") * 7).alias("k")).count()
+        assert grouped.rdd.getNumPartitions() > 100
+    finally:
+        for key in options:
+            spark.conf.unset(key)
