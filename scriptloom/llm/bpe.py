@@ -8,12 +8,13 @@ the string it spells, so a pre-split word is encoded by the one accepted path ov
 found by table look-ups; decoding emits the labels of the arcs.
 
 The tables depend on the vocabulary alone (a few MB when sent, whatever the corpus), are compiled once by
-the driver and sent to the workers as a Spark broadcast variable.
+a task and sent to the workers as a Spark broadcast variable; the driver holds them compressed only.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import re
 import sys
 import unicodedata
@@ -131,7 +132,12 @@ def label_classes(arcs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def compile_automaton(path: str) -> Automaton:
     """Compile a tokenizers BPE file (byte-level, with an end-of-word suffix)."""
     with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
+        return compile_spec(file.read())
+
+
+def compile_spec(text: str) -> Automaton:
+    """The automaton of such a file's content."""
+    spec = json.loads(text)
     model = spec["model"]
     suffix = model["end_of_word_suffix"] or ""
     vocab = model["vocab"]
@@ -363,13 +369,31 @@ class Encoder:
                 yield list(map(get, stretches))
 
 
-_AUTOMATA: dict[str, Automaton] = {}
+class _Packed:
+    """A pickled automaton, which whoever unpickles it gets open."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __reduce__(self):
+        return pickle.loads, (self.data,)
+
+
+_AUTOMATA: dict[str, _Packed] = {}
+
+
+def _packed(text: str) -> bytes:
+    return pickle.dumps(compile_spec(text))
 
 
 def broadcast_automaton(spark, path: str):
-    """The compiled tables as a broadcast variable; their size is set by the vocabulary alone."""
+    """The compiled tables as a broadcast variable; their size is set by the vocabulary alone.
+
+    A task compiles them, as that takes some hundred MB for a while, which the driver would keep in part.
+    """
     if path not in _AUTOMATA:
-        _AUTOMATA[path] = compile_automaton(path)
+        with open(path, encoding="utf-8") as file:
+            _AUTOMATA[path] = _Packed(spark.sparkContext.parallelize([file.read()], 1).map(_packed).first())
     return spark.sparkContext.broadcast(_AUTOMATA[path])
 
 

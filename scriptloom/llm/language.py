@@ -13,6 +13,7 @@ from scriptloom.llm.store import id_text, named, strings
 
 DIMENSIONS = 4096
 SLICE = 1 << 21  # bytes counted at once; a memory bound only
+BLOCK = 256  # rows weighed at once; a memory bound only
 # Bytes that are no letters become one blank; bytes beyond ASCII stay.
 _LETTERS = np.full(256, 32, np.int64)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -85,10 +86,13 @@ class CentroidModel:
 
     @staticmethod
     def size_class(counts: np.ndarray) -> np.ndarray:
-        return np.log2(1 + counts[:, :256].sum(1)).astype(int)
+        return np.log2(1 + counts[:, :256].sum(1, dtype=float)).astype(int)
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(counts) * self.idf)
+        made = np.empty(counts.shape)
+        for begin in range(0, len(counts), BLOCK):
+            made[begin : begin + BLOCK] = _unit(np.log1p(counts[begin : begin + BLOCK].astype(float)) * self.idf)
+        return made
 
     def predict(self, counts: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Language number, similarity (0 to 1), accepted."""
@@ -130,8 +134,10 @@ def fit(labelled: DataFrame, lang_column: str = "lang", text_column: str = "text
         (r["lang"], bytes(r["counts"]))
         for r in picked.select("lang", "text").mapInArrow(count, "lang string, counts binary").collect()
     )
-    counts = np.array([np.frombuffer(c, "<f4") for _, c in found], float).reshape(-1, DIMENSIONS)
-    return CentroidModel([x for x, _ in found], counts)
+    languages = [x for x, _ in found]
+    counts = np.frombuffer(b"".join(c for _, c in found), "<f4").reshape(-1, DIMENSIONS)
+    del found  # the driver holds the counts once
+    return CentroidModel(languages, counts)
 
 
 def identify(documents: DataFrame, model: CentroidModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from scriptloom.llm import near, packing, repeats
+from scriptloom.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -220,3 +221,22 @@ def test_stages_with_clashing_columns(spark, docs):
     packed = packing.pack(pieces, 16, ("doc_id",)).collect()
     assert len({(x["sequence_id"], x["offset"]) for x in packed}) == pieces.count()
     assert all(x[c] == x["doc_id"] + i for x in packed for i, c in enumerate(CLASHING))
+
+
+def test_components_take_few_jobs(spark):
+    """A round's steps are stored each, and one aggregate tells whether anything changed."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a bigint, b bigint")
+    tracker, group = spark.sparkContext.statusTracker(), "components-jobs"
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.sparkContext.setJobGroup(group, "components")
+    spark.conf.set(threshold, "-1")
+    try:
+        found = connected_components(edges)
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set(threshold, before)
+    stages = {s for j in jobs for s in j.stageIds}
+    assert {(r["node"], r["component"]) for r in found.collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+    assert len(stages) <= 220

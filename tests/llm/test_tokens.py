@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,17 @@ def test_long_texts_without_white_space(path, tokenizer):
     got = [[i for x in records for i in x] for records in bpe.Encoder(auto, lambda ids: np.frombuffer(ids, "<u4").tolist()).records(texts)]
     assert time.time() - begin < 60
     assert got == encoded(tokenizer, texts)
+
+
+def test_driver_keeps_the_automaton_compressed(spark, path):
+    """Its tables are compiled by a task and opened by the workers; the driver holds a few MB."""
+    sent = bpe.broadcast_automaton(spark, path)
+    held = bpe._AUTOMATA[path]
+    assert not isinstance(held, bpe.Automaton) and len(held.data) < 8_000_000
+
+    def names(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"kind": [type(sent.value).__name__], "labels": [len(sent.value.labels)]})
+
+    [row] = spark.range(1).coalesce(1).mapInArrow(names, "kind string, labels bigint").collect()
+    assert row["kind"] == "Automaton" and row["labels"] > 40_000
