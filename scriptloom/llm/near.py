@@ -13,7 +13,8 @@ of their segment first: what is within the threshold of a leader needs no compar
 itself, and as Jaccard distance is a metric, what is far from the leader cannot be near those
 close around it. Rounds go on as long as they leave much less to compare; what is left then, sets
 of different components, is compared pair by pair, once each, at the first segment a pair
-shares, behind the bounds that sizes and parity bits give.
+shares, behind the bounds that sizes and parity bits give: 256 bits at first, then bits that grow
+with the set, so that whole sets are moved for pairs that are near or almost so.
 Nothing is capped; candidates are verified on the whole sets.
 """
 
@@ -35,6 +36,7 @@ SEEN = 200_000  # sets a task remembers as sent, to send copies once; a memory b
 # Another round of leaders is worth its cost if the last one left at most this share of the rows.
 WORTH = 0.5
 CARRIED = 16  # keys that a row carries to meet a partner once; no effect on results
+MOST_SLOTS = 1 << 26  # bits of the bitmap that tells most unwanted texts apart (8 MB); no effect on results
 _INFO = "<?qqqq4q"
 
 
@@ -208,16 +210,33 @@ def _shared(batches):
             yield out(*rows, info)
 
 
+def wide_parity(shingles: np.ndarray) -> np.ndarray:
+    """Parity bits as words, 2 to 4 bits for each shingle; a power of two, so that halves fold onto
+    each other to the bits of a smaller set."""
+    width = 64 << (max(len(shingles) - 1, 0) >> 5).bit_length()
+    flipped = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(flipped.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _arrays(flat: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, flat)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.int64)])))
+
+
 def _sets(batches):
-    """The shingles of sets; rows whose text is another one under the same id are left out."""
+    """The shingles and parity bits of sets; rows whose text is another one under the same id are left out."""
     for batch in batches:
         made, owns = list(shingle_sets(strings(batch))), batch.column("own").to_pylist()
         right = [i for i, x in enumerate(made) if set_hash(x) == owns[i]]
-        kept = [made[i].view(np.int64) for i in right]
-        offsets = np.cumsum([0, *map(len, kept)])
-        flat = np.concatenate([*kept, np.zeros(0, np.int64)])
+        kept = [made[i] for i in right]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("own").take(pa.array(right, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["own", "shingles"]
+            [
+                batch.column("own").take(pa.array(right, pa.int64())),
+                pa.array([len(x) for x in kept], pa.int64()),
+                _arrays([wide_parity(x) for x in kept]),
+                _arrays([x.view(np.int64) for x in kept]),
+            ],
+            ["own", "n", "flips", "shingles"],
         )
 
 
@@ -254,6 +273,23 @@ def _one_key_each(shared: DataFrame) -> DataFrame:
     return stored(shared.join(kept.select("key"), "key", "left_semi"), "near-keys")
 
 
+def _may_hold(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows with an ``id`` of ``wanted``, and few others: what is not wanted need not be shuffled.
+
+    By a bitmap of hashed ids, 64 bits for each up to MOST_SLOTS, which lets the more pass
+    the fuller it is; the join behind it decides.
+    """
+    slots = min(MOST_SLOTS, 64 * wanted.count() + 1)
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots))
+    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
+    )
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("bucket"))
+    return met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _bucketed(sets: DataFrame) -> str:
     """Name of a table of the sets, each once, bucketed by name, so that no verification shuffles them again."""
     spark = sets.sparkSession
@@ -273,6 +309,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either"))
 
 
+def _tightened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, least with the lower bound of their distance raised by the wide parity bits.
+
+    The 256 bits of ``_least_apart`` tell little of large sets. These grow with the set, and are a
+    sixteenth of its shingles or less, so that pairs that are far apart meet by them alone.
+    """
+
+    def folded(one: str, two: str):
+        half = (F.size(one) / 2).cast("int")
+        halves = F.slice(one, F.lit(1), half), F.slice(one, half + 1, half)
+        return F.when(F.size(one) == 2 * F.size(two), F.zip_with(*halves, lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(one))
+
+    a, b = (
+        sets.select(F.col("own").alias(x), F.col("n").alias(f"n_{x}"), F.col("flips").alias(f"flips_{x}")) for x in "ab"
+    )
+    met = pairs.join(b, "b", "left").join(a, "a", "left")
+    differ = F.zip_with(folded("flips_a", "flips_b"), folded("flips_b", "flips_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    # Of other lengths, which sizes far apart have, nothing is known: 0.
+    flipped = F.coalesce(F.aggregate(differ, F.lit(0), lambda total, x: total + x), F.lit(0))
+    bound = 2 * flipped / (F.col("n_a") + F.col("n_b") + flipped)
+    return met.select("a", "b", F.greatest("least", bound).alias("least"))
+
+
 _TRAITS = ("n", "b0", "b1", "b2", "b3")
 
 
@@ -316,8 +375,10 @@ def near_duplicates(
     dropped(prefixes)
     wanted = active.select("own").distinct().join(classes, "own").select("own", F.col("first_id").alias("id"), *_TRAITS)
     wanted = stored(wanted, "near-wanted")
-    texts = source.join(wanted.select("own", F.col("id").alias("first_id")), F.col("id").eqNullSafe(F.col("first_id")))
-    table_of_sets = _bucketed(texts.select("own", "text").mapInArrow(_sets, "own bigint, shingles array<bigint>"))
+    held = _may_hold(source, wanted.select("id"))
+    texts = held.join(wanted.select("own", F.col("id").alias("first_id")), F.col("id").eqNullSafe(F.col("first_id")))
+    shape = "own bigint, n bigint, flips array<bigint>, shingles array<bigint>"
+    table_of_sets = _bucketed(texts.select("own", "text").mapInArrow(_sets, shape))
     sets = documents.sparkSession.table(table_of_sets)
     groups = _linked(active, wanted.select("own", *_TRAITS), sets, percent)
     grouped = classes.join(groups, classes["own"] == groups["node"], "left").select(
@@ -376,10 +437,11 @@ def _linked(active: DataFrame, traits: DataFrame, sets: DataFrame, percent: int)
     apart = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (least <= limit + 1e-9)
     first = F.coalesce(F.array_min(F.array_intersect("keys_a", "keys_b")) == one["key"], F.lit(True))
     rest = one.join(two, (one["key"] == two["key"]) & apart & first).select("a", "b").distinct()
-    edges = _verified(rest, sets).filter(_near(percent)).select("a", "b")
+    rest = stored(_tightened(rest.withColumn("least", F.lit(0.0)), sets).filter(F.col("least") <= limit + 1e-9), "near-rest")
+    edges = _verified(rest.select("a", "b"), sets).filter(_near(percent)).select("a", "b")
     edges = edges.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
     groups = stored(connected_components(edges), "near-groups")
-    dropped(table, linked)
+    dropped(table, linked, rest)
     return groups
 
 
@@ -398,8 +460,10 @@ def _led(active: DataFrame, with_traits, sets: DataFrame, least, limit: float, p
     a, b = F.least("own", "leader").alias("a"), F.greatest("own", "leader").alias("b")
     met = stored(met.select("key", "own", "leader", a, b), "near-met")
     pairs = with_traits(with_traits(met.select("a", "b").distinct(), "a"), "b").select("a", "b", least.alias("least"))
-    pairs = stored(pairs, "near-pairs")
-    found = stored(_verified(pairs.filter(F.col("least") <= limit + 1e-9).select("a", "b"), sets), "near-star")
+    bounded = stored(pairs, "near-bounded")
+    close = F.col("least") <= limit + 1e-9
+    pairs = stored(bounded.filter(~close).unionByName(_tightened(bounded.filter(close), sets)), "near-pairs")
+    found = stored(_verified(pairs.filter(close).select("a", "b"), sets), "near-star")
     # Pairs whose sizes and parity bits keep them apart have a lower bound of their distance,
     # which is on the safe side wherever it is used below.
     distance = F.coalesce(1 - F.col("both") / F.col("either"), F.col("least"))
@@ -414,7 +478,7 @@ def _led(active: DataFrame, with_traits, sets: DataFrame, least, limit: float, p
     gone = inside.select("key", "own").unionByName(led.select("key", F.col("leader").alias("own")))
     stays = active.join(gone, ["key", "own"], "left_anti")
     stays = stored(stays, "near-stay")
-    dropped(led, met, pairs)
+    dropped(led, met, bounded, pairs)
     return stays, found
 
 

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -240,3 +241,30 @@ def test_components_take_few_jobs(spark):
     stages = {s for j in jobs for s in j.stageIds}
     assert {(r["node"], r["component"]) for r in found.collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
     assert len(stages) <= 220
+
+
+def test_unwanted_texts_are_left_out_before_the_shuffle(spark):
+    rows = spark.range(20_000).selectExpr("id", "'x' AS text").unionByName(spark.createDataFrame([(None, "n"), (-5, "m")], "id bigint, text string"))
+    wanted = rows.filter("id % 50 = 3 OR id IS NULL OR id < 0").select("id")
+    held = [r["id"] for r in near._may_hold(rows, wanted).select("id").collect()]
+    assert set(held) >= {r["id"] for r in wanted.collect()}
+    assert len(held) < 402 + 0.05 * 19_600
+    assert near._may_hold(rows, wanted.limit(0)).count() == 0
+
+
+def test_wide_parity_bits_keep_large_sets_apart(spark):
+    """Sets of 3,000 that share 60 per cent are far apart: their own bits tell, 256 do not."""
+    rng = np.random.default_rng(5)
+    rows, sets = [], {}
+    for k, (n, m, common) in enumerate([(3000, 3000, 2250), (3000, 3000, 2900), (2000, 2100, 1950), (40, 31, 30), (33, 32, 20), (5000, 900, 900)]):
+        both = rng.integers(0, 1 << 63, common, np.uint64)
+        for name, size in ((2 * k, n), (2 * k + 1, m)):
+            sets[name] = np.unique(np.concatenate([both, rng.integers(0, 1 << 63, size - common, np.uint64)]))
+            rows.append((name, len(sets[name]), near.wide_parity(sets[name]).tolist()))
+    table = spark.createDataFrame(rows, "own bigint, n bigint, flips array<bigint>")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1, 0.01) for k in range(6)], "a bigint, b bigint, least double")
+    found = {r["a"]: r["least"] for r in near._tightened(pairs, table).collect()}
+    for a, least in found.items():
+        distance = 1 - len(np.intersect1d(sets[a], sets[a + 1])) / len(np.union1d(sets[a], sets[a + 1]))
+        assert 0.01 <= least <= distance + 1e-12
+    assert len(found) == 6 and found[0] > 0.2 and found[4] > 0.01 and found[6] > 0.01
