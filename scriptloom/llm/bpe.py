@@ -21,7 +21,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 DENSE_SYMBOLS = 64  # longer words are encoded one by one, to keep the dense tables small
 DENSE_WORDS = 20_000  # words encoded together
+GROUP_CHARS = 1 << 22  # of the texts whose stretches are looked up together
 CACHED_WORDS = 350_000  # stretches a worker remembers; a memory bound, no effect on results
-CACHED_CHARS = 64  # longest of them
+CACHED_CHARS = 64  # longest of them, in bytes
+CACHED_IDS = 4_000_000  # ids a worker remembers, likewise
 
 
 @dataclass
@@ -249,32 +251,38 @@ def _walk(auto: Automaton, word: bytes) -> bytes:
     return np.array(ids[::-1], "<u4").tobytes()
 
 
-def encode_words(auto: Automaton, words: list[str]) -> list[bytes]:
-    """Token ids of every word as little-endian 32-bit numbers; empty words give none."""
-    raw = [w.encode() for w in words]
-    sizes = np.array([len(r) for r in raw], np.int64)
-    out: list[bytes] = [b""] * len(words)
+def encode_words(auto: Automaton, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids of non-empty words (large strings): all ids, and where each word's begin and how many they are."""
+    n = len(words)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(offsets)
     order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] > 0]
-    begin = 0
-    while begin < len(order):
+    many, parts, begin = np.zeros(n, np.int64), [], 0
+    while begin < n:
         most = int(sizes[order[begin]])
         if most > DENSE_SYMBOLS:
-            out[order[begin]] = _walk(auto, raw[order[begin]])
+            i = order[begin]
+            parts.append(np.frombuffer(_walk(auto, data[offsets[i] : offsets[i + 1]].tobytes()), "<u4"))
+            many[i] = len(parts[-1])
             begin += 1
             continue
         block = order[begin : begin + DENSE_WORDS]
         begin += len(block)
         lengths = sizes[block]
         symbols = np.zeros((len(block), most), np.uint8)
-        symbols[np.arange(most) < lengths[:, None]] = np.frombuffer(b"".join([raw[i] for i in block]), np.uint8)
-        flat, counts = _dense(auto, symbols, lengths)
-        ids, ends = flat.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
-        start = 0
-        for i, end in zip(block.tolist(), ends, strict=True):
-            out[i] = ids[start:end]
-            start = end
-    return out
+        symbols[np.arange(most) < lengths[:, None]] = data[_places(offsets[block], lengths)]
+        flat, many[block] = _dense(auto, symbols, lengths)
+        parts.append(flat.astype("<u4", copy=False))
+    first = np.empty(n, np.int64)
+    first[order] = np.cumsum(many[order]) - many[order]
+    return np.concatenate([np.zeros(0, "<u4"), *parts]), first, many
+
+
+def _places(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1 and so on, many[0] of them, then those of first[1], and so on."""
+    ends = np.cumsum(many)
+    return np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _classes() -> tuple[str, str]:
@@ -294,79 +302,136 @@ def _classes() -> tuple[str, str]:
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 # Fixed value: white space of the pre-tokenizer's pattern.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# Python's split() takes these for white space too; the pre-tokenizer does not.
-SEPARATORS = re.compile(r"[\x1c-\x1f]")
-
+# Those of them beyond ASCII.
+_WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+# Before a special token's string, found as such; no UTF-8 holds this byte, so equal text elsewhere is ordinary.
+_MARK = b"\xff"
 
-class _Special(str):
-    """A special token's string, found as such; equal text elsewhere is ordinary."""
 
-    __slots__ = ()
+def _with(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``array`` with ``more`` behind its first ``used`` elements; its room doubles when it is full."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.empty(max(used, 2 * len(more)), array.dtype)])
+    array[used : used + len(more)] = more
+    return array
 
 
 class Encoder:
-    """Texts to token records by a compiled automaton.
+    """Texts to ids, or to token records, by a compiled automaton.
 
-    ``record`` turns ids (little-endian bytes) into what the caller keeps for them. Pre-split words
-    never cross white space, so a bounded cache holds the record of every stretch between white
-    space seen before; only new stretches go through the pattern and the automaton. Stretches of
-    more than ``CACHED_CHARS`` are not kept.
+    Pre-split words never cross white space. The stretches between white space of many texts are one
+    Arrow array, of which each distinct one is looked up once; a bounded store holds the ids of those
+    seen before, and only new ones go through the pattern and the automaton. ``ids`` puts the ids of
+    every text together; ``records`` lists, for every stretch, what ``record`` turns its ids
+    (little-endian bytes) into. Stretches of more than ``CACHED_CHARS`` bytes are not found again.
     """
 
-    def __init__(self, auto: Automaton, record):
+    def __init__(self, auto: Automaton, record=bytes):
         self.auto, self.record = auto, record
         letters, numbers = auto.letters, auto.numbers
         self.pattern = re.compile(f"[{letters}]+|[{numbers}]|{CONTRACTIONS}|[^{SPACES}{letters}{numbers}]+")
-        self.space = re.compile(f"[{SPACES}]+")
         self.special = re.compile("(" + "|".join(map(re.escape, auto.special)) + ")") if auto.special else None
-        self.cache: dict[str, object] = {}
-        self.of_special = {s: record(i.to_bytes(4, "little")) for s, i in auto.special.items()}
-
-    def split(self, text: str) -> list[str]:
-        """Stretches without white space; strings of special tokens stay whole."""
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the special tokens are known."""
+        special = self.auto.special
+        self.row_of = {_MARK + s.encode(): i for i, s in enumerate(special)}
+        self.rows = self.used = len(special)  # rows known, ids of all of them
+        self.held = np.array([*special.values()], "<u4")
+        self.first, self.many = np.arange(self.rows), np.ones(self.rows, np.int64)
+        self.made: list = []  # records of the first rows
+
+    def fold(self, text: str) -> bytes:
+        """The normalised text, all white space in ASCII; strings of special tokens are marked stretches."""
         if self.special is not None and "<|" in text:
             parts = self.special.split(text)
             if len(parts) > 1:
-                return [w for i, x in enumerate(parts) for w in ([_Special(x)] if i % 2 else self.split(x))]
+                return b" ".join([_MARK + x.encode() if i % 2 else self.fold(x) for i, x in enumerate(parts)])
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        if SEPARATORS.search(text):
-            return [s for s in self.space.split(text) if s]
-        return text.split()
-
-    def _new(self, stretches: list[str]) -> dict[str, object]:
-        """Records of the stretches; short ones are kept."""
-        words = [self.pattern.findall(s) for s in stretches]
-        new = list(set(chain.from_iterable(words)))
-        ids = dict(zip(new, encode_words(self.auto, new), strict=True))
-        long = {}
-        for s, parts in zip(stretches, words, strict=True):
-            found = self.record(b"".join([ids[w] for w in parts]))
-            (self.cache if len(s) <= CACHED_CHARS else long)[s] = found
-        return long
-
-    def records(self, texts: list[str]) -> Iterator[list]:
-        """For every text, the records of its stretches in order."""
+            text = _WIDE.sub(" ", unicodedata.normalize("NFC", text).replace("Σ", "σ"))
+        return text.lower().encode()
+
+    def _encode(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stretches one after another, and how many each has."""
+        words = pa.array(self.pattern.findall(b"\n".join(stretches).decode()), pa.large_string())
+        ends = np.frombuffer(words.buffers()[1], np.int64)[1 : len(words) + 1]
+        # Words cover a stretch without gaps, so the end of a stretch is the end of a word.
+        upto = np.searchsorted(ends, np.cumsum([len(s) for s in stretches])) + 1
+        coded = words.dictionary_encode()
+        held, first, many = encode_words(self.auto, coded.dictionary)
+        code = coded.indices.to_numpy()
+        sums = np.append(0, np.cumsum(many[code]))
+        return held[_places(first[code], many[code])], np.diff(sums[upto], prepend=0)
+
+    def _learn(self, stretches: list[bytes]) -> np.ndarray:
+        """New rows of the stretches; short ones are found again."""
+        ids, many = self._encode(stretches)
+        rows = np.arange(self.rows, self.rows + len(stretches))
+        self.held = _with(self.held, self.used, ids)
+        self.first = _with(self.first, self.rows, self.used + np.cumsum(many) - many)
+        self.many = _with(self.many, self.rows, many)
+        self.rows, self.used = self.rows + len(stretches), self.used + len(ids)
+        if max(map(len, stretches)) <= CACHED_CHARS:
+            self.row_of.update(zip(stretches, rows.tolist(), strict=True))
+        else:
+            self.row_of.update((s, row) for s, row in zip(stretches, rows.tolist(), strict=True) if len(s) <= CACHED_CHARS)
+        return rows
+
+    def _look_up(self, folded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The row of every stretch in order, and how many stretches there are up to the end of each text."""
+        data = np.frombuffer(b"\n".join(folded) + b"\n", np.uint8)
+        space = _SPACE[data]
+        edges = np.flatnonzero(np.diff(space, prepend=True))
+        starts, sizes = edges[0::2], edges[1::2] - edges[0::2]
+        buffers = [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(data[~space])]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        row = np.fromiter(map(self.row_of.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            row[new] = self._learn([distinct[i] for i in new.tolist()])
+        ends = np.cumsum([len(t) + 1 for t in folded])
+        return row[coded.indices.to_numpy()], np.searchsorted(starts, ends)
+
+    def _found(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``_look_up`` for groups of texts, which bound the memory only."""
         begin = 0
         while begin < len(texts):
-            split, chars, special = [], 0, False
-            while begin < len(texts) and (chars < 1 << 21 or not split):
-                split.append(self.split(texts[begin]))
+            folded, chars = [], 0
+            while begin < len(texts) and (chars < GROUP_CHARS or not folded):
+                folded.append(self.fold(texts[begin]))
                 chars += len(texts[begin])
-                special = special or "<|" in texts[begin]
                 begin += 1
-            if len(self.cache) > CACHED_WORDS:
-                self.cache = {}
-            every = chain.from_iterable(split)
-            if special:
-                every = (s for s in every if type(s) is not _Special)
-            long = self._new(list(set(every).difference(self.cache)))
-            get = self.cache.__getitem__
-            if special or long:
-                get = lambda s: self.of_special[s] if type(s) is _Special else long[s] if s in long else self.cache[s]
-            for stretches in split:
-                yield list(map(get, stretches))
+            if self.rows > CACHED_WORDS or self.used > CACHED_IDS:
+                self._forget()
+            yield self._look_up(folded)
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """For every text, its ids as little-endian 32-bit numbers."""
+        for rows, upto in self._found(texts):
+            many = self.many[rows]
+            whole = self.held[_places(self.first[rows], many)].tobytes()
+            begin = 0
+            for end in (4 * np.append(0, np.cumsum(many))[upto]).tolist():
+                yield whole[begin:end]
+                begin = end
+
+    def records(self, texts: list[str]) -> Iterator[list]:
+        """For every text, the records of its stretches in order."""
+        for rows, upto in self._found(texts):
+            at = len(self.made)
+            if at < self.rows:
+                held, begin = self.held[: self.used].tobytes(), 4 * int(self.first[at])
+                for end in (4 * np.cumsum(self.many[at : self.rows]) + begin).tolist():
+                    self.made.append(self.record(held[begin:end]))
+                    begin = end
+            made = list(map(self.made.__getitem__, rows.tolist()))
+            begin = 0
+            for end in upto.tolist():
+                yield made[begin:end]
+                begin = end
 
 
 class _Packed:

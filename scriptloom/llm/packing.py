@@ -41,11 +41,11 @@ def token_pieces(
     end = end_id.to_bytes(4, "little")
 
     def cut(batches):
-        encoder = Encoder(tables.value, bytes)
+        encoder = Encoder(tables.value)
         for batch in batches:
             row, piece, start, length, ids = [], [], [], [], []
-            for i, records in enumerate(encoder.records(strings(batch))):
-                whole = b"".join(records) + end
+            for i, whole in enumerate(encoder.ids(strings(batch))):
+                whole += end
                 for k, at in enumerate(range(0, len(whole), 4 * size)):
                     part = whole[at : at + 4 * size]
                     row.append(i)

@@ -175,3 +175,31 @@ def test_driver_keeps_the_automaton_compressed(spark, path):
 
     [row] = spark.range(1).coalesce(1).mapInArrow(names, "kind string, labels bigint").collect()
     assert row["kind"] == "Automaton" and row["labels"] > 40_000
+
+
+def test_ids_look_up_distinct_stretches_once(path, tokenizer, monkeypatch):
+    """The work in Python follows the distinct stretches of a group of texts, not all their words."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    r = random.Random(7)
+    words = ["".join(r.choice("aeinorst'é漢.,!?3") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    words += ["<|endoftext|>", "<|ENDOFTEXT|>", "İΣ", "x" * 200, "\x1c", "ÿ"]
+    spaces = [" ", "\n", "\x85", "\u2003", "\u2000", "\u3000 ", "\t\r"]
+    texts = ["".join(r.choice(words) + r.choice(spaces) for _ in range(700)) for _ in range(60)] + ["", " ", "\x85"]
+    encoder = bpe.Encoder(bpe.compile_automaton(path))
+    encoder.row_of = Counted(encoder.row_of)
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)]
+    assert got == encoded(tokenizer, texts)
+    assert Counted.asked < 1000  # of 42,000 words
+    assert list(encoder.ids(["", " "])) == [b"", b""] and list(encoder.ids([])) == []
+    # The same with hardly any room: groups of one text, everything forgotten before each.
+    for name, value in (("GROUP_CHARS", 1), ("CACHED_WORDS", 1), ("DENSE_WORDS", 7), ("CACHED_CHARS", 3)):
+        monkeypatch.setattr(bpe, name, value)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts[-20:])] == got[-20:]
+    assert [b"".join(x) for x in encoder.records(texts[-20:])] == list(encoder.ids(texts[-20:]))
