@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 DENSE_SYMBOLS = 64  # longer words are encoded one by one, to keep the dense tables small
 DENSE_WORDS = 20_000  # words encoded together
-GROUP_CHARS = 1 << 22  # of the texts whose stretches are looked up together
-CACHED_WORDS = 350_000  # stretches a worker remembers; a memory bound, no effect on results
+GROUP_CHARS = 1 << 21  # of the texts whose stretches are looked up together
+CACHED_WORDS = 250_000  # stretches a worker remembers; a memory bound, no effect on results
 CACHED_CHARS = 64  # longest of them, in bytes
 CACHED_IDS = 4_000_000  # ids a worker remembers, likewise
 
