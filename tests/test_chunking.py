@@ -2,12 +2,14 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import _sorted_rows, connect
 from checks.inputs import SCRIPTS_SQL
 from checks.oracle import ORACLE_SQL
 from scriptloom.functions import chunking as C
 from scriptloom.functions import tokens
+from scriptloom.functions.text import NON_BLANK
 from scriptloom.operators import blocks as blk
 
 
@@ -239,6 +241,51 @@ def test_long_string_token_does_not_overflow(column_of):
     assert found == [text]
 
 
+def test_tokens_are_found_faster_than_by_trying_every_kind(spark):
+    """Words first, letters listed, blanks passed over: the same tokens in less time."""
+    plain = "|".join(
+        (tokens.COMMENT, tokens.QUOTED, r"[0-9]+(?:\.[0-9]+)?", r"[\p{L}_][\p{L}0-9_$#]*",
+         r":=|<=|>=|<>|!=|\|\||=>|\.\.|[-+*/<>=%]", NON_BLANK)
+    )
+    odd = [" \t\n x\u00a0\u2003y\r\n", "aßb é_1$ é9 _9é 9é1.5.2.", "\U0001d400 \U0001f600;\x85--\x85x", "", " ", "a\t"]
+    signs = "ab_9é.'\"-/*:=<>!|; \t\n\xa0"
+    odd += ["".join(random.Random(i).choices(signs, k=40)) for i in range(300)]
+    long = ["UPDATE accounts SET total = total * 1.1, status = 17 WHERE id = 10;\n" * 20 + str(i) for i in range(4000)]
+
+    def found(texts, pattern):
+        df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1).cache()
+        df.count()
+        column = tokens.tokens(F.col("t")) if pattern is None else F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+        begin = time.perf_counter()
+        rows = df.select(F.xxhash64(column).alias("h"), F.size(column).alias("n")).agg(F.sum("n"), F.bit_xor("h"))
+        return tuple(rows.first()), time.perf_counter() - begin
+
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    pairs = df.select(tokens.tokens(F.col("t")), F.regexp_extract_all("t", F.lit(plain), F.lit(0))).collect()
+    assert all(a == b for a, b in pairs)
+    times = [(found(long, plain), found(long, None)) for _ in range(3)]
+    assert all(a[0] == b[0] for a, b in times)
+    assert min(b[1] for _, b in times) < 0.75 * min(a[1] for a, _ in times)
+
+
+def test_token_types_by_signs(column_of):
+    typed = {"--x": "comment", "/*x*/": "comment", "'a'": "string", '""': "string", "'": "punctuation", "é1": "word",
+             "·": "punctuation", "||": "operator", "|": "punctuation", "..": "operator", ".": "punctuation",
+             ":=": "operator", ":": "punctuation", "!=": "operator", "!": "punctuation", "=>": "operator"}
+    assert column_of(tokens.token_type, list(typed)) == list(typed.values())
+
+
+def test_capitals_of_rare_letters_open_blocks(column_of):
+    texts = ["BEG\u0130N x; end;", "beg\u0131n x; End;", "x;CREATE PAC\u212aAGE p; END ;"]
+    assert column_of(C.extract_blocks, texts) == [texts[0:1], texts[1:2], ["x;", "CREATE PAC\u212aAGE p; END ;"]]
+    assert column_of(C.split_at_begin, ["a BEG\u0130N b beg\u0131n c"]) == [["a", "BEG\u0130N b", "beg\u0131n c"]]
+
+
+def test_split_with_and_without_comments(column_of):
+    texts = ["a;\n b \n;;\u00a0;c", "a; -- x\n; /* y */;c", None, "", "é; \u2003é\u2003 ;"]
+    assert column_of(C.split_statements, texts) == [["a", "b", "c"], ["a", "", "", "c"], None, [], ["é", "é"]]
+
+
 COMPOUND = {
     "routine": (
         "CREATE OR REPLACE PROCEDURE p IS v NUMBER := 0; BEGIN IF a THEN x; END IF; FOR i IN 1..2 LOOP y; END LOOP;"
