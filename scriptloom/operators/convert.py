@@ -84,16 +84,26 @@ def as_chunks(blocks: DataFrame, type_column: str = "block_type") -> DataFrame:
     )
 
 
+def _template_parts(template: str) -> tuple[list[str], list[str]]:
+    """The fixed texts of a template and the fields between them; one text more than fields."""
+    texts, fields = [""], []
+    for text, field in re.findall(r"((?:[^{}]|\{\{|\}\})*)(?:\{([^{}]+)\})?", template):
+        texts[-1] += text.replace("{{", "{").replace("}}", "}")
+        if field:
+            fields.append(field)
+            texts.append("")
+    return texts, fields
+
+
 def render(template: str) -> Column:
     """The template with its ``{column}`` fields filled in from the row (NULL as nothing).
 
     ``{{`` and ``}}`` stand for braces.
     """
-    parts: list[Column] = []
-    for text, field in re.findall(r"((?:[^{}]|\{\{|\}\})*)(?:\{([^{}]+)\})?", template):
-        parts.append(F.lit(text.replace("{{", "{").replace("}}", "}")))
-        if field:
-            parts.append(F.coalesce(F.col(field).cast("string"), F.lit("")))
+    texts, fields = _template_parts(template)
+    parts: list[Column] = [F.lit(texts[0])]
+    for text, field in zip(texts[1:], fields):
+        parts += [F.coalesce(F.col(field).cast("string"), F.lit("")), F.lit(text)]
     return F.concat(*parts)
 
 
@@ -129,8 +139,10 @@ def convert(
     store: str | None = None,
     model: str = "unknown",
     commit_every: int = 1000,
+    source: str | None = None,
 ) -> DataFrame:
-    """One record per chunk: ``keys`` and :data:`RECORD_COLUMNS`.
+    """One record per chunk: ``keys`` and :data:`RECORD_COLUMNS`, and before those the chunk's own
+    code under the name ``source`` if one is given.
 
     ``open_converter`` makes the converter, once per partition, and is given the ``system``
     text if there is one; the converter gets the request text. An exception or an empty text (unless ``allow_empty``) is tried again
@@ -154,40 +166,63 @@ def convert(
     Failed calls are made again by the next run. Reading the result calls nobody.
     """
     skipped_types = [t.lower() for t in skip_types]
-    skipped = F.lower("type").isin(skipped_types) if skipped_types else F.lit(False)
+    # The type goes along only where it is looked at.
+    type_column = ["type"] if skipped_types else []
+    skipped = F.lower("type").isin(skipped_types)
+    kept = [*keys, *([F.col("code").alias(source)] if source else [])]
     if dry_run:
         sent = chunks.select(
-            *keys, "type", *(F.lit(None).cast(t).alias(c) for c, t in _REPLY_TYPES.items())
+            *kept, *type_column, *(F.lit(None).cast(t).alias(c) for c, t in _REPLY_TYPES.items())
         )
     else:
         if open_converter is None:
             raise ValueError("no converter given")
-        requests = chunks.select(*keys, "type", F.when(~skipped, render(template)).alias("request"))
+        texts, fields = _template_parts(template)
 
-        def call(rows: DataFrame) -> DataFrame:
+        def call(rows: DataFrame, texts: list[str], columns: list[str]) -> DataFrame:
             return _call(
-                rows, open_converter, retries, error_prefix, allow_empty, system, in_flight, back_off, open_counter
-            )
+                rows, texts, columns, open_converter, retries, error_prefix, allow_empty, system, in_flight, back_off,
+                open_counter,
+            )
+
+        if store is None:
+            # The requests are put together where they are sent. Fields that go along move once.
+            strings = {f.name for f in chunks.schema if f.dataType.simpleString() == "string"}
+            along = {name: name for name in keys if name in strings}
+            if source and "code" in strings:
+                along["code"] = source
+            columns = [along.get(f, f"{_FIELD}{i}") for i, f in enumerate(fields)]
+            moved = [F.col(f).cast("string").alias(c) for f, c in zip(fields, columns) if c.startswith(_FIELD)]
+            is_sent = [(~skipped).alias(_SENT)] if skipped_types else []
+            sent = call(chunks.select(*kept, *type_column, *moved, *is_sent), texts, columns)
+        else:
+            request = F.when(~skipped, render(template)) if skipped_types else render(template)
+            requests = chunks.select(*kept, *type_column, request.alias("request"))
+
+            def whole(rows: DataFrame) -> DataFrame:
+                return call(rows.withColumnRenamed("request", f"{_FIELD}0"), ["", ""], [f"{_FIELD}0"])
 
-        sent = call(requests) if store is None else _stored_replies(requests, call, store, system, model, commit_every)
+            sent = _stored_replies(requests, whole, store, system, model, commit_every)
     not_sent = F.col("ok").isNull()
+    code, reason = F.when(not_sent, DRY_RUN_CODE), F.when(not_sent, DRY_RUN_REASON)
+    if skipped_types:
+        code = F.when(skipped, F.concat(F.lit("# "), F.upper("type"), F.lit(" skipped\n"))).when(not_sent, DRY_RUN_CODE)
+        reason = F.when(skipped, SKIPPED_REASON).when(not_sent, DRY_RUN_REASON)
     record = sent.select(
         *keys,
+        *([source] if source else []),
         F.coalesce("ok", F.lit(True)).alias("ok"),
-        F.when(skipped, F.concat(F.lit("# "), F.upper("type"), F.lit(" skipped\n")))
-        .when(not_sent, DRY_RUN_CODE)
-        .otherwise(F.col("code"))
-        .alias("code"),
-        F.when(skipped, SKIPPED_REASON)
-        .when(not_sent, DRY_RUN_REASON)
-        .otherwise(F.col("reason"))
-        .alias("reason"),
+        code.otherwise(F.col("code")).alias("code"),
+        reason.otherwise(F.col("reason")).alias("reason"),
         F.when(F.col("ok"), F.col("input_tokens")).otherwise(0).alias("input_tokens"),
         F.when(F.col("ok"), F.col("output_tokens")).otherwise(0).alias("output_tokens"),
     )
     return record.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
 
 
+# Columns that only go to the call.
+_FIELD, _SENT = "_request_field_", "_request_is_sent"
+
 _REPLY_TYPES = {
     "ok": "boolean",
     "code": "string",
@@ -198,7 +233,9 @@ _REPLY_TYPES = {
 
 
 def _call(
-    requests: DataFrame,
+    rows: DataFrame,
+    texts: list[str],
+    columns: list[str],
     open_converter,
     retries: int,
     error_prefix: str,
@@ -208,8 +245,10 @@ def _call(
     back_off: float,
     open_counter,
 ) -> DataFrame:
-    """Send ``request`` of every row; the other columns are kept, NULL requests not sent."""
-    kept = [f for f in requests.schema if f.name != "request"]
+    """Send the request of every row: ``texts`` with the values of ``columns`` (NULL as nothing)
+    between them. Rows whose column ``_SENT``, if there is one, is not true are not sent. All
+    columns but those for the call alone are kept."""
+    kept = [f for f in rows.schema if f.name != _SENT and not f.name.startswith(_FIELD)]
     names = [f.name for f in kept]
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
@@ -218,6 +257,15 @@ def _call(
     empty_result = EMPTY_RESULT
     if in_flight < 1:
         raise ValueError("in_flight must be at least 1")
+    is_sent = _SENT if _SENT in rows.columns else None
+    form = "%s".join(t.replace("%", "%%") for t in texts)
+    # Where blanks part the values from the texts, the words of a request are theirs together.
+    apart = all(
+        (t[:1].isspace() or i == 0 or t == "" and i == len(texts) - 1)
+        and (t[-1:].isspace() or i == len(texts) - 1 or t == "" and i == 0)
+        for i, t in enumerate(texts)
+    )
+    fixed_words = sum(len(t.split()) for t in texts)
 
     # Self-contained, so that workers can run it without this package on their path.
     def run(batches):
@@ -230,19 +278,24 @@ def _call(
         reply_types = (pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32())
         of_thread = threading.local()
 
-        def ask(request):
+        def converter_of_thread():
             if not hasattr(of_thread, "converter"):
                 of_thread.converter = open_converter() if system is None else open_converter(system)
+            return of_thread.converter
+
+        def ask(request, convert=None):
+            convert = convert or converter_of_thread()
             for attempt in range(retries + 1):
                 if attempt and back_off:
                     time.sleep(back_off * 2 ** (attempt - 1))
                 try:
-                    answer = of_thread.converter(request)
-                    text, *counts = answer if isinstance(answer, tuple) else (answer,)
-                    text = text.strip()
+                    answer, counts = convert(request), None
+                    if isinstance(answer, tuple):
+                        answer, *counts = answer
+                    text = answer.strip()
                     if not text and not allow_empty:
                         raise ValueError(empty_result)
-                    return True, text, "", *(counts or (None, None))
+                    return (True, text, "", *counts) if counts else (True, text, "", None, None)
                 except Exception as error:  # noqa: BLE001 - kept in the record
                     failure = str(error)
             return False, f"{error_prefix}{failure}", failure, 0, 0
@@ -251,11 +304,6 @@ def _call(
 
         def count(texts):
             """Tokens of every text, words of those that the counter fails on."""
-            try:
-                if open_counter is not None and not counters:
-                    counters.append(open_counter())
-            except Exception:  # noqa: BLE001 - words are counted instead
-                counters.append(None)
             if not counters or counters[0] is None:
                 return [len(t.split()) for t in texts]
             try:
@@ -269,32 +317,69 @@ def _call(
             half = len(texts) // 2
             return count(texts[:half]) + count(texts[half:])
 
-        def replies_to(requests, pool):
-            sent = [r for r in requests if r is not None]
-            answers = iter(list(pool.map(ask, sent) if pool else map(ask, sent)))
-            replies = [(None,) * len(reply_types) if r is None else next(answers) for r in requests]
-            open_counts = [i for i, r in enumerate(replies) if r[0] and r[3] is None]
-            if open_counts:
-                counts = count([t for i in open_counts for t in (requests[i], replies[i][1])])
+        def counter_opened():
+            try:
+                if open_counter is not None and not counters:
+                    counters.append(open_counter())
+            except Exception:  # noqa: BLE001 - words are counted instead
+                counters.append(None)
+            return bool(counters) and counters[0] is not None
+
+        def words_asked(values):
+            if len(columns) == 1:
+                return fixed_words + len(values.split())
+            return fixed_words + sum([len(v.split()) for v in values])
+
+        def replies_to(values, pool):
+            """The replies as columns; ``values`` fill the request of every row, None for one not sent."""
+            requests = [None if of is None else form % of for of in values]
+            sent = [i for i, r in enumerate(requests) if r is not None]
+            asked = [requests[i] for i in sent]
+            if pool:
+                answers = list(pool.map(ask, asked))
+            else:
+                convert = converter_of_thread() if asked else None
+                answers = (ask(r, convert) for r in asked)
+            # Straight into columns: a tuple kept for every row is work for the garbage collector.
+            found = [[None] * len(requests) for _ in reply_types]
+            oks, codes, reasons, inputs, outputs = found
+            open_counts = []
+            for i, answer in zip(sent, answers):
+                oks[i], codes[i], reasons[i], inputs[i], outputs[i] = answer
+                if inputs[i] is None:
+                    open_counts.append(i)
+            if open_counts and (counter_opened() or not apart):
+                counts = count([t for i in open_counts for t in (requests[i], codes[i])])
                 for k, i in enumerate(open_counts):
-                    replies[i] = (*replies[i][:3], counts[2 * k], counts[2 * k + 1])
-            return replies
+                    inputs[i], outputs[i] = counts[2 * k : 2 * k + 2]
+            else:
+                for i in open_counts:
+                    inputs[i], outputs[i] = words_asked(values[i]), len(codes[i].split())
+            return found
+
+        def values_of(batch):
+            """What fills the request of every row: a text, or a tuple of other than one."""
+            # Much faster than to_pylist, which makes a scalar object of every value.
+            found = [batch.column(c).fill_null("").to_numpy(zero_copy_only=False).tolist() for c in columns]
+            values = found[0] if len(found) == 1 else list(zip(*found)) or [()] * batch.num_rows
+            if is_sent is None:
+                return values
+            return [of if sent else None for of, sent in zip(values, batch.column(is_sent).to_pylist())]
 
         pool = ThreadPoolExecutor(in_flight) if in_flight > 1 else None
         try:
             for batch in batches:
-                replies = replies_to(batch.column("request").to_pylist(), pool)
-                columns = zip(*replies) if replies else ((),) * len(reply_types)
+                found = replies_to(values_of(batch), pool)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n) for n in names]
-                    + [pa.array(c, t) for c, t in zip(columns, reply_types)],
+                    + [pa.array(c, t) for c, t in zip(found, reply_types)],
                     names=names + ["ok", "code", "reason", "input_tokens", "output_tokens"],
                 )
         finally:
             if pool:
                 pool.shutdown(cancel_futures=True)
 
-    return requests.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 _STORED = ", ".join(["request_key string", "run string", *(f"{c} {t}" for c, t in _REPLY_TYPES.items())])
@@ -426,8 +511,7 @@ def conversion_meta(records: DataFrame, model: str = "unknown") -> DataFrame:
 
 def convert_mapping(chunks: DataFrame, open_converter=None, **options) -> DataFrame:
     """Each block next to its converted text: the block goes through the call, nothing is joined."""
-    carried = chunks.withColumn("block", F.col("code"))
-    records = convert(carried, open_converter, keys=("script_id", "block_no", "block"), **options)
+    records = convert(chunks, open_converter, keys=("script_id", "block_no"), source="block", **options)
     return records.select("script_id", "block_no", "block", F.col("code").alias("converted"))
 
 

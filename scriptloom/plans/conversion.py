@@ -37,9 +37,7 @@ def run_conversion(
     """
     keys = [*options.pop("keys", ("id",))]
     keys += [c for c in ("seq",) if c in chunks.columns and c not in keys]
-    carried = cv.convert(
-        cv.with_source(chunks), open_converter, keys=[*keys, "input_sas_code"], model=model, **options
-    )
+    carried = cv.convert(chunks, open_converter, keys=keys, model=model, source="input_sas_code", **options)
     records = materialize(carried)
     plain = records.drop("input_sas_code")
     return ConversionRun(

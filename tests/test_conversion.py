@@ -271,3 +271,33 @@ def test_the_stand_in_keeps_no_requests():
         with pytest.raises(RuntimeError):
             convert("proc sort;")
         assert convert("proc sort;").startswith(" df = ")
+
+
+TEMPLATES = ("a {code} b", "{code}\n{type} c", "x({code})%s {{y}} 100%", "{code}{type}", "no field", cv.SAS_CHUNK_REQUEST)
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_requests_of_the_call_are_the_rendered_ones(spark, template):
+    """Also their words, and values with blanks at the ends, none or NULL."""
+    def open_converter():
+        return lambda request: request.replace(" ", "_ ")
+
+    codes = [" a b ", "", None, "%s {x}", "\u2003x\u00a0y", "c"]
+    rows = [(f"c_{i}", "T", c) for i, c in enumerate(codes)]
+    chunks = spark.createDataFrame(rows, "id string, type string, code string")
+    sent = cv.convert(chunks, open_converter, template=template, allow_empty=True, source="given")
+    requests = {r.id: r.request for r in chunks.select("id", cv.render(template).alias("request")).collect()}
+    for r in sent.collect():
+        assert r.code == requests[r.id].replace(" ", "_ ").strip()
+        assert r.input_tokens == len(requests[r.id].split()) and r.output_tokens == len(r.code.split())
+        assert r.given == codes[int(r.id[2:])]
+
+
+def test_only_what_a_request_needs_goes_through_the_call(spark):
+    """No request text made beforehand, no type that nobody looks at, the block only once."""
+    schema = "script_id string, block_no int, id string, type string, code string"
+    chunks = spark.createDataFrame([("s", 1, "s_1", "X", "a")], schema)
+    mapped = cv.convert_mapping(chunks, opener, template=cv.BLOCK_REQUEST)
+    sent = mapped._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n", 1)[1]
+    assert "data engineer" not in sent and "type#" not in sent.splitlines()[0]
+    assert sent.count(" AS ") == 1 and mapped.first().block == "a"
