@@ -31,7 +31,7 @@ def run_conversion(
 ) -> ConversionRun:
     """Convert every chunk once and report on the run.
 
-    The records carry their source (and ``seq`` if the chunks have it) and are checkpointed:
+    The records carry their source (and ``seq`` if the chunks have it) and are stored:
     four outputs read them, and without that each would call the converter again. With the
     option ``store``, a run that failed goes on where its replies were last committed.
     """

@@ -301,3 +301,10 @@ def test_only_what_a_request_needs_goes_through_the_call(spark):
     sent = mapped._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n", 1)[1]
     assert "data engineer" not in sent and "type#" not in sent.splitlines()[0]
     assert sent.count(" AS ") == 1 and mapped.first().block == "a"
+
+
+def test_records_are_read_by_column(spark, chunks):
+    run = run_conversion(chunks, opener)
+    plan = run.records.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:string>" in plan
+    assert run.records.count() == len(CHUNKS)
