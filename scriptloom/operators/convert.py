@@ -517,11 +517,14 @@ def convert_mapping(chunks: DataFrame, open_converter=None, **options) -> DataFr
 
 def conversion_mapping(blocks: DataFrame, converted: DataFrame) -> DataFrame:
     """Each block next to its converted text, for tables that arrive apart: paired by script and
-    block number. See :func:`convert_mapping` where the call is made here."""
+    block number. See :func:`convert_mapping` where the call is made here.
+
+    Both are dealt by the script alone: neighbours in a script are much alike and stay together, so
+    that shuffle files get smaller than with blocks dealt one by one.
+    """
     texts = converted.select("script_id", "block_no", F.col("code").alias("converted"))
-    return blocks.select("script_id", "block_no", "block").join(
-        texts, ["script_id", "block_no"]
-    )
+    of_scripts = [df.repartition("script_id") for df in (blocks.select("script_id", "block_no", "block"), texts)]
+    return of_scripts[0].join(of_scripts[1], ["script_id", "block_no"])
 
 
 def _joined(separator: str) -> Column:

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 # operator that would otherwise reuse its partitioning (one more shuffle, only when hot).
 # Shuffles start from many partitions, which AQE puts together by size: it never divides one,
 # so with few of them what a task sorts and aggregates would grow with the tables.
+# A join may keep the partitions of sides that are dealt by some of its keys, as those by script are.
 RUNTIME_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "960",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -308,3 +308,23 @@ def test_records_are_read_by_column(spark, chunks):
     plan = run.records.select("id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:string>" in plan
     assert run.records.count() == len(CHUNKS)
+
+
+def test_mapping_is_dealt_by_script(spark):
+    """Pairs as a plain join makes them, repeated and NULL keys among them."""
+    keys = [("s", 1), ("s", 1), ("s", 2), ("t", 1), (None, 1), ("t", None), ("u", 1)]
+    blocks = spark.createDataFrame([(*k, f"b{i}") for i, k in enumerate(keys)], "script_id string, block_no int, block string")
+    converted = spark.createDataFrame([(*k, f"c{i}") for i, k in enumerate(keys[:6])], "script_id string, block_no int, code string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mapped = cv.conversion_mapping(blocks, converted)
+        plan = mapped._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(script_id#") == 2 == plan.count("Exchange")
+        assert plan.count(", block_no#") and "block_no#" not in plan.split("hashpartitioning(")[1].split(")")[0]
+        rows = sorted(tuple(r) for r in mapped.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == sorted(
+        (*k, f"b{i}", f"c{j}") for i, k in enumerate(keys) for j, m in enumerate(keys[:6]) if k == m and None not in k
+    )
